@@ -56,7 +56,8 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         per.withColumn("total", share * F.sum("source_size").over(everything))
         .withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward))
         # the level that holds is that of the first source it does not fill
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(everything))
+        .withColumn("no", F.row_number().over(by))
+        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("no", "level"))).over(everything)["level"])
     )
     return per.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
