@@ -15,7 +15,7 @@ DEFAULTS = {
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and bench runs; UTC keeps timestamps equal to the oracle's."""
     builder = SparkSession.builder.master(master).config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in (DEFAULTS | {"spark.ui.enabled": "false", "spark.driver.memory": "8g"} | extra).items():
+    for key, value in (DEFAULTS | {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"} | extra).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
