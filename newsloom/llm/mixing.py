@@ -4,8 +4,10 @@ Every document of a source is wanted ``target / source size`` times (0 to 2). Th
 fraction is settled by the pivotal method in its word-weighted form: two undecided documents of a source trade
 probability mass, at random and without bias, until one of them is wholly in or wholly out. A trade leaves the
 sum of (fraction times words) as it was, so the words taken by a source differ from its target by less than one
-document, the last undecided one. Trades run inside blocks; what stays undecided of a block, one document for
-each source, meets other blocks' in a tree of reductions of bounded fan-in.
+document, the last undecided one. Trades run inside blocks, large documents first; what stays undecided of a block,
+one document of each source, meets other blocks' in a tree of reductions of bounded fan-in. Of every ``fan_in``
+documents one (by hash) skips the trades of its block, so that each level up has documents of all sizes to trade with
+and a node holds about as many rows as a block.
 
 Blocks and trades depend on ids and sizes only, not on how Spark partitions the input, so reruns agree.
 
@@ -95,7 +97,7 @@ def settle(p: list[float], s: list[float], u: list[float]) -> tuple[list[int], i
     return out, held
 
 
-def _settle_block(level: int, seed: int, last: bool):
+def _settle_block(level: int, seed: int, last: bool, reserve: int):
     def finished(batch: pa.RecordBatch, took: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
         if last and (took < 0).any():  # the root rounds what is left at random, by its own probability
             took = np.where(took < 0, _uniform(batch["__order"].to_numpy(), level + 1000, seed) < p, took)
@@ -103,32 +105,32 @@ def _settle_block(level: int, seed: int, last: bool):
         return pa.RecordBatch.from_arrays([*columns, pa.array(took.astype(np.int64))], names=[*batch.schema.names, "__took"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (node, source, size); a node's source may span batches, so its undecided row is carried on."""
-        held: tuple[pa.RecordBatch, float] | None = None
+        """Rows come sorted by (node, source, size). The last group of a batch may go on in the next: its undecided row is carried on."""
+        carried: tuple[pa.RecordBatch, float] | None = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             p = batch["__p"].to_numpy().copy()
-            if held is not None:
-                batch = pa.Table.from_batches([held[0], batch]).combine_chunks().to_batches()[0]
-                p = np.r_[held[1], p]
+            order = batch["__order"].to_numpy()
+            trades = np.ones(len(order), bool) if last else mix(order.astype(np.uint64) + np.uint64(level)) % np.uint64(reserve) != 0
+            if carried is not None:
+                batch = pa.Table.from_batches([carried[0], batch]).combine_chunks().to_batches()[0]
+                p, trades = np.r_[carried[1], p], np.r_[True, trades]
             node, source = batch["__node"].to_numpy(), batch["__source_no"].to_numpy()
             cut = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (source[1:] != source[:-1])]).tolist()
-            s, u = batch["__size"].to_numpy().astype(float).tolist(), _uniform(batch["__order"].to_numpy(), level, seed).tolist()
-            took, held_at = np.empty(batch.num_rows, np.int64), -1
+            s, u = batch["__size"].to_numpy().astype(float), _uniform(batch["__order"].to_numpy(), level, seed)
+            took, at = np.full(batch.num_rows, -1), -1
             for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
-                part = p[a:b].tolist()
-                took[a:b], at = settle(part, s[a:b], u[a:b])
-                p[a:b] = part
-                held_at = a + at if at >= 0 else -1
-            held = None
-            if held_at >= 0:
-                held = batch.slice(held_at, 1), p[held_at]
-                rest = np.delete(np.arange(batch.num_rows), held_at)
-                batch, took, p = batch.take(pa.array(rest)), took[rest], p[rest]
-            yield finished(batch, took, p)
-        if held is not None:
-            yield finished(held[0], np.array([-1]), np.array([held[1]]))
+                rows = a + np.flatnonzero(trades[a:b])
+                part = p[rows].tolist()
+                took[rows], at = settle(part, s[rows].tolist(), u[rows].tolist())
+                p[rows] = part
+                at = int(rows[at]) if at >= 0 else -1
+            carried = (batch.slice(at, 1), p[at]) if at >= 0 else None
+            rest = np.delete(np.arange(batch.num_rows), [at] if at >= 0 else [])
+            yield finished(batch.take(pa.array(rest)), took[rest], p[rest])
+        if carried is not None:
+            yield finished(carried[0], np.array([-1]), np.array([carried[1]]))
 
     return run
 
@@ -141,16 +143,19 @@ def copies(items: DataFrame, rows: int, seed: int = 17, block_rows: int = BLOCK_
     nodes = max(1, -(-rows // block_rows))
     items = items.withColumn("__order", F.xxhash64("__key", "__size", F.lit(seed))).withColumn("__node", F.pmod(F.xxhash64("__key", F.lit(seed + 1)), F.lit(nodes)))
     schema = T.StructType([*items.schema.fields, T.StructField("__took", T.LongType())])
-    done, level = None, 0
+    # whole fractions and empty documents need no trade
+    fractional = F.col("__p").between(EPS, 1 - EPS) & (F.col("__size") > 0)
+    done = items.where(~fractional).withColumn("__took", (F.col("__p") > 0.5).cast("long"))
+    items, level = items.where(fractional), 0
     while True:
         last = nodes == 1
         # a block's rows of a source meet large before small, so that what is left over is small
-        run = items.repartition("__node").sortWithinPartitions("__node", "__source_no", F.col("__size").desc(), "__order").mapInArrow(_settle_block(level, seed, last), schema)
+        run = items.repartition("__node").sortWithinPartitions("__node", "__source_no", F.col("__size").desc(), "__order").mapInArrow(_settle_block(level, seed, last, fan_in), schema)
         if last:
-            return run if done is None else done.unionByName(run)
+            return done.unionByName(run)
         run = stored(run)
         whole = run.where("__took >= 0")
-        done = whole if done is None else done.unionByName(whole)
+        done = done.unionByName(whole)
         nodes = -(-nodes // fan_in)
         items = run.where("__took < 0").drop("__took").withColumn("__node", F.floor(F.col("__node") / fan_in) if nodes > 1 else F.lit(0).cast("long"))
         level += 1
