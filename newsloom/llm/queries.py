@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, chat, line_dedup, minhash, mixing, quality_mil, quality_rules, toxicity
+from newsloom.llm import bpe, chat, html_wrapper, line_dedup, minhash, mixing, quality_mil, quality_rules, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: A conversation whose texts hold control strings of common templates.
@@ -50,12 +50,16 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), TOKENIZER, public_tokenizers.PATTERN), TOKENIZER))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(read(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_minhash, op5_chat_formatting, op6_mixing, op7_line_dedup, op8_byte_bpe, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_minhash, op5_chat_formatting, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_html_extraction, op10_quality_rules)}
 
 _ESC = r"replace(replace(replace({0}, '\', '\\'), '<', '\<'), '>', '\>')"
 ORACLE: dict[str, str] = {
