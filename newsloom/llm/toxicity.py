@@ -29,6 +29,8 @@ FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 WINDOW, STRIDE, HIDDEN = 64, 32, 8
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 BITS = 19
+#: Bytes of text of a step and windows of a pass of the network: what a worker holds at a time.
+STEP, PASS = 1 << 19, 1024
 TRAIN_WINDOWS, EPOCHS, LEAST_STEPS, BATCH = 16_000, 4, 400, 256
 #: Everything but letters and digits separates words; bytes over 127 are parts of letters.
 GAP = np.ones(256, bool)
@@ -197,8 +199,8 @@ class Model(NamedTuple):
 
     def window_logits(self, x: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
         out = np.empty(len(first), np.float32)
-        for a in range(0, len(first), 4096):
-            out[a : a + 4096] = self.gru.forward(*lay(x, first[a : a + 4096], size[a : a + 4096]))[0]
+        for a in range(0, len(first), PASS):
+            out[a : a + PASS] = self.gru.forward(*lay(x, first[a : a + PASS], size[a : a + PASS]))[0]
         return out
 
     def score(self, w: Words) -> np.ndarray:
@@ -270,7 +272,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, offs in steps(lower(batch)):
+            for part, data, offs in steps(lower(batch), most=STEP):
                 yield batch_of(SCORED, doc_id=part["doc_id"], score=model.score(read(data, offs)))
 
     return documents_of(docs).mapInArrow(run, "doc_id long, score double")
