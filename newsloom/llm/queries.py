@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, chat, html_wrapper, line_dedup, minhash, mixing, quality_mil, quality_rules, toxicity
+from newsloom.llm import ann, bpe, chat, html_wrapper, line_dedup, minhash, mixing, quality_mil, quality_rules, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: A conversation whose texts hold control strings of common templates.
@@ -19,6 +19,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -59,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_quality, op4_minhash, op5_chat_formatting, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_html_extraction, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_toxicity, op3_quality, op4_minhash, op5_chat_formatting, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_html_extraction, op10_quality_rules)}
 
 _ESC = r"replace(replace(replace({0}, '\', '\\'), '<', '\<'), '>', '\>')"
 ORACLE: dict[str, str] = {
