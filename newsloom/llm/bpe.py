@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 Texts are split by the tokenizer's pattern and their distinct words (the pattern's matches) are found in bounded
-blocks of text. Each distinct word becomes one row with its byte array; a fold of ranked merges runs on it in the
+blocks of text. Each distinct word becomes one row with its byte array (as the bytes' ids); a fold of ranked merges runs on it in the
 JVM (``aggregate``, ``array_min``, ``array_position``, ``slice``, ``concat``). Ranks of pairs stand in the plan as
 literal arrays, a rank map of one probe (row displacement): a map literal would be searched from its start each time. The texts'
 ids follow from their words' ids. Decoding concatenates the binary pieces of the ids, by the same means.
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from newsloom.llm._shared import documents_of
 
 #: Code points of text in a block, whose distinct words are merged once.
-BLOCK_CHARS = 12_000_000
-NO_RANK = 1 << 30
+BLOCK_CHARS = 10_000_000
 ID_BITS = 16
+NAMES = ["block", "word", "ranks", "doc_id", "codes"]
 
 
 @lru_cache(maxsize=4)
@@ -89,35 +89,37 @@ class Ranks:
         one = {b[0]: i for i, b in enumerate(self.vocab) if len(b) == 1}
         if len(one) != 256:
             raise ValueError("each byte must be a token")
-        self.byte_ids = [one[b] for b in range(256)]
+        self.byte_ids = np.array([one[b] for b in range(256)], np.int64)
+        self.pairs = np.full((256, 256), -1, np.int64)  # ranks of byte pairs
+        for i, b in enumerate(self.vocab):
+            if len(b) == 2:
+                self.pairs[b[0], b[1]] = i
 
     def rank(self, a: Column, b: Column) -> Column:
-        """Rank of the pair, or NO_RANK; null ids have none."""
+        """Rank of the pair, or null; null ids have none."""
         slot = F.get(_longs(self.slots), F.get(_longs(self.shifts), a) + b)
-        return let(slot, lambda x: F.when(F.shiftright(x, ID_BITS) == a, x.bitwiseAND(F.lit((1 << ID_BITS) - 1))).otherwise(F.lit(NO_RANK).cast("long")))
+        return let(slot, lambda x: F.when(F.shiftright(x, ID_BITS) == a, x.bitwiseAND(F.lit((1 << ID_BITS) - 1))))
 
-    def merged(self, bytes_: Column) -> Column:
-        """Ids of one word: the pair of lowest rank is merged, the first of equals, until no pair has a rank."""
+    def merged(self, word: Column, ranks: Column) -> Column:
+        """Ids of one word, given the ids of its bytes and the ranks of its byte pairs: the pair of lowest rank is merged, the first of equals, until no pair has a rank."""
 
         def step(state: Column, _: Column) -> Column:
-            ids, ranks = state["ids"], state["ranks"]
+            ids, ranks = state["ids"], state["ranks"]  # ranks[i] is that of the pair (i, i + 1), null if it has none
 
             def at(best: Column, i: Column) -> Column:
                 left, size = F.get(ids, i - 2), F.size(ids)
-                new_ids = F.concat(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, size))
-                before = F.concat(F.slice(ranks, F.lit(1), F.greatest(i - 2, F.lit(0))), F.when(i > 1, F.array(self.rank(left, best))).otherwise(F.slice(ranks, F.lit(1), F.lit(0))))
-                new_ranks = F.concat(before, F.array(self.rank(best, F.get(ids, i + 1))), F.slice(ranks, i + 2, size))
-                return F.struct(new_ids.alias("ids"), new_ranks.alias("ranks"))
+                new_ids = F.flatten(F.array(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, size)))
+                after = F.array(self.rank(best, F.get(ids, i + 1)))
+                first = F.flatten(F.array(after, F.slice(ranks, i + 2, size)))
+                later = F.flatten(F.array(F.slice(ranks, F.lit(1), i - 2), F.array(self.rank(left, best)), after, F.slice(ranks, i + 2, size)))
+                return F.struct(new_ids.alias("ids"), F.when(i == 1, first).otherwise(later).alias("ranks"))
 
-            merge = let(F.array_min(ranks), lambda best: F.when(best == NO_RANK, state).otherwise(let(F.array_position(ranks, best).cast("int"), lambda i: at(best, i))))
-            return merge
+            return let(F.array_min(ranks), lambda best: F.when(best.isNull(), state).otherwise(let(F.array_position(ranks, best).cast("int"), lambda i: at(best, i))))
 
-        first = F.transform(bytes_, lambda b: F.get(_longs(self.byte_ids), b.cast("int")))
-        start = let(first, lambda ids: F.struct(ids.alias("ids"), F.transform(ids, lambda x, i: self.rank(x, F.get(ids, i + 1))).alias("ranks")))
-        return F.aggregate(bytes_, start, step, lambda s: s["ids"])
+        return F.aggregate(word, F.struct(word.alias("ids"), ranks.alias("ranks")), step, lambda s: s["ids"])
 
 
-def _blocks(pattern: str):
+def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -130,16 +132,21 @@ def _blocks(pattern: str):
             joined = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.zeros(len(texts) + 1, np.int32)
             np.cumsum([len(t) for t in texts], out=ends[1:])
+            rank = np.full(len(joined), -1, np.int64)
+            rank[:-1] = pairs[joined[:-1], joined[1:]]
+            rank[ends[1:] - 1] = -1  # the last byte of a word has no pair
             per = 20_000
             for a in range(0, len(texts), per):
                 b = min(a + per, len(texts))
-                bytes_ = pa.ListArray.from_arrays(pa.array(ends[a : b + 1] - ends[a]), pa.array(joined[ends[a] : ends[b]].astype(np.int16)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), bytes_, pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names=["block", "word", "doc_id", "codes"])
+                at, offs = slice(ends[a], ends[b]), pa.array(ends[a : b + 1] - ends[a])
+                word = pa.ListArray.from_arrays(offs, pa.array(byte_ids[joined[at]]))
+                ranks = pa.ListArray.from_arrays(offs, pa.array(rank[at], mask=rank[at] < 0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), word, ranks, pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names=NAMES)
             for a in range(0, len(docs), 2000):
                 part = docs[a : a + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.nulls(len(part), bytes_type), pa.array([d for d, _ in part], pa.int64()), pa.array([c for _, c in part], pa.binary())], names=["block", "word", "doc_id", "codes"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.nulls(len(part), longs), pa.nulls(len(part), longs), pa.array([d for d, _ in part], pa.int64()), pa.array([c for _, c in part], pa.binary())], names=NAMES)
 
-        bytes_type = pa.list_(pa.int16())
+        longs = pa.list_(pa.int64())
         for batch in batches:
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 pieces = find(text or "")
@@ -190,8 +197,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
     ranks = Ranks(path)
-    rows = documents_of(docs).mapInArrow(_blocks(pattern), "block long, word array<smallint>, doc_id long, codes binary")
-    rows = rows.select("block", "doc_id", "codes", F.when(F.col("codes").isNull(), ranks.merged(F.col("word"))).alias("ids"))
+    rows = documents_of(docs).mapInArrow(_blocks(pattern, ranks.byte_ids, ranks.pairs), "block long, word array<bigint>, ranks array<bigint>, doc_id long, codes binary")
+    rows = rows.select("block", "doc_id", "codes", F.when(F.col("codes").isNull(), ranks.merged(F.col("word"), F.col("ranks"))).alias("ids"))
     return rows.mapInArrow(_texts, "doc_id long, ids array<int>")
 
 
