@@ -28,6 +28,8 @@ from newsloom.llm._shared import documents_of
 #: Code points of text in a block, whose distinct words are merged once.
 BLOCK_CHARS = 10_000_000
 ID_BITS = 16
+#: Slots for each pair, besides one for each id.
+ROOM = 4
 NAMES = ["block", "word", "ranks", "doc_id", "codes"]
 
 
@@ -58,10 +60,10 @@ def place(keys: np.ndarray, ranks: np.ndarray, ids: int) -> tuple[np.ndarray, np
     order = np.argsort(left, kind="stable")
     cuts = np.flatnonzero(np.r_[True, np.diff(left[order]) > 0, True])
     groups = sorted((order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), key=len, reverse=True)
-    shifts, slots, rng = np.zeros(ids, np.int64), np.full(ids + 4 * len(keys), -1, np.int64), np.random.default_rng(5)
+    shifts, slots, rng = np.zeros(ids, np.int64), np.full(ids + ROOM * len(keys), -1, np.int64), np.random.default_rng(5)
     for g in groups:
         while True:
-            at = int(rng.integers(4 * len(keys))) + right[g]
+            at = int(rng.integers(ROOM * len(keys))) + right[g]
             if (slots[at] < 0).all():
                 break
         shifts[left[g[0]]] = at[0] - right[g[0]]
@@ -95,28 +97,36 @@ class Ranks:
             if len(b) == 2:
                 self.pairs[b[0], b[1]] = i
 
-    def rank(self, a: Column, b: Column) -> Column:
-        """Rank of the pair, or null; null ids have none."""
-        slot = F.get(_longs(self.slots), F.get(_longs(self.shifts), a) + b)
+    def tables(self) -> Column:
+        """Both arrays as one literal, bound once around the fold: the plan and every task hold one copy."""
+        return F.struct(_longs(self.shifts).alias("shifts"), _longs(self.slots).alias("slots"))
+
+    @staticmethod
+    def rank(t: Column, a: Column, b: Column) -> Column:
+        """Rank of the pair, or null; null ids have none. ``t``: the tables."""
+        slot = F.get(t["slots"], F.get(t["shifts"], a) + b)
         return let(slot, lambda x: F.when(F.shiftright(x, ID_BITS) == a, x.bitwiseAND(F.lit((1 << ID_BITS) - 1))))
 
     def merged(self, word: Column, ranks: Column) -> Column:
         """Ids of one word, given the ids of its bytes and the ranks of its byte pairs: the pair of lowest rank is merged, the first of equals, until no pair has a rank."""
 
-        def step(state: Column, _: Column) -> Column:
-            ids, ranks = state["ids"], state["ranks"]  # ranks[i] is that of the pair (i, i + 1), null if it has none
+        def fold(t: Column) -> Column:
+            def step(state: Column, _: Column) -> Column:
+                ids, ranks = state["ids"], state["ranks"]  # ranks[i] is that of the pair (i, i + 1), null if it has none
+
+                def at(best: Column, i: Column) -> Column:
+                    size = F.size(ids)
+                    new_ids = F.flatten(F.array(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, size)))
+                    after = F.array(self.rank(t, best, F.get(ids, i + 1)))
+                    first = F.flatten(F.array(after, F.slice(ranks, i + 2, size)))
+                    later = F.flatten(F.array(F.slice(ranks, F.lit(1), i - 2), F.array(self.rank(t, F.get(ids, i - 2), best)), after, F.slice(ranks, i + 2, size)))
+                    return F.struct(new_ids.alias("ids"), F.when(i == 1, first).otherwise(later).alias("ranks"))
 
-            def at(best: Column, i: Column) -> Column:
-                left, size = F.get(ids, i - 2), F.size(ids)
-                new_ids = F.flatten(F.array(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, size)))
-                after = F.array(self.rank(best, F.get(ids, i + 1)))
-                first = F.flatten(F.array(after, F.slice(ranks, i + 2, size)))
-                later = F.flatten(F.array(F.slice(ranks, F.lit(1), i - 2), F.array(self.rank(left, best)), after, F.slice(ranks, i + 2, size)))
-                return F.struct(new_ids.alias("ids"), F.when(i == 1, first).otherwise(later).alias("ranks"))
+                return let(F.array_min(ranks), lambda best: F.when(best.isNull(), state).otherwise(let(F.array_position(ranks, best).cast("int"), lambda i: at(best, i))))
 
-            return let(F.array_min(ranks), lambda best: F.when(best.isNull(), state).otherwise(let(F.array_position(ranks, best).cast("int"), lambda i: at(best, i))))
+            return F.aggregate(word, F.struct(word.alias("ids"), ranks.alias("ranks")), step, lambda s: s["ids"])
 
-        return F.aggregate(word, F.struct(word.alias("ids"), ranks.alias("ranks")), step, lambda s: s["ids"])
+        return let(self.tables(), fold)
 
 
 def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray):
