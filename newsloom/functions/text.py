@@ -178,3 +178,32 @@ def boilerplate(text: Column) -> Column:
 def sentence_ending(text: Column) -> Column:
     """A closing mark, perhaps with closing quotes or brackets behind it."""
     return F.rtrim(text).rlike(r"""[.!?…。！？؟]["'”’»)\]]*$""")
+
+
+#: Month names and markers of publish dates.
+MONTHS_TR = ("ocak", "subat", "şubat", "mart", "nisan", "mayis", "mayıs", "haziran", "temmuz", "agustos", "ağustos", "eylul", "eylül", "ekim", "kasim", "kasım", "aralik", "aralık")
+MONTHS_EN = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MARKERS = (
+    "last updated", "updated:", "published:", "publish date", "publication date", "giriş tarihi", "yayınlanma tarihi", "yayinlanma tarihi", "güncelleme tarihi",
+    "guncelleme tarihi", "son güncelleme", "son guncelleme", "oluşturulma tarihi", "olusturulma tarihi",
+)
+MARKERS_TR = ("giriş:", "yayınlanma:", "yayinlanma:", "güncellenme:", "guncellenme:", "saat:")
+DATE_WORDS = ("date", "updated", "published", "giriş", "yayın", "yayin", "güncelle", "guncelle", "saat")
+DATE_SHAPES = (r"[0-3]?\d[./-][0-1]?\d[./-](?:\d{4}|\d{2})", r"\d{4}[./-][0-1]?\d[./-][0-3]?\d", r"[0-2]?\d:[0-5]\d")
+
+
+def datetime_like(text: Column) -> Column:
+    """T14 on normalised text."""
+    return _any(F.lower(text), [f"{LEFT}(?:{'|'.join((*DATE_SHAPES, *MONTHS_TR, *MONTHS_EN))}){RIGHT}"])
+
+
+def metadata_sentence(text: Column, language: str) -> Column:
+    """T15 on normalised text: publish or update notes rather than prose."""
+    low = F.lower(text)
+    markers = (*MARKERS, *MARKERS_TR) if language == "tr" else MARKERS
+    marked = reduce(lambda a, b: a | b, [low.contains(m) for m in markers])
+    dated, size = datetime_like(text), F.length(low)
+    short = (word_like_count(low) <= 7) & (size <= 64)
+    named = _any(low, [f"{LEFT}(?:{'|'.join(DATE_WORDS)}){RIGHT}"])
+    bare = low.rlike(rf"^(?:\d|{SPACE}|[:./|-])+$")
+    return F.when(text == "", True).when(size > 240, False).otherwise((marked & (dated | (size <= 110))) | (dated & short) | (dated & named) | bare)

@@ -207,7 +207,7 @@ def j6_gated_anti(spark, sf_dir):
 def k1_upsert_items(spark, sf_dir):
     i = fx.news_items(spark, sf_dir).select("id", "link", "title", "published_at", "image_url", "article_text", "fetched_at")
     old = i.where("id % 3 <> 2").withColumn("image_url", F.concat(F.lit("img"), F.col("id").cast("string")))
-    new = i.where("id % 3 <> 0").withColumn("title", F.upper("title")).withColumn("article_text", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("article_text"))).withColumn("published_at", F.lit(None).cast("string"))
+    new = i.where("id % 3 <> 0").withColumn("title", F.concat(F.lit("new "), F.col("title"))).withColumn("article_text", F.when(F.col("id") % 2 == 0, "").otherwise(F.col("article_text"))).withColumn("published_at", F.lit(None).cast("string"))
     return upsert_items(old, new).select("id", "link", "title", "published_at", "image_url", F.length("article_text").cast("long").alias("text_chars"), "inserted")
 
 
@@ -280,7 +280,7 @@ ORACLE = {
     "j6_gated_anti": "SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY source",
     "k1_upsert_items": f"""WITH i AS (SELECT * FROM {I}),
  o AS (SELECT *, 'img' || id AS img FROM i WHERE id % 3 <> 2),
- n AS (SELECT id, link, upper(title) AS title, CASE WHEN id % 2 = 0 THEN '' ELSE article_text END AS article_text FROM i WHERE id % 3 <> 0)
+ n AS (SELECT id, link, 'new ' || title AS title, CASE WHEN id % 2 = 0 THEN '' ELSE article_text END AS article_text FROM i WHERE id % 3 <> 0)
 SELECT coalesce(o.id, n.id) AS id, coalesce(o.link, n.link) AS link, coalesce(n.title, o.title) AS title, o.published_at, coalesce(o.img, '') AS image_url,
  length(CASE WHEN n.id IS NULL THEN o.article_text ELSE coalesce(nullif(n.article_text, ''), o.article_text, n.article_text) END) AS text_chars, o.id IS NULL AS inserted
 FROM o FULL JOIN n ON o.link = n.link""",
