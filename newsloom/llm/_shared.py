@@ -100,6 +100,13 @@ def steps(batch: pa.RecordBatch, column: str = "text", most: int = STEP_BYTES) -
         at = to
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows: what is made of them as Python objects stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of the maximal runs of other than ``space``, and the row of each; no run spans two rows."""
     n = len(data)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import documents_of
+from newsloom.llm._shared import documents_of, slices
 
 #: Code points of text in a block, whose distinct words are merged once.
 BLOCK_CHARS = 10_000_000
@@ -157,7 +157,7 @@ def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.nulls(len(part), longs), pa.nulls(len(part), longs), pa.array([d for d, _ in part], pa.int64()), pa.array([c for _, c in part], pa.binary())], names=NAMES)
 
         longs = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 pieces = find(text or "")
                 for p in pieces:

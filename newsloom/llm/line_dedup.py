@@ -33,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import Stored, documents_of
+from newsloom.llm._shared import Stored, documents_of, slices
 
 MIN_CHARS = 10
 STRIP = " \t\n\x0b\x0c\r"
 LOWER_AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Documents whose postings of one key share a row, and keys of a shard.
-BLOCK_DOCS, SHARD_KEYS = 4000, 400_000
+BLOCK_DOCS, BLOCK_KEYS, SHARD_KEYS = 4000, 60_000, 400_000
 #: Cuckoo filter: slots of a bucket, 16-bit fingerprints, load at most, moves before it grows.
 SLOTS, LOAD, MOVES = 4, 0.85, 200
 POSTINGS = "hi long, lo long, docs array<long>"
@@ -143,7 +143,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), pa.array([sorted(v) for v in held.values()], pa.list_(pa.int64()))], names=["hi", "lo", "docs"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
             if doc is None:
                 continue
@@ -152,7 +152,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(key) >= MIN_CHARS:
                     held.setdefault(key_hash(key), set()).add(doc)
             docs += 1
-            if docs >= BLOCK_DOCS or len(held) >= 200_000:
+            if docs >= BLOCK_DOCS or len(held) >= BLOCK_KEYS:
                 yield out()
                 held, docs = {}, 0
     if held:
@@ -283,7 +283,7 @@ class LineIndex:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, n_lines, n_dropped = [], [], []
         drops = batch["__drop"].to_pylist()
         for text, drop in zip(batch["text"].to_pylist(), drops, strict=True):
