@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import Stored
+from newsloom.llm._shared import Stored, lean
 
 DEGREE, REVERSE, TREES, BLOCK, MAX_ROUNDS, FEW = 24, 20, 4, 100, 7, 0.01
 BEAM, EXPAND = 448, 112
@@ -192,7 +192,7 @@ def _reverse(edges: DataFrame, salt: int) -> DataFrame:
 
 
 def _lists_of(edges: DataFrame) -> DataFrame:
-    return edges.repartition("u").sortWithinPartitions("u", "d", "v", "fresh").mapInArrow(_nearest, EDGES)
+    return edges.repartition("u").sortWithinPartitions("u", "d", "v", "fresh").mapInArrow(lean(_nearest), EDGES)
 
 
 class Graph:
@@ -209,7 +209,7 @@ def build(rows: DataFrame, key: str = "vec_id", column: str = "embedding", seed:
     rng = np.random.default_rng(seed)
     bits = int(np.ceil(np.log2(max(2, n / BLOCK))))
     planes = rng.normal(size=(TREES, min(bits, 60) + 1, size))
-    vectors = Stored(raw.df.mapInArrow(_encode(most, planes), "id long, exact binary, half binary, code array<long>, along array<double>"))
+    vectors = Stored(raw.df.mapInArrow(lean(_encode(most, planes)), "id long, exact binary, half binary, code array<long>, along array<double>"))
     raw.drop()
     if n == 1:
         return Graph(vectors, None, n)
@@ -218,7 +218,7 @@ def build(rows: DataFrame, key: str = "vec_id", column: str = "embedding", seed:
         order = vectors.df.select("id", "half", F.col("code")[t].alias("c"), F.col("along")[t].alias("a"))
         parts = max(1, n // (40 * BLOCK))
         order = order.repartitionByRange(parts, "c", "a", "id").sortWithinPartitions("c", "a", "id") if parts > 1 else order.coalesce(1).sortWithinPartitions("c", "a", "id")
-        block = order.select("id", "half").mapInArrow(_blocks, EDGES)
+        block = order.select("id", "half").mapInArrow(lean(_blocks), EDGES)
         first = block if first is None else first.unionByName(block)
     edges = Stored(_lists_of(first))
     for turn in range(MAX_ROUNDS):
@@ -227,7 +227,7 @@ def build(rows: DataFrame, key: str = "vec_id", column: str = "embedding", seed:
         ends = e.groupBy("u").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
         known = Stored(vectors.df.select("id", "half").join(ends, F.col("id") == F.col("u")).select(F.col("id").alias("x"), "half", "worst"))
         groups = members.join(known.df, "x").repartition("w").sortWithinPartitions("w")
-        found = groups.select("w", "x", "fresh", "half", "worst").mapInArrow(_join_groups, EDGES)
+        found = groups.select("w", "x", "fresh", "half", "worst").mapInArrow(lean(_join_groups), EDGES)
         new = Stored(_lists_of(e.withColumn("fresh", F.lit(False)).unionByName(found)))
         changed = new.df.where("fresh").count()
         edges.drop()
@@ -303,7 +303,7 @@ def search(graph: Graph | None, queries: DataFrame, k: int = 10, beam: int = BEA
         found = ask.join(v, "id").select("q", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("qvec"), F.expr("cast(null as array<long>)").alias("ids"), F.expr("cast(null as array<double>)").alias("ds"), F.expr("cast(null as array<boolean>)").alias("done"), F.col("id").alias("x"), "exact")
         state = beams.df.withColumn("going", _next(expand)).withColumn("done", F.transform("ids", lambda x, i: F.get("done", i) | F.array_contains("going", x)))
         state = state.select("q", F.lit(0).alias("kind"), "qvec", "ids", "ds", "done", F.lit(None).cast("long").alias("x"), F.lit(None).cast("binary").alias("exact"))
-        new = Stored(state.unionByName(found).repartition("q").sortWithinPartitions("q", "kind").mapInArrow(_beams(beam), BEAMS))
+        new = Stored(state.unionByName(found).repartition("q").sortWithinPartitions("q", "kind").mapInArrow(lean(_beams(beam)), BEAMS))
         beams.drop()
         beams = new
         at = beams.df.select("q", F.explode(_next(expand)).alias("u"))

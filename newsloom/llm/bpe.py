@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import documents_of, slices
+from newsloom.llm._shared import documents_of, lean, slices
 
 #: Code points of text in a block, whose distinct words are merged once.
 BLOCK_CHARS = 10_000_000
@@ -207,9 +207,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
     ranks = Ranks(path)
-    rows = documents_of(docs).mapInArrow(_blocks(pattern, ranks.byte_ids, ranks.pairs), "block long, word array<bigint>, ranks array<bigint>, doc_id long, codes binary")
+    rows = documents_of(docs).mapInArrow(lean(_blocks(pattern, ranks.byte_ids, ranks.pairs)), "block long, word array<bigint>, ranks array<bigint>, doc_id long, codes binary")
     rows = rows.select("block", "doc_id", "codes", F.when(F.col("codes").isNull(), ranks.merged(F.col("word"), F.col("ranks"))).alias("ids"))
-    return rows.mapInArrow(_texts, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(_texts), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import Stored, documents_of, slices
+from newsloom.llm._shared import Stored, documents_of, lean, slices
 
 MIN_CHARS = 10
 STRIP = " \t\n\x0b\x0c\r"
@@ -204,7 +204,7 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """Adds documents with ids that the index doesn't hold yet."""
-        raw = Stored(documents_of(docs).mapInArrow(_postings, POSTINGS))
+        raw = Stored(documents_of(docs).mapInArrow(lean(_postings), POSTINGS))
         if self.shards is None:
             self.shards = max(1, -(-raw.df.count() // SHARD_KEYS))
         new = _sharded(raw.df, self.shards)
@@ -279,7 +279,7 @@ class LineIndex:
         """``docs`` with two more columns, __text (kept lines) and __lines struct<n_lines, n_dropped>."""
         joined = docs.join(self.drops().withColumnRenamed("doc_id", "__doc"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc").withColumnRenamed("drop", "__drop")
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", __text string, __n_lines long, __n_dropped long"
-        return joined.mapInArrow(_kept, schema)
+        return joined.mapInArrow(lean(_kept), schema)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

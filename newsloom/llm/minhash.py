@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import LOWER, Stored, batch_of, documents_of, mix, range_hashes, steps, words
+from newsloom.llm._shared import LOWER, Stored, batch_of, documents_of, lean, mix, range_hashes, steps, words
 from newsloom.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
@@ -183,7 +183,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each document."""
     docs = documents_of(docs)
-    signed = Stored(docs.mapInArrow(_sign, SIGNED))
+    signed = Stored(docs.mapInArrow(lean(_sign), SIGNED))
     usable = signed.df.where("hi is not null and doc_id is not null")
     classes = Stored(usable.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("hi", "lo", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")))
     keys = classes.df.select(F.col("rep"), F.explode("bands").alias("key"))
@@ -196,10 +196,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = Stored(clusters.join(sizes, "comp").select(F.col("node").alias("member"), F.col("comp").alias("cluster"), "blocks"))
     # one row of text for each member; repeated rows of an id have one text between them
     texts = docs.join(members.df, F.col("doc_id") == F.col("member")).select("doc_id", "text", "cluster", "blocks")
-    sets = texts.mapInArrow(_sets, "doc_id long, cluster long, blocks int, shingles binary")
+    sets = texts.mapInArrow(lean(_sets), "doc_id long, cluster long, blocks int, shingles binary")
     sets = sets.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = sets.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "shingles")
-    edges = units.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id").mapInArrow(_compare, "a long, b long")
+    edges = units.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id").mapInArrow(lean(_compare), "a long, b long")
     linked = components(Stored(edges).df)
     of_class = classes.df.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
     whole = signed.df.withColumn("hi", F.when(F.col("doc_id").isNotNull(), F.col("hi"))).join(of_class, ["hi", "lo"], "left")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm._shared import Stored, mix, stored
+from newsloom.llm._shared import Stored, lean, mix, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -150,7 +150,7 @@ def copies(items: DataFrame, rows: int, seed: int = 17, block_rows: int = BLOCK_
     while True:
         last = nodes == 1
         # a block's rows of a source meet large before small, so that what is left over is small
-        run = items.repartition("__node").sortWithinPartitions("__node", "__source_no", F.col("__size").desc(), "__order").mapInArrow(_settle_block(level, seed, last, fan_in), schema)
+        run = items.repartition("__node").sortWithinPartitions("__node", "__source_no", F.col("__size").desc(), "__order").mapInArrow(lean(_settle_block(level, seed, last, fan_in)), schema)
         if last:
             return done.unionByName(run)
         run = stored(run)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm._learn import Adam, sample, sigmoid
-from newsloom.llm._shared import batch_of, documents_of, fold, mix, range_hashes, steps, words
+from newsloom.llm._shared import batch_of, documents_of, fold, lean, mix, range_hashes, steps, words
 
 #: Documented bounds of the training sample: documents of label 0 and 1, and code points of each.
 SAMPLE, SAMPLE_CHARS = (700, 1000), 100_000
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Mil) -> DataFrame:
             for part, data, offs in steps(batch):
                 yield batch_of(SCORED, doc_id=part["doc_id"], score=model.score(*passages(data, offs)))
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, score double")
+    return documents_of(docs).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -167,4 +167,4 @@ def keep(docs: DataFrame, model: Mil) -> DataFrame:
                 good = model.score(*passages(data, offs)) >= CUT
                 yield part.filter(pa.array(good))
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return docs.select(*names).mapInArrow(lean(run), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm._learn import Adam, logistic, sample, sigmoid
-from newsloom.llm._shared import LOWER, batch_of, documents_of, fold, range_hashes, steps, words
+from newsloom.llm._shared import LOWER, batch_of, documents_of, fold, lean, range_hashes, steps, words
 
 #: Documented bounds of the training sample: documents of label 0 and 1, and code points of each.
 SAMPLE, SAMPLE_CHARS = (1200, 700), 60_000
@@ -275,7 +275,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part, data, offs in steps(lower(batch), most=STEP):
                 yield batch_of(SCORED, doc_id=part["doc_id"], score=model.score(read(data, offs)))
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, score double")
+    return documents_of(docs).mapInArrow(lean(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
