@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.plans import catalog, corpus, evaluation, feed, serving
+from newsloom.plans import articles, catalog, corpus, evaluation, feed, serving
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (serving, feed, evaluation, corpus, catalog):
+for _module in (serving, feed, evaluation, corpus, catalog, articles):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
