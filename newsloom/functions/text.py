@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def collapse(text: Column) -> Column:
 
 def unescape(text: Column, rounds: int = 1) -> Column:
     """HTML character references, up to ``rounds`` times. Texts without & never leave the JVM's values: the Arrow UDF sees them as they are."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def decoded(col: pd.Series) -> pd.Series:
         import html
