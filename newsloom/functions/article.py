@@ -68,10 +68,12 @@ def filter_noise(text: Column) -> Column:
     chunks = F.flatten(F.transform(F.split(text, rf"{tx.SPACE}+\|{tx.SPACE}+"), lambda b: tx.sentences(tx.clean(b))))
     note = lambda s: (tx.metadata_sentence(s, "en") | tx.metadata_sentence(s, "tr")) & (F.length(s) <= 140)
     prose = F.filter(chunks, lambda s: (F.length(s) >= 18) & ~tx.code_noise(s) & ~tx.boilerplate(s) & ~note(s))
-    kept = F.array_join(unlike_recent(prose, 6, 0.92), " ")
-    little = F.length(kept) < F.greatest(F.lit(80), F.floor(F.length(text) * 0.35))
-    junk = tx.boilerplate(text)
-    return F.when(text == "", "").when(kept == "", F.when(junk, "").otherwise(text)).when(little & ~junk, text).otherwise(kept)
+
+    def choose(kept: Column) -> Column:
+        little = F.length(kept) < F.greatest(F.lit(80), F.floor(F.length(text) * 0.35))
+        return F.when(~little | (text == ""), kept).otherwise(F.when(tx.boilerplate(text), kept).otherwise(text))
+
+    return tx.let(F.array_join(unlike_recent(prose, 6, 0.92), " "), choose)
 
 
 def score(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.functions import article as ar
+from newsloom.functions import html
 from newsloom.functions import text as tx
 from newsloom.plans.evaluation import collapse_sql
 from newsloom.session import table
@@ -43,6 +44,12 @@ def t20_pick_best(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.length(ar.pick_best(F.array(F.left(t, F.lit(300)), t, F.lit("")))).cast("long").alias("n"))
 
 
+def e8_article_text(spark, sf_dir):
+    """The page is normalised before tags are read: references are decoded and white space collapsed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", tx.collapse(tx.unescape(F.col("html"), 4)).alias("html"))
+    return pages.select("page_id", html.article_text(F.col("html")).alias("text"))
+
+
 def g1_extractive(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", ar.extractive(F.col("text"), 280).alias("summary"))
 
@@ -66,7 +73,7 @@ def g5_summary_cache(spark, sf_dir):
     return d.join(made, ["lang", "key"]).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("key").alias("texts"))
 
 
-_NAMES = "t13_dedupe_segments t15_metadata_sentences t17_source_cleanup t18_filter_noise t19_score t20_pick_best g1_extractive g2_degenerate g3_finalized g6_summaries g5_summary_cache"
+_NAMES = "t13_dedupe_segments t15_metadata_sentences t17_source_cleanup t18_filter_noise t19_score t20_pick_best e8_article_text g1_extractive g2_degenerate g3_finalized g6_summaries g5_summary_cache"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 ORACLE = {
     "g5_summary_cache": f"SELECT lang, count(*) AS n, count(DISTINCT {collapse_sql('text')}) AS texts FROM documents GROUP BY lang",
