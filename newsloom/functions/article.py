@@ -107,6 +107,57 @@ def source_cleanup(text: Column, source: Column, url: Column) -> Column:
     return F.regexp_replace(tx.collapse(F.regexp_replace(tx.clean(text), pattern, F.lit(" "))), r"^[ .,\-|]+|[ .,\-|]+$", "")
 
 
+#: Notes in Turkish news that aren't prose.
+_TR_DATE = r"(?:[0-3]?\d[./-][0-1]?\d[./-](?:\d{4}|\d{2})(?:\s+[0-2]?\d:[0-5]\d)?|[^|]{1,40})"
+TURKISH_NOTES = (
+    rf"{tx.LEFT}(?:Giriş Tarihi|Son Güncelleme|Yayınlanma Tarihi|Güncelleme Tarihi)\s*:\s*{_TR_DATE}",
+    rf"{tx.LEFT}[0-3]?\d\.[0-1]?\d\.\d{{4}}\s+[0-2]?\d:[0-5]\d{tx.RIGHT}",
+    rf"{tx.LEFT}Foto(?:ğraf|graf)\s*:\s*[^.]{{1,100}}",
+    rf"{tx.LEFT}Kaynak\s*:\s*[^.]{{1,100}}",
+    rf"{tx.LEFT}EN ÇOK OKUNANLAR(?:\s*[:|–—-]\s*)?",
+    rf"{tx.LEFT}SON DAK[İI]KA(?:\s+HABERLER[İI])?(?:\s*[:|–—-]\s*)",
+    rf"[^.]{{0,120}}{tx.LEFT}hesab[ıiuü]ndan konuya ilişkin açıklama yapıldı\.?",
+)
+_MARKER = "(?:giriş(?: tarihi)?|yayınlanma tarihi|yayinlanma tarihi|son güncelleme|son guncelleme|güncelleme tarihi|guncelleme tarihi|updated|last updated|published)"
+_DATE = rf"(?:\d{{1,2}}[./-]\d{{1,2}}[./-](?:\d{{4}}|\d{{2}})|\d{{4}}[./-]\d{{1,2}}[./-]\d{{1,2}}|(?:{'|'.join(tx.MONTHS_EN)})\s+\d{{1,2}},?\s+\d{{4}}|(?:{'|'.join(tx.MONTHS_TR)})\s+\d{{1,2}}\s+\d{{4}})(?:\s+[0-2]?\d:[0-5]\d)?"
+
+
+def strip_prefix(sentence: Column) -> Column:
+    """A leading "updated: date" goes."""
+    return F.trim(F.regexp_replace(sentence, rf"(?iu)^\s*{_MARKER}\s*[:\-]\s*(?:{_DATE})?\s*(?:[|–—-]\s*)?", ""))
+
+
+def without_title(parts: Column, title: Column) -> Column:
+    """Leading sentences that only repeat the title go; one that adds eight words, or is much longer, stays and ends this."""
+    more = lambda x: (F.regexp_count(F.lower(x), F.lit(tx.TOKEN)) - F.regexp_count(F.lower(title), F.lit(tx.TOKEN)) >= 8) | (F.length(x) >= F.floor(F.length(title) * 1.45))
+    first = F.array_position(F.transform(parts, lambda x: tx.near_duplicate(x, title) & ~more(x)), F.lit(False))
+    return F.when((title == "") | (first == 0), parts).otherwise(F.slice(parts, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.size(parts), F.lit(1))))
+
+
+def clean_for_summary(text: Column, language: Column, title: Column, source: Column, url: Column) -> Column:
+    """Source phrases, Turkish notes, the repeated title, and notes among the first six sentences go."""
+    base = source_cleanup(text, source, url)
+    base = F.when(language == "tr", tx.collapse(F.regexp_replace(base, "(?iu)" + "|".join(TURKISH_NOTES), " "))).otherwise(base)
+    parts = without_title(tx.sentences(base), title)
+    split = F.flatten(F.transform(parts, lambda p: F.filter(F.transform(F.split(p, rf"{tx.SPACE}+\|{tx.SPACE}+"), lambda x: F.trim(x)), lambda x: x != "")))
+    bare = F.transform(split, strip_prefix)
+    note = lambda s: F.when(language == "tr", tx.metadata_sentence(s, "tr")).otherwise(tx.metadata_sentence(s, "en"))
+    kept = F.filter(bare, lambda s, i: (s != "") & ~((i < 6) & note(s)))
+    joined = tx.let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")).otherwise(F.array_join(bare, " ")))
+    return F.regexp_replace(source_cleanup(joined, source, url), r"^[ .,\-]+|[ .,\-]+$", "")
+
+
+def postprocess(summary: Column, title: Column, language: Column) -> Column:
+    """A title in front goes if enough is left, a summary that is only the title is empty; then as T21, its stop restored."""
+    s, t = tx.collapse(summary), tx.collapse(title)
+    leads = (t != "") & F.startswith(F.lower(s), F.lower(t))
+    tail = F.regexp_replace(F.substring(s, F.length(t) + 1, F.length(s)), r"^[ .:\-]+", "")
+    body = F.when(leads & (F.length(tail) >= 24), F.concat(F.upper(F.left(tail, F.lit(1))), F.substring(tail, F.lit(2), F.length(tail)))).when(~leads & (t != "") & tx.near_duplicate(s, t), "").otherwise(s)
+    done = clean_for_summary(body, language, t, F.lit(""), F.lit(""))
+    stopped = F.regexp_replace(done, "[ ,;:-]+$", "")
+    return F.when((done != "") & ~tx.sentence_ending(done) & tx.sentence_ending(body), F.when(stopped != "", F.concat(stopped, F.lit("."))).otherwise("")).otherwise(done)
+
+
 # --- summaries -----------------------------------------------------------------------------------------
 
 
@@ -135,7 +186,7 @@ def extractive(text: Column, n: int = 280, avoid: Column | None = None) -> Colum
 def degenerate(summary: Column) -> Column:
     """Too few different words, or one too often; pairs of CJK characters stand in for words in short texts."""
     low = F.lower(summary)
-    words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_][\p{L}\p{N}_'-]*)"), F.lit(1))
+    words = F.regexp_extract_all(low, F.lit(f"({tx.TOKEN})"), F.lit(1))
     signs = F.regexp_extract_all(low, F.lit(f"({tx.CJK})"), F.lit(1))
     pairs = F.when(F.size(signs) >= 16, F.transform(F.sequence(F.lit(0), F.size(signs) - 2), lambda i: F.concat(F.get(signs, i), F.get(signs, i + 1)))).otherwise(F.array().cast("array<string>"))
     toks = F.when(F.size(words) >= 8, words).otherwise(pairs)

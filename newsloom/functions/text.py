@@ -10,9 +10,12 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
 WORD = r"[\p{L}\p{N}_]"
+#: A word with inner apostrophes and hyphens.
+TOKEN = rf"{WORD}(?:[\p{{L}}\p{{N}}_'-]*{WORD})?"
 LEFT, RIGHT = rf"(?<!{WORD})", rf"(?!{WORD})"
 CJK = r"[一-鿿぀-ヿ가-힣]"
 CJK_WIDE = r"[㐀-䶿一-鿿豈-﫿぀-ヿ가-힯]"
@@ -116,12 +119,8 @@ def cjk_count(text: Column) -> Column:
 
 
 def word_like_count(text: Column) -> Column:
-    """Words with inner apostrophes and hyphens, or half the CJK characters if those are more. ``text`` is clean.
-
-    A token may not start with an apostrophe or hyphen behind a word character or end where one follows, hence the two ways.
-    """
-    token = rf"(?:{LEFT}{WORD}[\p{{L}}\p{{N}}_'-]*(?<={WORD})|(?<={WORD})['-][\p{{L}}\p{{N}}_'-]*(?<={WORD}))"
-    return F.greatest(F.regexp_count(text, F.lit(token)), F.floor(cjk_count(text) / 2).cast("int"))
+    """Words with inner apostrophes and hyphens, or half the CJK characters if those are more. ``text`` is clean."""
+    return F.greatest(F.regexp_count(text, F.lit(TOKEN)), F.floor(cjk_count(text) / 2).cast("int"))
 
 
 def token_like_count(text: Column) -> Column:
@@ -138,7 +137,7 @@ def sentences(text: Column) -> Column:
 
 def word_set(text: Column) -> Column:
     """Distinct lower-case words of more than two characters."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD}+)"), F.lit(1)), lambda w: F.length(w) > 2))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1)), lambda w: F.length(w) > 2))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -207,7 +206,133 @@ def metadata_sentence(text: Column, language: str) -> Column:
     markers = (*MARKERS, *MARKERS_TR) if language == "tr" else MARKERS
     marked = reduce(lambda a, b: a | b, [low.contains(m) for m in markers])
     dated, size = datetime_like(text), F.length(low)
-    short = (word_like_count(low) <= 7) & (size <= 64)
+    short = (F.regexp_count(low, F.lit(TOKEN)) <= 7) & (size <= 64)
     named = _any(low, [f"{LEFT}(?:{'|'.join(DATE_WORDS)}){RIGHT}"])
     bare = low.rlike(rf"^(?:\d|{SPACE}|[:./|-])+$")
     return F.when(text == "", True).when(size > 240, False).otherwise((marked & (dated | (size <= 110))) | (dated & short) | (dated & named) | bare)
+
+
+# --- bytes and encodings: sequential trials, in Arrow UDFs ----------------------------------------------
+
+
+def _cleaned(value: str) -> str:
+    """T5 without the repair."""
+    import html
+    import re
+
+    for _ in range(4):
+        value, before = html.unescape(value), value
+        if value == before:
+            break
+    value = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\u200b\xa0]", " ", value)
+    return " ".join(value.split())
+
+
+def _bad(value: str) -> int:
+    import re
+
+    return sum(value.count(m) for m in (*MOJIBAKE_SINGLE, *MOJIBAKE_SEQUENCES)) + sum(len(re.findall(p, value)) for p in MOJIBAKE_PATTERNS)
+
+
+def _signs(value: str) -> int:
+    return sum("\u4e00" <= c <= "\u9fff" or "\u3040" <= c <= "\u30ff" or "\uac00" <= c <= "\ud7a3" for c in value)
+
+
+def _repaired(value: str | None) -> str:
+    """T4: the reading as UTF-8 of the bytes that one of three encodings gives, with the fewest marks of damage."""
+    value = value or ""
+    found = [(_bad(value), -1, value)]
+    for i, name in enumerate(("latin-1", "cp1252", "cp1254")) if found[0][0] else ():
+        try:
+            other = value.encode(name).decode("utf-8")
+        except UnicodeError:
+            continue
+        if len(other) >= int(len(value) * 0.9) or _signs(other) >= 6:
+            found.append((_bad(other), i, other))
+    return min(found)[2]
+
+
+@F.pandas_udf(T.StringType())
+def repair_mojibake(col: pd.Series) -> pd.Series:
+    return col.map(_repaired)
+
+
+@F.pandas_udf(T.StringType())
+def normalize_extracted(col: pd.Series) -> pd.Series:
+    """References to the end, damage repaired, control characters and white space."""
+    import html
+
+    def full(value):
+        value = value or ""
+        for _ in range(4):
+            value, before = html.unescape(value), value
+            if value == before:
+                break
+        return _cleaned(_repaired(value))
+
+    return col.map(full)
+
+
+CJK_ENCODINGS = ("cp932", "shift_jis", "euc-jp", "cp949", "euc-kr", "gb18030", "gbk", "big5")
+CJK_HINTS = ("shift_jis", "shift-jis", "sjis", "cp932", "euc-jp", "iso-2022-jp", "cp949", "euc-kr", "gb18030", "gbk", "gb2312", "big5")
+
+
+def charset_of(header: Column) -> Column:
+    """From a Content-Type header."""
+    return F.regexp_extract(F.coalesce(header, F.lit("")), r"(?i)charset\s*=\s*([A-Za-z0-9._-]+)", 1)
+
+
+def _meta_charset(data: bytes) -> str:
+    """From the first 16 KB of a page."""
+    import re
+
+    m = re.search(rb"""(?is)<meta\b[^>]*?charset\s*=\s*["']?\s*([A-Za-z0-9._-]+)""", data[:16384])
+    return m[1].decode().lower() if m else ""
+
+
+def _decoded(data: bytes | None, header: str | None, language: str | None) -> str:
+    """The reading with the best score among declared, usual and, where hinted, East Asian encodings."""
+    import re
+
+    if not data:
+        return ""
+    found = re.search(r"(?i)charset\s*=\s*([A-Za-z0-9._-]+)", header or "")
+    declared = [_meta_charset(data), found[1].lower() if found else ""]
+    language = (language or "").lower()
+    asian = language in ("ja", "ko", "zh")
+    names = [*declared, "utf-8", "cp1254", "cp1252", "latin-1"]
+    if asian or not language and any(h in d for d in declared for h in CJK_HINTS):
+        names += CJK_ENCODINGS
+    try:
+        data.decode("utf-8")
+        valid = True
+    except UnicodeDecodeError:
+        valid = False
+
+    def score(name: str, value: str) -> float:
+        signs = _signs(value)
+        total = len(value) * 0.001 - 8 * value.count("\ufffd") - 4 * _bad(value) + 6 * (name == "utf-8" and valid)
+        if asian:
+            total += 0.35 * signs
+            if language == "ja":
+                kana, hangul = len(re.findall("[\u3040-\u30ff]", value)), len(re.findall("[\uac00-\ud7af]", value))
+                total -= min(420.0, 8.0 * hangul) * (hangul > 12 and hangul > 0.6 * kana)
+        else:
+            mixed = len(re.findall("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]", value))
+            total -= min(420.0, 6.0 * signs) * (signs > 8) + min(320.0, 14.0 * mixed) * (mixed >= 3)
+        return total - 1.5 * (name in ("latin-1", "iso-8859-1", "cp1252") and not signs)
+
+    readings = []
+    for name in dict.fromkeys(filter(None, names)):
+        try:
+            value = _cleaned(_repaired(data.decode(name, "replace")))
+        except LookupError:
+            continue
+        if value:
+            readings.append((score(name, value), -len(readings), value))
+    return max(readings)[2] if readings else ""
+
+
+@F.pandas_udf(T.StringType())
+def decode_html(data: pd.Series, header: pd.Series, language: pd.Series) -> pd.Series:
+    return pd.Series([_decoded(*row) for row in zip(data, header, language, strict=True)], dtype=object)

@@ -50,6 +50,32 @@ def e8_article_text(spark, sf_dir):
     return pages.select("page_id", html.article_text(F.col("html")).alias("text"))
 
 
+def t4_repaired(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    fixed = tx.repair_mojibake(broken)
+    return d.select("doc_id", (fixed == F.col("text")).alias("repaired"))
+
+
+def t16_prefixes(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", ar.strip_prefix(F.concat(F.when(F.col("doc_id") % 2 == 0, "Last updated: 12.01.2024 10:30 | ").otherwise(""), F.left("text", F.lit(50)))).alias("text"))
+
+
+def t21_clean_for_summary(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", F.length(ar.clean_for_summary(F.col("text"), F.col("lang"), F.left("text", F.lit(60)), F.col("source"), F.lit(""))).cast("long").alias("n"))
+
+
+def t23_postprocessed(spark, sf_dir):
+    d = _docs(spark, sf_dir)
+    return d.select("doc_id", ar.postprocess(F.left("text", F.lit(200)), F.left("text", F.lit(40)), F.col("lang")).alias("summary"))
+
+
+def t24_decoded(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").where("page_id % 5 = 0")
+    return p.select("page_id", F.length(tx.decode_html(F.encode("html", "UTF-8"), F.lit("text/html; charset=utf-8"), F.lit("en"))).cast("long").alias("n"))
+
+
 def g1_extractive(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", ar.extractive(F.col("text"), 280).alias("summary"))
 
@@ -73,9 +99,10 @@ def g5_summary_cache(spark, sf_dir):
     return d.join(made, ["lang", "key"]).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("key").alias("texts"))
 
 
-_NAMES = "t13_dedupe_segments t15_metadata_sentences t17_source_cleanup t18_filter_noise t19_score t20_pick_best e8_article_text g1_extractive g2_degenerate g3_finalized g6_summaries g5_summary_cache"
+_NAMES = "t4_repaired t16_prefixes t21_clean_for_summary t23_postprocessed t24_decoded t13_dedupe_segments t15_metadata_sentences t17_source_cleanup t18_filter_noise t19_score t20_pick_best e8_article_text g1_extractive g2_degenerate g3_finalized g6_summaries g5_summary_cache"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 ORACLE = {
+    "t16_prefixes": f"SELECT doc_id, trim(left({collapse_sql('text')}, 50)) AS text FROM documents",
     "g5_summary_cache": f"SELECT lang, count(*) AS n, count(DISTINCT {collapse_sql('text')}) AS texts FROM documents GROUP BY lang",
-    "g2_degenerate": rf"WITH t AS (SELECT doc_id, regexp_extract_all(lower(left({collapse_sql('text')}, 400)), '[\p{{L}}\p{{N}}_][\p{{L}}\p{{N}}_''-]*') AS w FROM documents) SELECT doc_id, len(w) >= 8 AND (len(list_distinct(w)) < 0.38 * len(w) OR list_max(list_transform(list_distinct(w), lambda d: len(list_filter(w, lambda x: x = d)))) > greatest(6, floor(len(w) / 3))) AS degenerate FROM t",
+    "g2_degenerate": rf"WITH t AS (SELECT doc_id, regexp_extract_all(lower(left({collapse_sql('text')}, 400)), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?') AS w FROM documents) SELECT doc_id, len(w) >= 8 AND (len(list_distinct(w)) < 0.38 * len(w) OR list_max(list_transform(list_distinct(w), lambda d: len(list_filter(w, lambda x: x = d)))) > greatest(6, floor(len(w) / 3))) AS degenerate FROM t",
 }

@@ -235,7 +235,7 @@ def _grams(t: str) -> str:
 
 _TGT = "c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), w AS (SELECT *, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () AS wanted FROM c), b AS (SELECT *, floor(wanted) AS base FROM w), t AS (SELECT lang, n, CAST(base + CASE WHEN row_number() OVER (ORDER BY round(base - wanted, 9), lang) <= sum(n) OVER () - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS target FROM b)"
 _TAGS = "regexp_replace({}, '<[^>]+>', ' ', 'g')"
-_WS = r"list_distinct(list_filter(regexp_extract_all(lower(@), '[\p{L}\p{N}_]+'), lambda x: length(x) > 2))"
+_WS = r"list_distinct(list_filter(regexp_extract_all(lower(@), '[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?'), lambda x: length(x) > 2))"
 
 ORACLE = {
     "a4_length_summary": f"WITH {_MEASURED} SELECT language, split, {describe_sql('text_chars')}, {describe_sql('text_tokens')}, {describe_sql('summary_chars')} FROM m GROUP BY language, split",
@@ -257,6 +257,7 @@ ORACLE = {
     "t3_mojibake": "SELECT doc_id, CAST((length(text) - length(replace(replace(replace(text, 'â', ''), 'Ã', ''), 'Â', ''))) AS BIGINT) AS n FROM documents",
     "t11_t12_near_duplicates": f"WITH d AS (SELECT doc_id, {_WS.replace('@', 'left(' + clean_sql('text') + ', 400)')} AS w FROM documents WHERE doc_id <= 400), b AS (SELECT item_id, {_WS.replace('@', clean_sql('text'))} AS v FROM benchmark) SELECT doc_id, item_id, len(list_intersect(w, v)) AS shared FROM d, b WHERE len(list_intersect(w, v)) * 1.0 / nullif(least(len(w), len(v)), 0) >= 0.3 AND len(list_intersect(w, v)) > 0",
     "e10_images": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'u' || page_id WHEN 1 THEN 'v' || page_id ELSE '' END AS image FROM pages",
+    "t8_word_like_count": rf"SELECT doc_id, greatest(len(regexp_extract_all({clean_sql('text')}, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?')), len(regexp_extract_all(text, '{CJK_SQL}')) // 2) AS n FROM documents",
     "t9_code_noise": r"""SELECT doc_id, doc_id % 5 < 2 OR regexp_matches(lower(text), '<(div|a|span|li|ul|script|style|path)\b|aria-label\s*=|datetime\s*=|currentcolor') OR (length(text) <= 240 AND regexp_matches(lower(text), '\b(function|const|let|var)\b')) AS noise FROM documents""",
     "e1_strip_html": f"SELECT page_id, length({clean_sql(_TAGS.format('html'))}) AS n FROM pages",
     "e6_paragraphs": f"WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS l FROM pages), q AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS p FROM p), r AS (SELECT page_id, i, {clean_sql(_TAGS.format('p'))} AS text FROM q) SELECT * FROM r WHERE length(text) >= 40",
