@@ -26,15 +26,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm._shared import Stored, documents_of, lean, slices
 
+if TYPE_CHECKING:  # workers of Arrow functions don't need it
+    import pandas as pd
+
 MIN_CHARS = 10
 STRIP = " \t\n\x0b\x0c\r"
 LOWER_AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -178,6 +181,8 @@ def _maybe(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
 
 def _grown(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     """The shard's filter with the new keys in it; null if it is too full for them."""
+    import pandas as pd
+
     if not len(old):
         return pd.DataFrame({"shard": [int(new["shard"].iloc[0])], "filter": [built(new["hi"].to_numpy()).to_bytes()]})
     f = Cuckoo.from_bytes(old["filter"].iloc[0])
@@ -185,6 +190,8 @@ def _grown(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
 
 
 def _rebuilt(keys: pd.DataFrame) -> pd.DataFrame:
+    import pandas as pd
+
     return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "filter": [built(keys["hi"].to_numpy()).to_bytes()]})
 
 

@@ -13,7 +13,7 @@ Blocks and trades depend on ids and sizes only, not on how Spark partitions the
 
 Defined cases: a null text has size 0; a document of size 0 takes 0 words; a null source is a source of its own,
 last in order; repeated rows (same id) are rows of their own; an empty table gives no rows; extra columns are
-carried by ``mix_documents(keep=True)`` and otherwise ignored.
+kept by ``mixed`` and otherwise ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm._shared import Stored, lean, mix, stored
+from newsloom.llm._shared import lean, mix, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -161,19 +161,22 @@ def copies(items: DataFrame, rows: int, seed: int = 17, block_rows: int = BLOCK_
         level += 1
 
 
-def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, keep: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken; with ``keep``, every column of ``docs`` beside __copies."""
-    sized = sizes(docs)
-    if not keep:
-        sized = stored(sized.select("doc_id", "source", "__size"))
-    targets = Stored(source_targets(sized, weights, share, most)).df
+def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17) -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken: one row for each row of ``docs``. Texts are only counted, not moved."""
+    sized = stored(sizes(docs).select("doc_id", "source", "__size"))
+    targets = stored(source_targets(sized, weights, share, most))
     numbered = targets.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.coalesce(F.xxhash64(F.struct("source")), F.lit(0)).alias("__source_no"))
     joined = sized.join(numbered, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     wanted = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
     # the last 1e-12 of a whole number is rounding in the division
     joined = joined.withColumn("__want", wanted).withColumn("__whole", F.floor(F.col("__want") + 1e-12)).withColumn("__p", F.greatest(F.lit(0.0), F.col("__want") - F.col("__whole")))
     joined = joined.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)))
-    out = copies(joined, docs.count(), seed).withColumn("__copies", (F.col("__whole") + F.col("__took")).cast("long"))
-    if keep:
-        return out.select(*docs.columns, "__copies")
+    out = copies(joined, sized.count(), seed).withColumn("__copies", (F.col("__whole") + F.col("__took")).cast("long"))
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it. Repeated rows of one id share its largest number of copies."""
+    decided = stored(mix_documents(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0")).withColumnRenamed("doc_id", "__doc")
+    taken = docs.join(decided, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
