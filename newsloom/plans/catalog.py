@@ -33,6 +33,19 @@ TOPIC_LADDER = (
     ("culture", "culture|kultur|kültür|cultura|文化|культура"),
 )
 FEED_LABELS = ("feeds", "feed", "rss", "news", "xml", "m")
+#: Search locale of a language: interface language, country, edition.
+LOCALES = {
+    "ar": ("ar", "SA", "SA:ar"), "de": ("de", "DE", "DE:de"), "en": ("en-US", "US", "US:en"), "es": ("es", "ES", "ES:es"), "fr": ("fr", "FR", "FR:fr"), "hi": ("hi", "IN", "IN:hi"),
+    "it": ("it", "IT", "IT:it"), "ja": ("ja", "JP", "JP:ja"), "ko": ("ko", "KR", "KR:ko"), "nl": ("nl", "NL", "NL:nl"), "ro": ("ro", "RO", "RO:ro"), "ru": ("ru", "RU", "RU:ru"),
+    "tr": ("tr", "TR", "TR:tr"), "vi": ("vi", "VN", "VN:vi"), "zh": ("zh-CN", "CN", "CN:zh-Hans"),
+}
+#: Default country of a language, and countries of single sources.
+LANGUAGE_COUNTRY = {"ar": "QA", "de": "DE", "en": "US", "es": "ES", "fr": "FR", "hi": "IN", "it": "IT", "ja": "JP", "ko": "KR", "nl": "NL", "ro": "RO", "ru": "RU", "tr": "TR", "vi": "VN", "zh": "CN"}
+SOURCE_COUNTRY = {
+    "aljazeera_world": "QA", "bbc_world": "GB", "cnn_world": "US", "dw_world": "DE", "fox_world": "US", "guardian_world": "GB", "npr_world": "US", "nyt_world": "US",
+    "reuters_world": "US", "sky_world": "GB", "zh_zaobao": "SG",
+}
+DENSE_LANGUAGES = ("ja", "ko", "zh")
 NEWS_SEARCH = "https://news.google.com/rss/search?"
 
 
@@ -47,9 +60,48 @@ def quote_plus(text: Column) -> Column:
 
 
 def search_url(query: Column, language: Column, country: Column) -> Column:
-    """C2 for a locale without a hint: English results of the country."""
+    """The locale is the language's; a language without one searches in English for the country."""
     q, c = collapse(query), F.upper(F.coalesce(F.nullif(country, F.lit("")), F.lit("US")))
-    return F.concat(F.lit(NEWS_SEARCH + "q="), quote_plus(F.when(q == "", "news").otherwise(q)), F.lit("&hl=en-US&gl="), c, F.lit("&ceid="), c, F.lit("%3Aen"))
+    locale = reduce(lambda a, kv: a.when(language == kv[0], F.lit(f"&hl={kv[1][0]}&gl={kv[1][1]}&ceid={kv[1][2].replace(':', '%3A')}")), LOCALES.items(), F)
+    return F.concat(F.lit(NEWS_SEARCH + "q="), quote_plus(F.when(q == "", "news").otherwise(q)), locale.otherwise(F.concat(F.lit("&hl=en-US&gl="), c, F.lit("&ceid="), c, F.lit("%3Aen"))))
+
+
+def topic_term(topic: Column, language: Column, terms: dict[tuple[str, str], str] | None = None) -> Column:
+    """The localized word for a topic, from (language, topic) pairs; the topic's key where there is none."""
+    out = reduce(lambda a, kv: a.when((language == kv[0][0]) & (topic == kv[0][1]), kv[1]), (terms or {}).items(), F.when(F.lit(False), ""))
+    return out.otherwise(topic)
+
+
+def fallback_urls(key: Column, name: Column, domain: Column, topic: Column, language: Column, country: Column, terms: dict[tuple[str, str], str] | None = None) -> Column:
+    """Searches to try when a feed fails: the site with the topic, the site, the name, the key; each once, in this order."""
+    term, who = topic_term(F.coalesce(F.nullif(topic, F.lit("")), F.lit("general")), language, terms), collapse(name)
+    said = F.array(
+        F.when(domain != "", F.concat(F.lit("site:"), domain, F.lit(" "), term)),
+        F.when(domain != "", F.concat(F.lit("site:"), domain, F.lit(" news"))),
+        F.when(who != "", F.concat(F.lit('"'), who, F.lit('" '), term)),
+        F.replace(key, F.lit("_"), F.lit(" ")),
+    )
+    return F.array_distinct(F.transform(F.array_compact(said), lambda q: search_url(q, language, country)))
+
+
+def topic_sources(seeds: DataFrame, topics: tuple[str, ...], terms: dict[tuple[str, str], str] | None = None, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """One search source for each language and topic, its seeds taking turns. ``seeds``: language, idx (from 0), name, domain, country."""
+    n = seeds.groupBy("language").agg(F.count("*").alias("n"))
+    wide = seeds.where(~F.col("language").isin(*disabled) if disabled else F.lit(True)).join(n, "language")
+    wide = wide.select("*", F.posexplode(F.array(*[F.lit(t) for t in topics])).alias("place", "topic")).where("place % n = idx")
+    query = F.concat(F.lit("site:"), F.col("domain"), F.lit(" "), topic_term(F.col("topic"), F.col("language"), terms))
+    return wide.select("language", F.concat_ws("_", "language", slugify(F.col("name")), "topic", F.lit("gn")).alias("source_key"), "topic", F.col("domain").alias("site_domain"), search_url(query, F.col("language"), F.col("country")).alias("rss_url"), F.lit("google_news").alias("feed_source"))
+
+
+def min_article_chars(base: Column, language: Column) -> Column:
+    """Dense scripts need fewer characters."""
+    return F.when(language.isin(*DENSE_LANGUAGES), F.greatest(F.lit(180), F.floor(base * 0.7))).otherwise(base).cast("int")
+
+
+def source_language(key: Column, catalog: Column) -> Column:
+    """The catalog's language, else the key's first part if that is one."""
+    prefix = F.lower(F.substring_index(key, "_", 1))
+    return F.coalesce(F.when(catalog.isin(*LOCALES), catalog), F.when(prefix.isin(*LOCALES), prefix), F.lit(""))
 
 
 def infer_topic(key: Column, name: Column, url: Column, explicit: Column) -> Column:
@@ -62,11 +114,11 @@ def infer_topic(key: Column, name: Column, url: Column, explicit: Column) -> Col
     return out.otherwise("general")
 
 
-def infer_country(language: Column, explicit: Column, defaults: dict[str, str]) -> Column:
-    """The given country if it is known, else the language's."""
+def infer_country(language: Column, key: Column, explicit: Column) -> Column:
+    """The given country if it is known, else the source's, else the language's."""
     told = F.upper(collapse(explicit))
-    by = reduce(lambda a, kv: a.when(language == kv[0], kv[1]), defaults.items(), F.when(told.isin(*COUNTRIES), told))
-    return by.otherwise("US")
+    by = reduce(lambda a, kv: a.when(key == kv[0], kv[1]), SOURCE_COUNTRY.items(), F.when(told.isin(*COUNTRIES), told))
+    return reduce(lambda a, kv: a.when(language == kv[0], kv[1]), LANGUAGE_COUNTRY.items(), by).otherwise("US")
 
 
 def infer_region(country: Column, explicit: Column) -> Column:
@@ -140,7 +192,6 @@ SOURCES_SQL = """(SELECT s_suppkey AS pos, 's' || s_suppkey AS source_key, 'The
  'https://www' || CASE WHEN s_suppkey % 2 = 0 THEN '2' ELSE '' END || '.feeds.Site' || s_suppkey % 7 || '.example.org:80/a?b=1' AS rss_url, CASE WHEN s_suppkey % 5 = 0 THEN upper(left(r_name, 2)) END AS country,
  lower(r_name) AS region, list_extract(['en','fr','de','es'], CAST(s_suppkey % 4 + 1 AS INT)) AS language
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
-DEFAULTS = {"en": "US", "fr": "FR", "de": "DE", "es": "ES"}
 
 
 def c1_slugs(spark, sf_dir):
@@ -151,12 +202,30 @@ def c2_search_urls(spark, sf_dir):
     return _sources(spark, sf_dir).select("source_key", search_url(F.concat(F.col("name"), F.lit(" a&b")), F.col("language"), F.col("country")).alias("url"))
 
 
+def c3_topic_sources(spark, sf_dir):
+    s = _sources(spark, sf_dir)
+    seeds = s.select("language", (F.row_number().over(Window.partitionBy("language").orderBy("pos")) - 1).alias("idx"), "name", F.lit("x.example").alias("domain"), "country")
+    return topic_sources(seeds, TOPICS).select("language", "source_key", "topic")
+
+
+def c10_fallback_urls(spark, sf_dir):
+    s = _sources(spark, sf_dir)
+    domain = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("site"), (F.col("pos") % 7).cast("string"), F.lit(".example.org"))).otherwise("")
+    urls = fallback_urls(F.col("source_key"), F.col("name"), domain, F.lit(""), F.col("language"), F.col("country"))
+    return s.select("source_key", F.size(urls).cast("long").alias("n"), F.get(urls, F.lit(0)).alias("first_url"))
+
+
+def t26_source_language(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", source_language(F.concat(F.col("lang"), F.lit("_site")), F.when(F.col("doc_id") % 3 == 0, "fr").otherwise("xx")).alias("language"))
+
+
 def c4_topics(spark, sf_dir):
     return _sources(spark, sf_dir).select("source_key", infer_topic(F.col("source_key"), F.col("name"), F.lit(""), F.lit("")).alias("topic"))
 
 
 def c5_country_region(spark, sf_dir):
-    s = _sources(spark, sf_dir).withColumn("c", infer_country(F.col("language"), F.col("country"), DEFAULTS))
+    s = _sources(spark, sf_dir).withColumn("c", infer_country(F.col("language"), F.col("source_key"), F.col("country")))
     return s.select("source_key", F.col("c").alias("country_key"), infer_region(F.col("c"), F.col("region")).alias("region_key"))
 
 
@@ -216,7 +285,7 @@ def o16_top_validated(spark, sf_dir):
     return v.orderBy(F.col("pass").desc(), F.col("article_success_ratio").desc(), F.round("avg_quality_score", 9).desc(), F.col("avg_article_chars").desc(), "source_key").limit(25).select("source_key", "pass")
 
 
-_NAMES = "c1_slugs c2_search_urls c4_topics c5_country_region c6_site_keys c7_catalog o12_best_of_site o13_top_sources j2_source_lookup u1_source_union a12_source_validation a13_validation_totals o16_top_validated"
+_NAMES = "c1_slugs c2_search_urls c3_topic_sources c10_fallback_urls t26_source_language c4_topics c5_country_region c6_site_keys c7_catalog o12_best_of_site o13_top_sources j2_source_lookup u1_source_union a12_source_validation a13_validation_totals o16_top_validated"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _TOPIC = "CASE pos % 6 WHEN 1 THEN 'sports' WHEN 2 THEN 'world' WHEN 3 THEN 'technology' WHEN 4 THEN 'politics' WHEN 5 THEN 'culture' ELSE 'general' END"
@@ -224,9 +293,14 @@ _GRADED = f"g AS (SELECT pos, source_key, language, CASE WHEN TRUE THEN 'feeds.s
 _BEST = "(SELECT *, count(DISTINCT topic) OVER (PARTITION BY site) AS topics, row_number() OVER (PARTITION BY site ORDER BY has_feed DESC, topic <> 'general' DESC, length(source_key), pos) AS n FROM {0})"
 _VAL = "v AS (SELECT 'u' || user_id AS source_key, count(*) AS samples_tested, count(*) FILTER (event_id % 900 >= 400 AND value >= 10) AS ok, avg(event_id % 900) AS chars, avg(value) AS score, avg(CASE WHEN event_id % 3 <> 0 THEN 1.0 ELSE 0.0 END) AS seed FROM events GROUP BY user_id)"
 
+_LOCALE_SQL = "CASE language " + " ".join(f"WHEN '{k}' THEN '&hl={a}&gl={b}&ceid={c.replace(':', '%3A')}'" for k, (a, b, c) in LOCALES.items()) + " END"
+
 ORACLE = {
     "c1_slugs": f"SELECT source_key, trim(regexp_replace(lower(name || ' & Co.'), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM {SOURCES_SQL}",
-    "c2_search_urls": f"SELECT source_key, 'https://news.google.com/rss/search?q=' || replace(name, ' ', '+') || '+a%26b&hl=en-US&gl=' || coalesce(country, 'US') || '&ceid=' || coalesce(country, 'US') || '%3Aen' AS url FROM {SOURCES_SQL}",
+    "c2_search_urls": f"SELECT source_key, 'https://news.google.com/rss/search?q=' || replace(name, ' ', '+') || '+a%26b' || {_LOCALE_SQL} AS url FROM {SOURCES_SQL}",
+    "c3_topic_sources": f"WITH s AS (SELECT language, row_number() OVER (PARTITION BY language ORDER BY pos) - 1 AS idx, name, count(*) OVER (PARTITION BY language) AS n FROM {SOURCES_SQL}), t AS (SELECT unnest([{', '.join(repr(t) for t in TOPICS)}]) AS topic, unnest(range({len(TOPICS)})) AS place) SELECT language, language || '_' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_') || '_' || topic || '_gn' AS source_key, topic FROM s, t WHERE place % n = idx",
+    "c10_fallback_urls": f"SELECT source_key, CASE WHEN pos % 2 = 0 THEN 4 ELSE 2 END AS n, 'https://news.google.com/rss/search?q=' || CASE WHEN pos % 2 = 0 THEN 'site%3Asite' || pos % 7 || '.example.org+general' ELSE '%22' || replace(name, ' ', '+') || '%22+general' END || {_LOCALE_SQL} AS first_url FROM {SOURCES_SQL}",
+    "t26_source_language": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'fr' WHEN lang IN ('en', 'fr', 'de', 'es') THEN lang ELSE '' END AS language FROM documents",
     "c4_topics": f"SELECT source_key, {_TOPIC} AS topic FROM {SOURCES_SQL}",
     "c5_country_region": "WITH s AS (SELECT source_key, region, CASE WHEN country IN (" + ", ".join(f"'{c}'" for c in COUNTRIES) + f") THEN country WHEN language = 'fr' THEN 'FR' WHEN language = 'de' THEN 'DE' WHEN language = 'es' THEN 'ES' ELSE 'US' END AS country_key FROM {SOURCES_SQL}) SELECT source_key, country_key, CASE WHEN region IN (" + ", ".join(f"'{r}'" for r in REGIONS) + ") THEN region " + " ".join(f"WHEN country_key = '{c}' THEN '{r}'" for c, r in COUNTRIES.items()) + " ELSE 'global' END AS region_key FROM s",
     "c6_site_keys": f"SELECT source_key, 'feeds.site' || pos % 7 || '.example.org:80' AS site, 'site' || pos % 7 || '.example.org:80' AS domain FROM {SOURCES_SQL}",

@@ -148,3 +148,44 @@ def test_streaming_ingest(spark, tmp_path):
     got = {r.link: r for r in store.read().collect()}
     assert set(got) == {"a", "b", "c"}
     assert (got["a"].id, got["a"].title, got["a"].published_at, got["a"].image_url, got["a"].article_text, got["a"].fetched_at) == (1, "new", "2024", "img", "text", "f2")
+
+
+def test_files(spark, tmp_path):
+    from newsloom.sources import tables
+
+    root = f"file://{tmp_path}"
+    df = spark.createDataFrame([("r", "m", "1.5", "long text"), ("r", "n", "x", 'a "b"')], "run_name string, model string, rouge string, source_text string")
+    tables.write_scores(df, f"{root}/run")
+    got = {r.model: r.rouge for r in tables.read_scores(spark, f"{root}/run/csv").collect()}
+    assert got == {"m": 1.5, "n": None}
+    assert tables.read_scores(spark, f"{root}/run/csv").columns == ["run_name", "model", "rouge"]
+    assert [r.source_text for r in tables.read_manifest(spark, f"{root}/run/csv").orderBy("model").collect()] == ["long text", 'a "b"']
+    (tmp_path / "report").mkdir()
+    (tmp_path / "report" / "a.json").write_text('[{"source_key": "a", "pass": true}, {"source_key": "b", "pass": false}, {"source_key": "c"}]')
+    (tmp_path / "good").mkdir()
+    (tmp_path / "good" / "a.json").write_text('[{"source_key": "a", "pass": true}]')
+    assert {r.source_key for r in tables.gated_keys(spark, [f"{root}/good", f"{root}/report"]).collect()} == {"b", "c"}
+    assert tables.read_json_array(spark, f"{root}/good", "source_key string").count() == 1
+    assert [x.split("/")[-1] for x in tables.discover_runs(spark, root, ("a.json",), ("good",))] == ["report"]
+    assert tables.markdown(spark.createDataFrame([("a", 1.0), ("b", None)], "k string, v double").orderBy("k")).split("\n")[2:] == ["| a | 1.0000 |", "| b | - |"]
+    manifest = spark.createDataFrame([("r", "c", "b.html", "50% & more"), ("r", "c", "a.png", "T_1")], "run string, category string, path string, title string")
+    assert tables.appendix(manifest).first().latex == "\\includegraphics{a.png}\\caption{T\\_1}\n\\item 50\\% \\& more: b.html"
+
+
+def test_decoding(spark):
+    rows = [("ü ö".encode(), "text/html; charset=utf-8", "de"), ("ü ö".encode("cp1252"), "text/html; charset=windows-1252", "de"), ("日本語の文章です。かな".encode(), "text/html", "ja"), (b'<meta charset="euc-kr">' + "한국어".encode("euc-kr"), "", "ko"), (None, None, None)]
+    df = spark.createDataFrame(rows, "data binary, header string, language string")
+    got = [r.v for r in df.select(text.decode_html("data", "header", "language").alias("v")).collect()]
+    assert got == ["ü ö", "ü ö", "日本語の文章です。かな", '<meta charset="euc-kr">한국어', ""]
+    fixed = spark.createDataFrame([("Ã¼ber",), ("plain",), (None,)], "v string").select(text.repair_mojibake("v").alias("v"), text.normalize_extracted("v").alias("w")).collect()
+    assert [(r.v, r.w) for r in fixed] == [("über", "über"), ("plain", "plain"), ("", "")]
+
+
+def test_cleaning(spark):
+    lit = F.lit
+    assert value(spark, article.strip_prefix(lit("Updated: 12.01.2024 10:30 - Text"))) == "Text"
+    body = "The exact title. The exact title has many more words that tell something new here today. Son güncelleme: 01.02.2024 10:00. Real text follows here."
+    assert value(spark, article.clean_for_summary(lit(body), lit("en"), lit("The exact title"), lit(""), lit(""))).startswith("The exact title has many")
+    assert value(spark, article.postprocess(lit("A Title: the rest of the summary is long enough."), lit("a title"), lit("en"))) == "The rest of the summary is long enough."
+    assert value(spark, article.postprocess(lit("Same words here"), lit("here same words"), lit("en"))) == ""
+    assert value(spark, catalog.min_article_chars(lit(400), lit("ja"))) == 280
