@@ -5,14 +5,12 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: UTF-8 bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -63,10 +61,6 @@ def stored(df: DataFrame) -> DataFrame:
 # --- folds and typed columns -------------------------------------------------------------------
 
 
-def fold_of(doc_id: int, parts: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % parts
-
-
 def fold(column, parts: int):
     """crc32 of the id as text, modulo ``parts``; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))
@@ -76,10 +70,6 @@ def documents_of(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def struct(ddl: str) -> T.StructType:
-    return T._parse_datatype_string(ddl) if SparkSession.getActiveSession() else T.StructType.fromDDL(ddl)
-
-
 # --- Arrow text columns as bytes ----------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import batch_of, code_points, counts_by_row, documents_of, fold, lean, mix, range_hashes, steps, words
+from newsloom.llm._shared import batch_of, counts_by_row, documents_of, fold, lean, mix, range_hashes, steps, words
 
 #: Documented bound of the training sample: documents, and code points of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 800, 60_000
