@@ -72,6 +72,35 @@ def seeded_sample(rows: DataFrame, keys: list[str], id_: str, n: int, seed: int
     return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 
 
+def reuters_text(text: Column) -> Column:
+    """one line, and no closing " reuter"."""
+    return F.trim(F.regexp_replace(tx.collapse(text), "(?i)\\sreuter$", ""))
+
+
+def language_plan(languages: DataFrame, subsets: DataFrame) -> DataFrame:
+    """Run, or skipped without a subset. ``languages``: language; ``subsets``: language, subset."""
+    status = F.when(F.col("subset").isNotNull(), "run").otherwise("skipped_no_xlsum_subset")
+    return languages.join(subsets, "language", "left").select("language", F.coalesce("subset", F.lit("")).alias("subset"), status.alias("status"))
+
+
+def training_columns(rows: DataFrame, language_code: str) -> DataFrame:
+    """Summary becomes target, and the language code is a column."""
+    named = rows.withColumnRenamed("summary", "target") if "target" not in rows.columns else rows
+    return named.withColumn("language_code", F.lit(language_code))
+
+
+def preferred_order(language: Column) -> list[Column]:
+    """Turkish first, the others by name."""
+    return [F.when(language == "tr", 0).otherwise(1), language]
+
+
+def translated(text: Column, source: Column, target: Column, known: tuple[str, ...], translate=None) -> Column:
+    """Text, applied, target. ``translate`` (a column function) is asked where languages differ and are known; without one the text stays."""
+    asked = (source != target) & source.isin(*known) & target.isin(*known)
+    new = F.when(asked, translate(text, source, target)).otherwise(text) if translate else text
+    return F.struct(new.alias("text"), (~new.eqNullSafe(text)).alias("translation_applied"), target.alias("output_language"))
+
+
 # --- queries ----------------------------------------------------------------------------------------------
 
 
@@ -152,6 +181,42 @@ def r3_resampled_counts(spark, sf_dir):
     return resample(d.select("doc_id", "lang"), "lang", "doc_id", alpha_targets(d, "lang")).groupBy("lang").agg(F.count("*").alias("n"))
 
 
+def f15_reuters_text(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", reuters_text(F.concat(F.left("text", F.lit(80)), F.when(F.col("doc_id") % 2 == 0, "\n REUTER").otherwise(""))).alias("text"))
+
+
+def f16_source_order(spark, sf_dir):
+    d = docs(spark, sf_dir).where("lang = 'en'").select("source").distinct()
+    return d.orderBy("source").limit(7)
+
+
+def o17_language_order(spark, sf_dir):
+    d = docs(spark, sf_dir).select(F.when(F.col("lang") == "fr", "tr").otherwise(F.col("lang")).alias("lang")).distinct()
+    return d.select("lang", F.row_number().over(Window.orderBy(*preferred_order(F.col("lang")))).cast("long").alias("place"))
+
+
+def o18_head_rows(spark, sf_dir):
+    d = docs(spark, sf_dir).withColumn("n", F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id")))
+    return d.where("n <= 3").select("lang", "source", "doc_id")
+
+
+def r4_split(spark, sf_dir):
+    return docs(spark, sf_dir).groupBy(split_column("doc_id").alias("split")).agg(F.count("*").alias("n"))
+
+
+def r8_language_plan(spark, sf_dir):
+    langs = docs(spark, sf_dir).select(F.col("lang").alias("language")).distinct()
+    return language_plan(langs, langs.where("language <> 'de'").select("language", F.concat(F.lit("xl_"), F.col("language")).alias("subset")))
+
+
+def s6_page_lookup(spark, sf_dir):
+    """One fetch for each (url, source): distinct keys are looked up, and the answers joined back."""
+    p = table(spark, sf_dir, "pages")
+    asked = p.select("url", (F.col("page_id") % 3).alias("source")).unionByName(p.select("url", (F.col("page_id") % 3).alias("source")))
+    fetched = asked.dropDuplicates(["url", "source"]).join(p.groupBy("url").agg(F.max(F.length("html")).alias("n")), "url")
+    return asked.join(fetched, ["url", "source"]).groupBy("source").agg(F.count("*").alias("asked"), F.sum("n").alias("chars"))
+
+
 def t6_sentences(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(tx.clean(F.col("text")))).alias("i", "sentence")).select("doc_id", F.col("i").cast("long").alias("i"), "sentence")
 
@@ -216,7 +281,7 @@ def image_of(html: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in found], F.lit(""))
 
 
-_NAMES = "a4_length_summary a5_missing_fields a6_surplus_duplicates a7_split_shares a8_split_macro a15_language_distribution d6_row_metrics d7_overlap_novelty d8_compression_heatmap r1_seeded_sample r3_alpha_targets r3_resampled_counts t3_mojibake t6_sentences t7_cjk_count t8_word_like_count t9_code_noise t11_t12_near_duplicates t14_datetime_like t22_sentence_ending e1_strip_html e6_paragraphs e10_images"
+_NAMES = "f15_reuters_text f16_source_order o17_language_order o18_head_rows r4_split r8_language_plan s6_page_lookup a4_length_summary a5_missing_fields a6_surplus_duplicates a7_split_shares a8_split_macro a15_language_distribution d6_row_metrics d7_overlap_novelty d8_compression_heatmap r1_seeded_sample r3_alpha_targets r3_resampled_counts t3_mojibake t6_sentences t7_cjk_count t8_word_like_count t9_code_noise t11_t12_near_duplicates t14_datetime_like t22_sentence_ending e1_strip_html e6_paragraphs e10_images"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _CLEAN = rf"trim(regexp_replace(regexp_replace(replace(@, chr(8203), ' '), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]', ' ', 'g'), {SPACE_SQL}, ' ', 'g'))"
@@ -258,6 +323,13 @@ ORACLE = {
     "t11_t12_near_duplicates": f"WITH d AS (SELECT doc_id, {_WS.replace('@', 'left(' + clean_sql('text') + ', 400)')} AS w FROM documents WHERE doc_id <= 400), b AS (SELECT item_id, {_WS.replace('@', clean_sql('text'))} AS v FROM benchmark) SELECT doc_id, item_id, len(list_intersect(w, v)) AS shared FROM d, b WHERE len(list_intersect(w, v)) * 1.0 / nullif(least(len(w), len(v)), 0) >= 0.3 AND len(list_intersect(w, v)) > 0",
     "e10_images": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'u' || page_id WHEN 1 THEN 'v' || page_id ELSE '' END AS image FROM pages",
     "t8_word_like_count": rf"SELECT doc_id, greatest(len(regexp_extract_all({clean_sql('text')}, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?')), len(regexp_extract_all(text, '{CJK_SQL}')) // 2) AS n FROM documents",
+    "f15_reuters_text": f"SELECT doc_id, {collapse_sql('left(text, 80)')} AS text FROM documents",
+    "f16_source_order": "SELECT DISTINCT source FROM documents WHERE lang = 'en' ORDER BY source LIMIT 7",
+    "o17_language_order": "WITH l AS (SELECT DISTINCT CASE lang WHEN 'fr' THEN 'tr' ELSE lang END AS lang FROM documents) SELECT lang, row_number() OVER (ORDER BY lang <> 'tr', lang) AS place FROM l",
+    "o18_head_rows": "SELECT lang, source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 3",
+    "r4_split": f"SELECT {SPLIT_SQL} AS split, count(*) AS n FROM documents GROUP BY 1",
+    "r8_language_plan": "SELECT DISTINCT lang AS language, CASE WHEN lang <> 'de' THEN 'xl_' || lang ELSE '' END AS subset, CASE WHEN lang <> 'de' THEN 'run' ELSE 'skipped_no_xlsum_subset' END AS status FROM documents",
+    "s6_page_lookup": "WITH p AS (SELECT url, max(length(html)) AS n FROM pages GROUP BY url) SELECT page_id % 3 AS source, CAST(2 * count(*) AS BIGINT) AS asked, CAST(2 * sum(n) AS BIGINT) AS chars FROM pages JOIN p USING (url) GROUP BY 1",
     "t9_code_noise": r"""SELECT doc_id, doc_id % 5 < 2 OR regexp_matches(lower(text), '<(div|a|span|li|ul|script|style|path)\b|aria-label\s*=|datetime\s*=|currentcolor') OR (length(text) <= 240 AND regexp_matches(lower(text), '\b(function|const|let|var)\b')) AS noise FROM documents""",
     "e1_strip_html": f"SELECT page_id, length({clean_sql(_TAGS.format('html'))}) AS n FROM pages",
     "e6_paragraphs": f"WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS l FROM pages), q AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS p FROM p), r AS (SELECT page_id, i, {clean_sql(_TAGS.format('p'))} AS text FROM q) SELECT * FROM r WHERE length(text) >= 40",

@@ -189,3 +189,29 @@ def test_cleaning(spark):
     assert value(spark, article.postprocess(lit("A Title: the rest of the summary is long enough."), lit("a title"), lit("en"))) == "The rest of the summary is long enough."
     assert value(spark, article.postprocess(lit("Same words here"), lit("here same words"), lit("en"))) == ""
     assert value(spark, catalog.min_article_chars(lit(400), lit("ja"))) == 280
+
+
+def test_requests(spark):
+    from newsloom.operators.requests import LANGUAGES, FeedRequest, RunSettings, load_news
+    from newsloom.plans import fixtures as fx
+
+    r = FeedRequest.of({"limit": "99", "sources": "src1, src2", "source": "x", "country": "us", "topic": "ALL", "keyword_enabled": "true", "keyword": "the"}, ("model_a",))
+    assert (r.limit_per_source, r.sources, r.country, r.topic, r.keyword) == (15, ("src1", "src2"), "US", "", "the")
+    for bad in ({"language": "xx"}, {"model": "none"}, {"keyword_enabled": "true", "keyword": "a b"}):
+        with pytest.raises(ValueError, match="invalid|single"):
+            FeedRequest.of(bad, ("model_a",))
+    s = RunSettings.of({"INGEST_LANGUAGES": "FR, xx", "INGEST_LIMIT_PER_SOURCE": "900", "INGEST_INTERVAL_SECONDS": "5"}, ("m",))
+    assert (s.languages, s.limit_per_source, s.fetch_limit_per_source, s.interval_seconds, s.models) == (("fr",), 500, 500, 60, ("m",))
+    assert RunSettings.of({}, ("m",)).languages == LANGUAGES
+    sf = "/root/testdata/sf0.001"
+    rows = load_news(fx.news_items(spark, sf), fx.news_summaries(spark, sf), r, 20).collect()
+    assert rows and {x.source_key for x in rows} <= {"src1", "src2"} and all("summary" in x for x in rows)
+
+
+def test_translation_hook(spark):
+    known = ("en", "fr")
+    same = value(spark, corpus.translated(F.lit("x"), F.lit("en"), F.lit("fr"), known))
+    assert (same.text, same.translation_applied) == ("x", False)
+    shout = lambda t, a, b: F.upper(t)
+    assert value(spark, corpus.translated(F.lit("x"), F.lit("en"), F.lit("fr"), known, shout)).translation_applied
+    assert value(spark, corpus.translated(F.lit("x"), F.lit("en"), F.lit("xx"), known, shout)).text == "x"
