@@ -78,16 +78,19 @@ def filter_noise(text: Column) -> Column:
 
 def score(text: Column) -> Column:
     """T19 on clean text."""
-    sents, words = tx.sentences(text), tx.word_like_count(text)
     size = F.length(text)
     letters = F.regexp_count(text, F.lit("[A-Za-zÀ-ÖØ-öø-ÿÇĞİÖŞÜçğıöşüА-Яа-я一-龯ぁ-んァ-ン]"))
     count = lambda patterns: reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(f"(?iu){p}")) for p in patterns])
     phrases = [f"{tx.LEFT}(?:{p}){tx.RIGHT}" for p in tx.BOILERPLATE] + [f"{tx.LEFT}{p}" for p in tx.BOILERPLATE_OPEN]
-    repeated = F.greatest(F.lit(0), F.size(sents) - F.size(dedupe_segments(sents)))
-    plus = F.least(size, F.lit(MAX_ARTICLE_CHARS)) * 0.12 + F.size(sents) * 32 + letters / F.greatest(F.lit(1), size) * 170
-    minus = count(phrases) * 180 + count(tx.CODE_NOISE) * 260 + tx.mojibake_count(text) * 85 + repeated * 130
-    short = F.when(size < 160, 320).otherwise(0) + F.when(words < 40, 120).otherwise(0) + F.when(F.size(sents) < 2, 140).otherwise(0)
-    return F.when(text == "", -10000.0).otherwise(plus - minus - short)
+
+    def total(sents: Column) -> Column:
+        repeated = F.greatest(F.lit(0), F.size(sents) - F.size(dedupe_segments(sents)))
+        plus = F.least(size, F.lit(MAX_ARTICLE_CHARS)) * 0.12 + F.size(sents) * 32 + letters / F.greatest(F.lit(1), size) * 170
+        minus = count(phrases) * 180 + count(tx.CODE_NOISE) * 260 + tx.mojibake_count(text) * 85 + repeated * 130
+        short = F.when(size < 160, 320).otherwise(0) + F.when(tx.word_like_count(text) < 40, 120).otherwise(0) + F.when(F.size(sents) < 2, 140).otherwise(0)
+        return plus - minus - short
+
+    return F.when(text == "", -10000.0).otherwise(tx.let(tx.sentences(text), total))
 
 
 def pick_best(candidates: Column) -> Column:
@@ -137,25 +140,37 @@ def without_title(parts: Column, title: Column) -> Column:
 def clean_for_summary(text: Column, language: Column, title: Column, source: Column, url: Column) -> Column:
     """Source phrases, Turkish notes, the repeated title, and notes among the first six sentences go."""
     base = source_cleanup(text, source, url)
-    base = F.when(language == "tr", tx.collapse(F.regexp_replace(base, "(?iu)" + "|".join(TURKISH_NOTES), " "))).otherwise(base)
-    parts = without_title(tx.sentences(base), title)
+    noted = lambda b: F.when(language == "tr", tx.collapse(F.regexp_replace(b, "(?iu)" + "|".join(TURKISH_NOTES), " "))).otherwise(b)
+    parts = tx.let(tx.sentences(tx.let(base, noted)), lambda p: without_title(p, title))
     split = F.flatten(F.transform(parts, lambda p: F.filter(F.transform(F.split(p, rf"{tx.SPACE}+\|{tx.SPACE}+"), lambda x: F.trim(x)), lambda x: x != "")))
-    bare = F.transform(split, strip_prefix)
     note = lambda s: F.when(language == "tr", tx.metadata_sentence(s, "tr")).otherwise(tx.metadata_sentence(s, "en"))
-    kept = F.filter(bare, lambda s, i: (s != "") & ~((i < 6) & note(s)))
-    joined = tx.let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")).otherwise(F.array_join(bare, " ")))
+
+    def kept(bare: Column) -> Column:
+        good = F.filter(bare, lambda s, i: F.when(s == "", False).when(i >= 6, True).otherwise(~note(s)))
+        return tx.let(good, lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")).otherwise(F.array_join(bare, " ")))
+
+    joined = tx.let(F.transform(split, strip_prefix), kept)
     return F.regexp_replace(source_cleanup(joined, source, url), r"^[ .,\-]+|[ .,\-]+$", "")
 
 
 def postprocess(summary: Column, title: Column, language: Column) -> Column:
     """A title in front goes if enough is left, a summary that is only the title is empty; then as T21, its stop restored."""
-    s, t = tx.collapse(summary), tx.collapse(title)
-    leads = (t != "") & F.startswith(F.lower(s), F.lower(t))
-    tail = F.regexp_replace(F.substring(s, F.length(t) + 1, F.length(s)), r"^[ .:\-]+", "")
-    body = F.when(leads & (F.length(tail) >= 24), F.concat(F.upper(F.left(tail, F.lit(1))), F.substring(tail, F.lit(2), F.length(tail)))).when(~leads & (t != "") & tx.near_duplicate(s, t), "").otherwise(s)
-    done = clean_for_summary(body, language, t, F.lit(""), F.lit(""))
-    stopped = F.regexp_replace(done, "[ ,;:-]+$", "")
-    return F.when((done != "") & ~tx.sentence_ending(done) & tx.sentence_ending(body), F.when(stopped != "", F.concat(stopped, F.lit("."))).otherwise("")).otherwise(done)
+
+    def body(x: Column) -> Column:
+        s, t = x["s"], x["t"]
+        leads = (t != "") & F.startswith(F.lower(s), F.lower(t))
+        tail = F.regexp_replace(F.substring(s, F.length(t) + 1, F.length(s)), r"^[ .:\-]+", "")
+        cut = tx.let(tail, lambda y: F.when(F.length(y) >= 24, F.concat(F.upper(F.left(y, F.lit(1))), F.substring(y, F.lit(2), F.length(y)))).otherwise(s))
+        return F.struct(F.when(leads, cut).when((t != "") & tx.near_duplicate(s, t), "").otherwise(s).alias("s"), t.alias("t"))
+
+    def stop(x: Column) -> Column:
+        def close(done: Column) -> Column:
+            bare = F.regexp_replace(done, "[ ,;:-]+$", "")
+            return F.when((done != "") & ~tx.sentence_ending(done) & tx.sentence_ending(x["s"]), F.when(bare != "", F.concat(bare, F.lit("."))).otherwise("")).otherwise(done)
+
+        return tx.let(clean_for_summary(x["s"], language, x["t"], F.lit(""), F.lit("")), close)
+
+    return tx.let(tx.let(F.struct(tx.collapse(summary).alias("s"), tx.collapse(title).alias("t")), body), stop)
 
 
 # --- summaries -----------------------------------------------------------------------------------------
@@ -169,18 +184,22 @@ def cut_at_space(text: Column, n: int) -> Column:
 
 def extractive(text: Column, n: int = 280, avoid: Column | None = None) -> Column:
     """G1: leading sentences, not like ``avoid``, as many as fit; an overlong first one is cut."""
-    parts = tx.sentences(tx.collapse(text))
-    if avoid is not None:
-        other = F.filter(parts, lambda p: ~((avoid != "") & tx.near_duplicate(p, avoid)))
-        parts = F.when(F.size(other) > 0, other).otherwise(parts)
 
     def step(state: Column, x: Column) -> Column:
         longer = F.when(state["s"] == "", x).otherwise(F.concat(state["s"], F.lit(" "), x))
         fits = state["open"] & (F.length(longer) <= n)
         return F.struct(F.when(fits, longer).otherwise(state["s"]).alias("s"), fits.alias("open"))
 
-    taken = F.aggregate(parts, F.struct(F.lit("").alias("s"), F.lit(True).alias("open")), step)["s"]
-    return F.when(F.size(parts) == 0, "").when(taken == "", cut_at_space(F.get(parts, F.lit(0)), n)).otherwise(taken)
+    def lead(parts: Column) -> Column:
+        taken = F.aggregate(parts, F.struct(F.lit("").alias("s"), F.lit(True).alias("open")), step)["s"]
+        return F.when(F.size(parts) == 0, "").otherwise(tx.let(taken, lambda t: F.when(t == "", cut_at_space(F.get(parts, F.lit(0)), n)).otherwise(t)))
+
+    def unlike(parts: Column) -> Column:
+        other = F.filter(parts, lambda p: ~tx.near_duplicate(p, avoid))
+        return tx.let(other, lambda o: F.when(F.size(o) > 0, o).otherwise(parts))
+
+    parts = tx.sentences(tx.collapse(text))
+    return tx.let(parts if avoid is None else tx.let(parts, unlike), lead)
 
 
 def degenerate(summary: Column) -> Column:

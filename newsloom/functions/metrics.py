@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.functions.text import CJK, collapse
+from newsloom.functions.text import CJK, collapse, let
 
 SEP = "\x01"
 
@@ -59,22 +59,29 @@ def repetition(toks: Column, n: int) -> Column:
 
 
 def novelty(summary: Column, source: Column, n: int) -> Column:
-    """Share of the summary's n-gram occurrences that the source doesn't have."""
-    g, known = ngrams(summary, n), F.array_distinct(ngrams(source, n))
-    return F.coalesce(1 - F.try_divide(F.size(F.filter(g, lambda x: F.array_contains(known, x))), F.size(g)), F.lit(0.0))
+    """Share of the summary's n-gram occurrences that the source doesn't have. The shared ones are found once, by hashing."""
+
+    def share(g: Column) -> Column:
+        known = lambda hits: F.coalesce(1 - F.try_divide(F.size(F.filter(g, lambda x: F.array_contains(hits, x))), F.size(g)), F.lit(0.0))
+        return let(F.array_intersect(g, ngrams(source, n)), known)
+
+    return let(ngrams(summary, n), share)
 
 
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
-def sentence_lengths(text: Column) -> tuple[Column, Column]:
-    """Mean and population deviation of the sentences' token counts."""
-    n = F.transform(sentences(text), lambda s: F.size(tokens(s)).cast("double"))
+def sentence_lengths(text: Column) -> Column:
+    """Mean and population deviation of the sentences' token counts, as a struct."""
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    mean = F.coalesce(F.try_divide(total(n), F.size(n)), F.lit(0.0))
-    variance = F.coalesce(F.try_divide(total(F.transform(n, lambda x: (x - mean) * (x - mean))), F.size(n)), F.lit(0.0))
-    return mean, F.sqrt(variance)
+
+    def both(n: Column) -> Column:
+        mean = F.coalesce(F.try_divide(total(n), F.size(n)), F.lit(0.0))
+        spread = lambda m: F.struct(m.alias("mean"), F.sqrt(F.coalesce(F.try_divide(total(F.transform(n, lambda x: (x - m) * (x - m))), F.size(n)), F.lit(0.0))).alias("std"))
+        return let(mean, spread)
+
+    return let(F.transform(sentences(text), lambda s: F.size(tokens(s)).cast("double")), both)
 
 
 def ideal_length(mean: Column, language: Column) -> Column:

@@ -147,8 +147,8 @@ def overlap(a: Column, b: Column) -> Column:
 
 def near_duplicate(a: Column, b: Column, threshold: float = 0.82) -> Column:
     """T12 on clean texts."""
-    same = (F.lower(a) == F.lower(b)) & (a != "")
-    return same | F.coalesce((a != "") & (b != "") & (overlap(word_set(a), word_set(b)) >= threshold), F.lit(False))
+    alike = let(F.struct(word_set(a).alias("a"), word_set(b).alias("b")), lambda s: F.coalesce(overlap(s["a"], s["b"]) >= threshold, F.lit(False)))
+    return (a != "") & (b != "") & ((F.lower(a) == F.lower(b)) | alike)
 
 
 # --- detection ---------------------------------------------------------------------------------------

@@ -20,13 +20,14 @@ def evaluate(rows: DataFrame) -> DataFrame:
     """36 metric columns from source_text, reference_summary, generated_summary, latency_seconds and language."""
     t = rows.withColumns({"__s": m.tokens(F.col("source_text")), "__r": m.tokens(F.col("reference_summary")), "__g": m.tokens(F.col("generated_summary"))})
     s, r, g = F.col("__s"), F.col("__r"), F.col("__g")
+    t = t.withColumns({"__r2": m.ngrams(r, 2), "__g2": m.ngrams(g, 2), "__shared": F.size(F.array_intersect(s, g)), "__len": m.sentence_lengths(F.col("generated_summary"))})
+    t = t.withColumns({"__h1": m.clipped(r, g), "__h2": m.clipped(F.col("__r2"), F.col("__g2"))})
     t = t.withColumns({"__lcs": m.lcs_length(r, g), "bleu": m.bleu(r, g), "meteor": m.meteor(r, g), "__fr": m.fragments(s, g)})
     t = t.withColumns({"source_tokens": F.size(s).cast("double"), "reference_tokens": F.size(r).cast("double"), "summary_tokens": F.size(g).cast("double")})
     t = t.withColumn("compression_ratio", F.coalesce(F.try_divide("source_tokens", "summary_tokens"), F.lit(0.0)))
-    for name, (p, c, f) in {"rouge1": m.rouge_n(r, g, 1), "rouge2": m.rouge_n(r, g, 2), "rougeL": m.prf(F.col("__lcs"), F.size(g), F.size(r))}.items():
+    for name, (p, c, f) in {"rouge1": m.prf(F.col("__h1"), F.size(g), F.size(r)), "rouge2": m.prf(F.col("__h2"), F.size("__g2"), F.size("__r2")), "rougeL": m.prf(F.col("__lcs"), F.size(g), F.size(r))}.items():
         t = t.withColumns({f"{name}_precision": p, f"{name}_recall": c, f"{name}_fmeasure": f})
-    shared = F.size(F.array_intersect(s, g))
-    mean, std = m.sentence_lengths(F.col("generated_summary"))
+    shared, mean, std = F.col("__shared"), F.col("__len.mean"), F.col("__len.std")
     t = t.withColumns(
         {
             "meteor_lite": F.col("meteor"),
@@ -59,7 +60,7 @@ def evaluate(rows: DataFrame) -> DataFrame:
         }
     )
     five = [F.col(f"capability_{k}") for k in ("coherence", "accuracy", "clarity", "relevance", "efficiency")]
-    return t.withColumn("capability_overall", sum(five[1:], five[0]) / 5).drop("__s", "__r", "__g", "__lcs", "__fr")
+    return t.withColumn("capability_overall", sum(five[1:], five[0]) / 5).drop("__s", "__r", "__g", "__r2", "__g2", "__shared", "__len", "__h1", "__h2", "__lcs", "__fr")
 
 
 def describe_by(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -143,8 +144,7 @@ def m9_m10_repetition_novelty(spark, sf_dir):
 
 
 def m12_sentence_lengths(spark, sf_dir):
-    mean, std = m.sentence_lengths(F.col("generated_summary"))
-    return samples(spark, sf_dir).select("sample_id", "model", F.round(mean, 6).alias("mean_length"), F.round(std, 6).alias("std_length"))
+    return samples(spark, sf_dir).withColumn("n", m.sentence_lengths(F.col("generated_summary"))).select("sample_id", "model", F.round("n.mean", 6).alias("mean_length"), F.round("n.std", 6).alias("std_length"))
 
 
 def m14_flesch(spark, sf_dir):
