@@ -160,22 +160,25 @@ def _any(text: Column, patterns) -> Column:
 
 def code_noise(text: Column) -> Column:
     """T9."""
-    low, n = F.lower(text), lambda part: occurrences(text, part)
+    n = lambda part: occurrences(text, part)
     braces = (n("{") + n("}") >= 2) & (n(";") >= 2) & (n(":") >= 3)
     objects = (n('{"') >= 2) & (n('":') >= 5)
     lists = (n('","') >= 5) & (n(":") >= 8)
-    script = (F.length(text) <= 240) & low.rlike(rf"{LEFT}(?:function|const|let|var){RIGHT}")
-    return (text != "") & (_any(low, CODE_NOISE) | braces | objects | lists | script)
+    script = (F.length(text) <= 240) & text.rlike(rf"(?iu){LEFT}(?:function|const|let|var){RIGHT}")
+    return (text != "") & (script | (text.contains(":") & (braces | objects | lists)) | _any(text, CODE_NOISE))
 
 
 def boilerplate(text: Column) -> Column:
     """T10 on clean text: empty, code, a boilerplate phrase, a cluster of menu words, or a short line of menu words."""
-    low = F.lower(text)
-    padded = F.concat(F.lit(" "), low, F.lit(" "))
-    cluster = reduce(lambda a, b: a + b, [padded.contains(f" {w} ").cast("int") for w in NAV_WORDS])
-    short = reduce(lambda a, b: a + b, [low.rlike(f"(?iu){LEFT}{p}{RIGHT}").cast("int") for p in NAV_SHORT])
-    phrase = _any(low, [f"{LEFT}(?:{p}){RIGHT}" for p in BOILERPLATE] + [f"{LEFT}{p}" for p in BOILERPLATE_OPEN])
-    return (text == "") | code_noise(low) | phrase | ((F.length(low) <= 420) & (cluster >= 6)) | ((F.length(low) <= 64) & (short >= 2))
+
+    def test(low: Column) -> Column:
+        words = F.split(low, " ")
+        cluster = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in NAV_WORDS]))) >= 6
+        short = reduce(lambda a, b: a + b, [low.rlike(f"(?iu){LEFT}{p}{RIGHT}").cast("int") for p in NAV_SHORT]) >= 2
+        phrase = _any(low, [f"{LEFT}(?:{'|'.join(BOILERPLATE)}){RIGHT}", f"{LEFT}(?:{'|'.join(BOILERPLATE_OPEN)})"])
+        return (low == "") | ((F.length(low) <= 64) & short) | ((F.length(low) <= 420) & cluster) | phrase | code_noise(low)
+
+    return let(F.lower(text), test)
 
 
 def sentence_ending(text: Column) -> Column:
@@ -197,19 +200,23 @@ DATE_SHAPES = (r"[0-3]?\d[./-][0-1]?\d[./-](?:\d{4}|\d{2})", r"\d{4}[./-][0-1]?\
 
 def datetime_like(text: Column) -> Column:
     """T14 on normalised text."""
-    return _any(F.lower(text), [f"{LEFT}(?:{'|'.join((*DATE_SHAPES, *MONTHS_TR, *MONTHS_EN))}){RIGHT}"])
+    return _any(text, [f"{LEFT}(?:{'|'.join((*DATE_SHAPES, *MONTHS_TR, *MONTHS_EN))}){RIGHT}"])
 
 
 def metadata_sentence(text: Column, language: str) -> Column:
     """T15 on normalised text: publish or update notes rather than prose."""
-    low = F.lower(text)
     markers = (*MARKERS, *MARKERS_TR) if language == "tr" else MARKERS
-    marked = reduce(lambda a, b: a | b, [low.contains(m) for m in markers])
-    dated, size = datetime_like(text), F.length(low)
-    short = (F.regexp_count(low, F.lit(TOKEN)) <= 7) & (size <= 64)
-    named = _any(low, [f"{LEFT}(?:{'|'.join(DATE_WORDS)}){RIGHT}"])
-    bare = low.rlike(rf"^(?:\d|{SPACE}|[:./|-])+$")
-    return F.when(text == "", True).when(size > 240, False).otherwise((marked & (dated | (size <= 110))) | (dated & short) | (dated & named) | bare)
+
+    def test(low: Column) -> Column:
+        size = F.length(low)
+        marked = _any(low, [m.replace(".", "[.]") for m in markers])
+        short = (size <= 64) & (F.regexp_count(low, F.lit(TOKEN)) <= 7)
+        named = _any(low, [f"{LEFT}(?:{'|'.join(DATE_WORDS)}){RIGHT}"])
+        bare = low.rlike(rf"^(?:\d|{SPACE}|[:./|-])+$")
+        dated = datetime_like(low)
+        return F.when(low == "", True).when(size > 240, False).otherwise((marked & (size <= 110)) | (dated & (marked | short | named)) | bare)
+
+    return let(F.lower(text), test)
 
 
 # --- bytes and encodings: sequential trials, in Arrow UDFs ----------------------------------------------
