@@ -9,12 +9,14 @@ ids follow from their words' ids. Decoding concatenates the binary pieces of the
 Blocks are formed within input partitions, so nothing is shuffled, no word can be hot and memory is bounded by a block.
 
 Defined cases: a null or empty text has no ids; invalid or unusual characters are bytes like any; repeated rows are
-rows of their own; extra columns are ignored. Words of any length are merged whole.
+rows of their own; extra columns are ignored. Words of any length are merged whole;
+those of more than FOLD_BYTES bytes by a heap, exactly as the fold would.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +30,8 @@ from newsloom.llm._shared import documents_of, lean, slices
 #: Code points of text in a block, whose distinct words are merged once.
 BLOCK_CHARS = 10_000_000
 ID_BITS = 16
+#: Bytes of a word that the fold merges; its work grows with the square of them, so longer words are merged by a heap.
+FOLD_BYTES = 400
 #: Slots for each pair, besides one for each id.
 ROOM = 4
 NAMES = ["block", "word", "ranks", "doc_id", "codes"]
@@ -86,7 +90,7 @@ class Ranks:
 
     def __init__(self, path: str):
         self.vocab = vocabulary(path)
-        keys, ranks = pair_ranks(self.vocab)
+        keys, ranks = self.of_pairs = pair_ranks(self.vocab)
         self.shifts, self.slots = place(keys, ranks, len(self.vocab))
         one = {b[0]: i for i, b in enumerate(self.vocab) if len(b) == 1}
         if len(one) != 256:
@@ -129,7 +133,35 @@ class Ranks:
         return let(self.tables(), fold)
 
 
-def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray):
+def heap_merged(ids: list[int], rank_of: dict[int, int]) -> list[int]:
+    """What the fold gives, in n log n steps. ``rank_of``: by left id * 65536 + right id."""
+    n = len(ids)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of.get(ids[i] << ID_BITS | ids[i + 1])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, left, right = heapq.heappop(heap)
+        j = after[i]
+        if j < 0 or ids[i] != left or ids[j] != right:  # one of the two has been merged meanwhile
+            continue
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[j] >= 0:
+            before[after[j]] = i
+        for a in (before[i], i):
+            b = after[a] if a >= 0 else -1
+            if b >= 0 and (r := rank_of.get(ids[a] << ID_BITS | ids[b])) is not None:
+                heapq.heappush(heap, (r, a, ids[a], ids[b]))
+    return [x for x in ids if x >= 0]
+
+
+def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray, keys: np.ndarray, ranks: np.ndarray):
+    found: dict[int, int] = {}
+
+    def by_pair() -> dict[int, int]:
+        if not found:
+            found.update(zip(keys.tolist(), ranks.tolist(), strict=True))
+        return found
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -139,19 +171,26 @@ def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray):
 
         def out() -> Iterator[pa.RecordBatch]:
             texts = [w.encode() for w in known]
+            long_ = {i: heap_merged(byte_ids[np.frombuffer(t, np.uint8)].tolist(), by_pair()) for i, t in enumerate(texts) if len(t) > FOLD_BYTES}
+            for i in long_:
+                texts[i] = b""
             joined = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.zeros(len(texts) + 1, np.int32)
             np.cumsum([len(t) for t in texts], out=ends[1:])
             rank = np.full(len(joined), -1, np.int64)
             rank[:-1] = pairs[joined[:-1], joined[1:]]
-            rank[ends[1:] - 1] = -1  # the last byte of a word has no pair
+            last = ends[1:][np.diff(ends) > 0] - 1
+            rank[last] = -1  # the last byte of a word has no pair
             per = 20_000
             for a in range(0, len(texts), per):
                 b = min(a + per, len(texts))
                 at, offs = slice(ends[a], ends[b]), pa.array(ends[a : b + 1] - ends[a])
                 word = pa.ListArray.from_arrays(offs, pa.array(byte_ids[joined[at]]))
-                ranks = pa.ListArray.from_arrays(offs, pa.array(rank[at], mask=rank[at] < 0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), word, ranks, pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names=NAMES)
+                first = pa.ListArray.from_arrays(offs, pa.array(rank[at], mask=rank[at] < 0))
+                if done := {i - a: ids for i, ids in long_.items() if a <= i < b}:  # no ranks: nothing is left to merge
+                    word = pa.array([done.get(i, x) for i, x in enumerate(word.to_pylist())], longs)
+                    first = pa.array([None if i in done else x for i, x in enumerate(first.to_pylist())], longs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), word, first, pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names=NAMES)
             for a in range(0, len(docs), 2000):
                 part = docs[a : a + 2000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.nulls(len(part), longs), pa.nulls(len(part), longs), pa.array([d for d, _ in part], pa.int64()), pa.array([c for _, c in part], pa.binary())], names=NAMES)
@@ -207,8 +246,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
     ranks = Ranks(path)
-    rows = documents_of(docs).mapInArrow(lean(_blocks(pattern, ranks.byte_ids, ranks.pairs)), "block long, word array<bigint>, ranks array<bigint>, doc_id long, codes binary")
-    rows = rows.select("block", "doc_id", "codes", F.when(F.col("codes").isNull(), ranks.merged(F.col("word"), F.col("ranks"))).alias("ids"))
+    rows = documents_of(docs).mapInArrow(lean(_blocks(pattern, ranks.byte_ids, ranks.pairs, *ranks.of_pairs)), "block long, word array<bigint>, ranks array<bigint>, doc_id long, codes binary")
+    rows = rows.select("block", "doc_id", "codes", F.when(F.col("ranks").isNotNull(), ranks.merged(F.col("word"), F.col("ranks"))).otherwise(F.col("word")).alias("ids"))
     return rows.mapInArrow(lean(_texts), "doc_id long, ids array<int>")
 
 
