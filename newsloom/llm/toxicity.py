@@ -7,7 +7,7 @@ overlapping by half, over the whole text; attention pools a window's states, and
 share of high ones, largest) give the document's score. Trained in numpy, on a bounded sample.
 
 Defined cases: a null or empty text, or one without words, scores 0; without labels of both kinds every text scores
-0; repeated rows get the same score; extra columns and the columns lang, source and doc_id are never read for a score.
+0; repeated rows get the same score (five decimals); extra columns and the columns lang, source and doc_id are never read for a score.
 """
 
 from __future__ import annotations
@@ -210,7 +210,7 @@ class Model(NamedTuple):
         if self.gru is None or not len(row):
             return out
         has, stats = pooled(row, self.window_logits(inputs(w, self.of_word, self.of_prefix), first, size), n)
-        out[has] = sigmoid(np.c_[stats, np.ones(len(stats))] @ self.head)
+        out[has] = sigmoid(np.c_[stats, np.ones(len(stats))] @ self.head).round(5)  # beyond that, sums depend on the batch
         return out
 
 

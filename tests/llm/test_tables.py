@@ -218,7 +218,7 @@ def exact(rows, k, every):
 def test_nearest_on_small_tables(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(80)]
-    rows += [(100, None), (200, []), (300, [0.0] * 6), (400, [1.0, None, 1, 1, 1, 1]), (500, [float("nan")] * 6), (None, [1.0] * 6), (3, rows[3][1]), (81, rows[5][1]), (82, rows[5][1])]
+    rows += [(100, None), (200, []), (300, [0.0] * 6), (400, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (500, [float("nan")] * 6), (None, [1.0] * 6), (3, rows[3][1]), (81, rows[5][1]), (82, rows[5][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as vec")
     want = exact(rows, 10, 10)
     got = collections.defaultdict(list)

@@ -152,7 +152,7 @@ def test_classifiers_with_odd_rows_and_without_labels(spark, odd, no_docs, modul
     scores = collections.defaultdict(set)
     for r in module.score(odd, model).collect():
         scores[r.doc_id].add(r.score)
-    assert len(scores[6]) == 1 and scores[1] == scores[2]
+    assert max(scores[6]) - min(scores[6]) < 2e-5 and abs(max(scores[1]) - max(scores[2])) < 2e-5
 
 
 def test_recurrent_gradients_agree_with_differences():
