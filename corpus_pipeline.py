@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id."""
-    gone = stored(minhash.near_duplicates(docs).where("not kept").select("doc_id"))
+    """One document of each group of near duplicates (five words, a similarity of 0.8 or more), the one with the smallest id."""
+    gone = stored(minhash.near_duplicates(docs, 80).where("not kept").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -2,8 +2,8 @@
 
 Under each permutation both the smallest and the largest value of a document's shingles are kept: two components
 for one hash evaluation, each an unbiased vote on the similarity, with less variance together than two minima.
-Bands of ``ROWS`` components make bucket keys; at a similarity of 0.85 a pair shares none of ``BANDS`` buckets with
-a probability of about 1e-5.
+Bands of ``ROWS`` components make bucket keys, as many that a pair at the bound shares no bucket with a probability
+of about 1e-5: 24 at a similarity of 0.85, 38 at 0.80.
 
 * Equal sets become one class first (grouped minimum), so copies are never compared.
 * A bucket links its classes to its smallest one; the components of these links are clusters of candidates. No pair
@@ -20,6 +20,7 @@ repeated rows of one doc_id share its verdict; an empty table gives no rows; ext
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,14 +31,20 @@ from newsloom.llm._shared import LOWER, Stored, batch_of, documents_of, lean, mi
 from newsloom.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS = 24, 6
+#: Bands by the bound in per cent.
+BANDS, ROWS = {85: 24, 80: 38}, 6
 #: Documents of a block, and shingles of a block as far as documents allow.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
 SIGNED = "doc_id long, hi long, lo long, n_shingles long, bands array<long>"
 SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_rng = np.random.default_rng(20)
-_FLIP = _rng.integers(0, 1 << 63, BANDS * ROWS // 2, np.uint64)
-_TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS // 2, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+@lru_cache
+def permutations(bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flips and odd factors of the permutations that so many bands need."""
+    rng = np.random.default_rng(20)
+    flip = rng.integers(0, 1 << 63, bands * ROWS // 2, np.uint64)
+    return flip, rng.integers(0, 1 << 63, bands * ROWS // 2, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -69,41 +76,42 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.n
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), ends
 
 
-def min_max(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def min_max(values: np.ndarray, starts: np.ndarray, bands: int) -> np.ndarray:
     """(rows, components): minima under all permutations, then maxima. Rows must not be empty."""
-    half = len(_FLIP)
+    flip, times = permutations(bands)
+    half = len(flip)
     out = np.empty((len(starts), 2 * half), np.uint64)
     for i in range(half):
-        p = (values ^ _FLIP[i]) * _TIMES[i]
+        p = (values ^ flip[i]) * times[i]
         out[:, i] = np.minimum.reduceat(p, starts)
         out[:, half + i] = np.maximum.reduceat(p, starts)
     return out
 
 
 def band_keys(parts: np.ndarray) -> np.ndarray:
-    """(rows, BANDS): each band takes as many minima as maxima, of different permutations."""
-    half = parts.shape[1] // 2
-    order = np.concatenate([[j * ROWS // 2 + np.arange(ROWS // 2), half + ((j + 1) * ROWS // 2 + np.arange(ROWS // 2)) % half] for j in range(BANDS)], axis=None).reshape(BANDS, ROWS)
-    keys = np.tile(mix(np.arange(BANDS, dtype=np.uint64)), (len(parts), 1))
+    """(rows, bands): each band takes as many minima as maxima, of different permutations."""
+    half, bands = parts.shape[1] // 2, parts.shape[1] // ROWS
+    order = np.concatenate([[j * ROWS // 2 + np.arange(ROWS // 2), half + ((j + 1) * ROWS // 2 + np.arange(ROWS // 2)) % half] for j in range(bands)], axis=None).reshape(bands, ROWS)
+    keys = np.tile(mix(np.arange(bands, dtype=np.uint64)), (len(parts), 1))
     for r in range(ROWS):
         keys = mix(keys * np.uint64(5) + parts[:, order[:, r]])
     return keys
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offs in steps(batch):
             values, ends = shingles(data, offs)
             size = np.diff(ends)
             has = np.flatnonzero(size > 0)
-            hi, lo, keys = np.zeros((2, len(size)), np.uint64)[0], np.zeros(len(size), np.uint64), np.zeros((0, BANDS), np.uint64)
+            hi, lo, keys = np.zeros((2, len(size)), np.uint64)[0], np.zeros(len(size), np.uint64), np.zeros((0, bands), np.uint64)
             if len(has):
                 starts = ends[has]
-                keys = band_keys(min_max(values, starts))
+                keys = band_keys(min_max(values, starts, bands))
                 hi[has] = np.add.reduceat(mix(values + np.uint64(11)), starts)
                 lo[has] = np.add.reduceat(mix(values ^ np.uint64(0xABCDEF)), starts)
             none = size == 0
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(none, 0, BANDS))].astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(none, 0, bands))].astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
             yield batch_of(SIGNED_ARROW, doc_id=part["doc_id"], hi=pa.array(hi.view(np.int64), mask=none), lo=pa.array(lo.view(np.int64), mask=none), n_shingles=size, bands=lists)
 
 
@@ -159,7 +167,7 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> li
     return edges
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit come in; a unit's sets (two blocks of documents) are held at a time."""
     unit, ids, sets = None, [], []
 
@@ -170,20 +178,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for c, x, y, doc, blob in zip(*(batch[k].to_pylist() for k in ("cluster", "x", "y", "doc_id", "shingles")), strict=True):
             if (c, x, y) != unit:
-                found += forest(ids, sets)
+                found += forest(ids, sets, percent)
                 unit, ids, sets = (c, x, y), [], []
             ids.append(doc)
             sets.append(np.frombuffer(blob, np.uint64))
         if found:
             yield out(found)
-    if found := forest(ids, sets):
+    if found := forest(ids, sets, percent):
         yield out(found)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each document."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each document. Links hold from a similarity of ``percent`` (a key of ``BANDS``)."""
     docs = documents_of(docs)
-    signed = Stored(docs.mapInArrow(lean(_sign), SIGNED))
+    signed = Stored(docs.mapInArrow(lean(partial(_sign, bands=BANDS[percent])), SIGNED))
     usable = signed.df.where("hi is not null and doc_id is not null")
     classes = Stored(usable.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("hi", "lo", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")))
     keys = classes.df.select(F.col("rep"), F.explode("bands").alias("key"))
@@ -199,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(lean(_sets), "doc_id long, cluster long, blocks int, shingles binary")
     sets = sets.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     units = sets.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "shingles")
-    edges = units.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id").mapInArrow(lean(_compare), "a long, b long")
+    edges = units.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id").mapInArrow(lean(partial(_compare, percent=percent)), "a long, b long")
     linked = components(Stored(edges).df)
     of_class = classes.df.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
     whole = signed.df.withColumn("hi", F.when(F.col("doc_id").isNotNull(), F.col("hi"))).join(of_class, ["hi", "lo"], "left")
