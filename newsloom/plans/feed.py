@@ -73,10 +73,13 @@ def pre_limit(selected: int, catalog: int, per_source: int) -> int:
 
 
 def round_robin(rows: DataFrame, source: str, position: str) -> DataFrame:
-    """The first row of each source in first-seen order, then the second ones, and so on; column turn_order from 1."""
+    """The first row of each source in first-seen order, then the second ones, and so on; column turn_order from 1: the rows of the turns before and the place within the turn."""
     own = Window.partitionBy(source)
     ranked = rows.withColumn("turn", F.row_number().over(own.orderBy(position))).withColumn("first_seen", F.min(position).over(own))
-    return ranked.withColumn("turn_order", F.row_number().over(Window.orderBy("turn", "first_seen")))
+    turns = ranked.groupBy("turn").count()
+    before = turns.select("turn", (F.sum("count").over(Window.orderBy("turn")) - F.col("count")).alias("before"))
+    placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy("turn").orderBy("first_seen")))
+    return placed.join(before, "turn").withColumn("turn_order", F.col("before") + F.col("place")).drop("before", "place")
 
 
 def language_budgets(languages: DataFrame, budget: int) -> DataFrame:
@@ -239,8 +242,7 @@ def o15_latest_run(spark, sf_dir):
 
 
 def o4_round_robin(spark, sf_dir):
-    e = _events(spark, sf_dir).where("event_id < 600")
-    return round_robin(e, "source_key", "event_id").select("event_id", "source_key", F.col("turn_order").cast("long"))
+    return round_robin(_events(spark, sf_dir), "source_key", "event_id").select("event_id", "source_key", F.col("turn_order").cast("long"))
 
 
 def o5_language_budgets(spark, sf_dir):

@@ -1,9 +1,11 @@
 """Queries over whole tables and whole texts: what lies behind a first part of either must count."""
 
+import duckdb
 import pytest
 
 from newsloom.queries import QUERIES
 
+SF = "/root/testdata/sf0.001"
 FILLER = "zzz " * 150
 
 
@@ -23,3 +25,13 @@ def test_pairs_of_all_documents_and_whole_texts(spark, made):
     sf = made("benchmark", [(7, "Alpha beta gamma delta."), (8, "nothing here is shared")], "item_id long, text string")
     got = {(r.doc_id, r.item_id, r.shared) for r in QUERIES["t11_t12_near_duplicates"](spark, sf).collect()}
     assert got == {(1, 7, 4), (401, 7, 3), (2, 7, 4), (9000, 7, 1)}
+
+
+def test_round_robin_of_all_events(spark):
+    rows = duckdb.sql(f"select event_id, user_id from '{SF}/events.parquet' order by event_id").fetchall()
+    turn, first, keys = {}, {}, []
+    for event, user in rows:
+        turn[user] = turn.get(user, 0) + 1
+        keys.append((turn[user], first.setdefault(user, event), event))
+    want = {k[2]: i for i, k in enumerate(sorted(keys), 1)}
+    assert {r.event_id: r.turn_order for r in QUERIES["o4_round_robin"](spark, SF).collect()} == want and len(want) == 1000
