@@ -224,7 +224,7 @@ def k2_upsert_summaries(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey <= 400")
+    o = table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
     return o.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"), status.alias("status"), F.to_json(F.struct(F.col("o_totalprice").cast("long").alias("processed"))).alias("stats_json"))
 

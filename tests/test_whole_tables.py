@@ -35,3 +35,9 @@ def test_round_robin_of_all_events(spark):
         keys.append((turn[user], first.setdefault(user, event), event))
     want = {k[2]: i for i, k in enumerate(sorted(keys), 1)}
     assert {r.event_id: r.turn_order for r in QUERIES["o4_round_robin"](spark, SF).collect()} == want and len(want) == 1000
+
+
+def test_run_log_of_all_orders(spark):
+    want = duckdb.sql(f"select case o_orderstatus when 'F' then 'success' when 'O' then 'running' else 'failed' end, count(*), sum(trunc(o_totalprice)::bigint)::bigint from '{SF}/orders.parquet' group by 1").fetchall()
+    assert {tuple(r) for r in QUERIES["k3_run_log"](spark, SF).select("status", "runs", "processed").collect()} == set(want)
+    assert QUERIES["o15_latest_run"](spark, SF).first()["id"] == duckdb.sql(f"select max(o_orderkey) from '{SF}/orders.parquet'").fetchall()[0][0]
