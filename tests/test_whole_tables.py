@@ -41,3 +41,8 @@ def test_run_log_of_all_orders(spark):
     want = duckdb.sql(f"select case o_orderstatus when 'F' then 'success' when 'O' then 'running' else 'failed' end, count(*), sum(trunc(o_totalprice)::bigint)::bigint from '{SF}/orders.parquet' group by 1").fetchall()
     assert {tuple(r) for r in QUERIES["k3_run_log"](spark, SF).select("status", "runs", "processed").collect()} == set(want)
     assert QUERIES["o15_latest_run"](spark, SF).first()["id"] == duckdb.sql(f"select max(o_orderkey) from '{SF}/orders.parquet'").fetchall()[0][0]
+
+
+def test_decoded_pages_are_all_pages(spark, made):
+    sf = made("pages", [(i, f"<p>page {i} é</p>") for i in range(10)], "page_id long, html string")
+    assert {tuple(r) for r in QUERIES["t24_decoded"](spark, sf).collect()} == {(i, 15) for i in range(10)}
