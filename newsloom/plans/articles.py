@@ -26,7 +26,7 @@ def t15_metadata_sentences(spark, sf_dir):
 
 def t17_source_cleanup(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    made = F.concat(F.lit("Read more "), F.left("text", F.lit(80)), F.lit(" listen to this article"))
+    made = F.concat(F.lit("Read more "), "text", F.lit(" listen to this article"))
     url = F.when(F.col("doc_id") % 2 == 0, "https://www.bbc.com/x").otherwise("https://x.example/")
     return d.select("doc_id", F.length(ar.source_cleanup(made, F.col("source"), url)).cast("long").alias("n"))
 
@@ -58,7 +58,7 @@ def t4_repaired(spark, sf_dir):
 
 
 def t16_prefixes(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", ar.strip_prefix(F.concat(F.when(F.col("doc_id") % 2 == 0, "Last updated: 12.01.2024 10:30 | ").otherwise(""), F.left("text", F.lit(50)))).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", ar.strip_prefix(F.concat(F.when(F.col("doc_id") % 2 == 0, "Last updated: 12.01.2024 10:30 | ").otherwise(""), "text")).alias("text"))
 
 
 def t21_clean_for_summary(spark, sf_dir):

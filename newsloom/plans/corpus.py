@@ -182,7 +182,7 @@ def r3_resampled_counts(spark, sf_dir):
 
 
 def f15_reuters_text(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", reuters_text(F.concat(F.left("text", F.lit(80)), F.when(F.col("doc_id") % 2 == 0, "\n REUTER").otherwise(""))).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", reuters_text(F.concat("text", F.when(F.col("doc_id") % 2 == 0, "\n REUTER").otherwise(""))).alias("text"))
 
 
 def f16_source_order(spark, sf_dir):
@@ -222,7 +222,7 @@ def t6_sentences(spark, sf_dir):
 
 
 def t7_cjk_count(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", tx.cjk_count(F.concat(F.left("text", F.lit(50)), F.lit("漢字かな한글"))).cast("long").alias("n"))
+    return docs(spark, sf_dir).select("doc_id", tx.cjk_count(F.concat("text", F.lit("漢字かな한글"))).cast("long").alias("n"))
 
 
 def t8_word_like_count(spark, sf_dir):
@@ -231,7 +231,7 @@ def t8_word_like_count(spark, sf_dir):
 
 def t9_code_noise(spark, sf_dir):
     d = docs(spark, sf_dir)
-    marked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.left("text", F.lit(100)), F.lit(" font-family: x"))).when(F.col("doc_id") % 5 == 1, F.concat(F.left("text", F.lit(60)), F.lit(" let x"))).otherwise(F.col("text"))
+    marked = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" font-family: x"))).when(F.col("doc_id") % 5 == 1, F.concat("text", F.lit(" let x"))).otherwise(F.col("text"))
     return d.select("doc_id", tx.code_noise(marked).alias("noise"))
 
 
@@ -246,12 +246,12 @@ def t11_t12_near_duplicates(spark, sf_dir):
 
 def t14_datetime_like(spark, sf_dir):
     d = docs(spark, sf_dir)
-    s = F.when(F.col("doc_id") % 4 == 0, F.concat(F.left("text", F.lit(20)), F.lit(" 12:30 "))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Am 3 Mart "), F.left("text", F.lit(20)))).otherwise(F.left("text", F.lit(40)))
+    s = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit(" 12:30 "))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Am 3 Mart "), "text")).otherwise(F.col("text"))
     return d.select("doc_id", tx.datetime_like(tx.collapse(s)).alias("dated"))
 
 
 def t22_sentence_ending(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", tx.sentence_ending(F.left("text", F.lit(120))).alias("ended"))
+    return docs(spark, sf_dir).select("doc_id", tx.sentence_ending(F.col("text")).alias("ended"))
 
 
 def t3_mojibake(spark, sf_dir):

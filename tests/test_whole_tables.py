@@ -46,3 +46,17 @@ def test_run_log_of_all_orders(spark):
 def test_decoded_pages_are_all_pages(spark, made):
     sf = made("pages", [(i, f"<p>page {i} é</p>") for i in range(10)], "page_id long, html string")
     assert {tuple(r) for r in QUERIES["t24_decoded"](spark, sf).collect()} == {(i, 15) for i in range(10)}
+
+
+def test_text_operators_read_whole_texts(spark, made):
+    long = "word " * 60
+    texts = {2: long + "at 10:45 reuter", 5: long + "漢", 7: long + "reuter", 11: long + 'font-family: x', 12: long + "read more here.", 3: long + "10:45 no"}
+    sf = made("documents", [(i, t, "en", "a") for i, t in texts.items()], "doc_id long, text string, lang string, source string")
+    got = lambda name: {r[0]: r[1] for r in QUERIES[name](spark, sf).collect()}
+    assert got("t7_cjk_count") == {i: 6 + (i == 5) for i in texts}
+    assert got("t9_code_noise") == {i: i in (5, 11) for i in texts}
+    assert got("t14_datetime_like") == {i: i in (2, 3, 5, 12) for i in texts}
+    assert got("t22_sentence_ending") == {i: i == 12 for i in texts}
+    assert got("f15_reuters_text") == {i: t if i == 12 or i == 2 else t.removesuffix(" reuter") for i, t in texts.items()}
+    assert got("t16_prefixes") == texts
+    assert got("t17_source_cleanup") == {i: len(t) + len(" listen to this article") * (i % 2) - len("read more .") * (i == 12) for i, t in texts.items()}
