@@ -2,10 +2,13 @@
 
 A text is a sequence of lower-cased words. A word's input joins what is known of the word itself and of its character
 prefixes (evidence of each from the labelled sample, cross-fitted while training so that no document vouches for
-itself) and a fixed random projection of its characters. The network reads every window of WINDOW words, windows
+itself) and two bytes of its hash. The network reads every window of WINDOW words, windows
 overlapping by half, over the whole text; attention pools a window's states, and the windows' scores together (mean,
 share of high ones, largest) give the document's score. Trained in numpy, on a bounded sample.
 
+Limit: prefixes are 3 to 10 bytes, and bytes over 127 never separate words. In scripts without spaces a whole run is one
+word, of which only the first 10 bytes and a hash reach the score; ends and inner parts of words are not seen either.
+
 Defined cases: a null or empty text, or one without words, scores 0; without labels of both kinds every text scores
 0; repeated rows get the same score (five decimals); extra columns and the columns lang, source and doc_id are never read for a score.
 """
