@@ -23,12 +23,19 @@ LOWER[65:91] += 32
 # --- tables in the shared folder -------------------------------------------------------------
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where it is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one, on a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='newsloom')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='newsloom')}"
+        found = _own[context.applicationId]
     return found.rstrip("/")
 
 

@@ -1,22 +1,26 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 Texts are split by the tokenizer's pattern and their distinct words (the pattern's matches) are found in bounded
-blocks of text. Each distinct word becomes one row with its byte array (as the bytes' ids); a fold of ranked merges runs on it in the
-JVM (``aggregate``, ``array_min``, ``array_position``, ``slice``, ``concat``). Ranks of pairs stand in the plan as
-literal arrays, a rank map of one probe (row displacement): a map literal would be searched from its start each time. The texts'
-ids follow from their words' ids. Decoding concatenates the binary pieces of the ids, by the same means.
+blocks of text. Each distinct word becomes one row: its bytes, each as the id of its byte, and the ranks of the merges that
+can occur in it (tokens among its parts), ascending. A fold (``aggregate``) in the JVM applies them in that order by the
+literal rank map, which gives the pair that a rank merges and the token it makes. Ids are written as characters of three
+bytes, so that a merge is one replacement in a string. The texts' ids follow from their words' ids. Decoding
+concatenates the binary pieces of the ids.
+
+Why ascending ranks suffice: in a sound vocabulary the bytes of every token, merged alone, end as that token, by ever higher
+ranks. What happens between two borders that no merge crosses doesn't depend on what stands outside, so a pair of a
+rank below the last merge's can't arise, and a token is made from one pair only. ``Ranks`` checks each token and refuses
+a vocabulary that isn't sound.
 
 Blocks are formed within input partitions, so nothing is shuffled, no word can be hot and memory is bounded by a block.
 
 Defined cases: a null or empty text has no ids; invalid or unusual characters are bytes like any; repeated rows are
-rows of their own; extra columns are ignored. Words of any length are merged whole;
-those of more than FOLD_BYTES bytes by a heap, exactly as the fold would.
+rows of their own; extra columns are ignored. Words of any length are folded whole.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,14 +31,13 @@ from pyspark.sql import functions as F
 
 from newsloom.llm._shared import documents_of, lean, slices
 
-#: Code points of text in a block, whose distinct words are merged once.
-BLOCK_CHARS = 10_000_000
-ID_BITS = 16
-#: Bytes of a word that the fold merges; its work grows with the square of them, so longer words are merged by a heap.
-FOLD_BYTES = 400
-#: Slots for each pair, besides one for each id.
+#: Code points of text in a block, whose distinct words are merged once, and words and bytes of a row batch to the fold.
+BLOCK_CHARS, BATCH_WORDS, BATCH_BYTES = 4_000_000, 10_000, 1 << 18
+#: Characters of three UTF-8 bytes, but surrogates: the first one, and how many there are.
+FIRST, SURROGATES, MOST_IDS = 0x800, (0xD800, 0xE000), 0x10000 - 0x800 - 0x800
+#: Slots for each edge of the trie.
 ROOM = 4
-NAMES = ["block", "word", "ranks", "doc_id", "codes"]
+NAMES = ["block", "word", "merges", "doc_id", "codes"]
 
 
 @lru_cache(maxsize=4)
@@ -42,160 +45,152 @@ def vocabulary(path: str) -> tuple[bytes, ...]:
     """Bytes of each id, by rank."""
     with open(path, "rb") as f:
         rows = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, filter(bytes.strip, f)))
-    if [r for r, _ in rows] != list(range(len(rows))) or len(rows) >= 1 << ID_BITS:
-        raise ValueError("ranks must be 0, 1, 2, ... and fewer than 65536")
+    if [r for r, _ in rows] != list(range(len(rows))) or len(rows) > MOST_IDS:
+        raise ValueError(f"ranks must be 0, 1, 2, ... and at most {MOST_IDS}")
     return tuple(b for _, b in rows)
 
 
-def pair_ranks(vocab: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Key and rank of each pair of tokens whose bytes together are a token."""
-    of = {b: i for i, b in enumerate(vocab)}
-    found = [(of[t[:k]] << ID_BITS | of[t[k:]], i) for i, t in enumerate(vocab) for k in range(1, len(t)) if t[:k] in of and t[k:] in of]
-    keys, ranks = zip(*found, strict=True)
-    return np.array(keys, np.int64), np.array(ranks, np.int64)
-
-
-def place(keys: np.ndarray, ranks: np.ndarray, ids: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row displacement: the row of each left id is laid over the others where its pairs meet free slots.
-
-    Returns the shift of each left id and the slots; slot shift[a] + b holds a * 65536 + rank, free slots hold -1.
-    """
-    left, right = keys >> ID_BITS, keys & ((1 << ID_BITS) - 1)
-    order = np.argsort(left, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, np.diff(left[order]) > 0, True])
-    groups = sorted((order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)), key=len, reverse=True)
-    shifts, slots, rng = np.zeros(ids, np.int64), np.full(ids + ROOM * len(keys), -1, np.int64), np.random.default_rng(5)
-    for g in groups:
-        while True:
-            at = int(rng.integers(ROOM * len(keys))) + right[g]
-            if (slots[at] < 0).all():
-                break
-        shifts[left[g[0]]] = at[0] - right[g[0]]
-        slots[at] = left[g] << ID_BITS | ranks[g]
-    return shifts, slots
+def last_pair(token: bytes, of: dict[bytes, int]) -> tuple[int, int] | None:
+    """The two ids whose merge makes the token, when its bytes are merged by ever higher ranks; None if they don't end as the token."""
+    parts, before = [token[i : i + 1] for i in range(len(token))], -1
+    while len(parts) > 2:
+        rank, i = min((of.get(parts[i] + parts[i + 1], len(of)), i) for i in range(len(parts) - 1))
+        if rank == len(of) or rank < before:
+            return None
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        before = rank
+    return (of[parts[0]], of[parts[1]]) if of[token] > before else None
+
+
+def chars(ids: np.ndarray) -> np.ndarray:
+    """(n, 3) bytes: each id as a character."""
+    c = ids.astype(np.int64) + FIRST
+    c += (c >= SURROGATES[0]) * (SURROGATES[1] - SURROGATES[0])
+    return np.stack([0xE0 | c >> 12, 0x80 | c >> 6 & 63, 0x80 | c & 63], 1).astype(np.uint8)
+
+
+def ids_of(data: np.ndarray) -> np.ndarray:
+    """The ids of such characters."""
+    b = data.reshape(-1, 3).astype(np.int32)
+    c = (b[:, 0] & 15) << 12 | (b[:, 1] & 63) << 6 | b[:, 2] & 63
+    c -= FIRST
+    c[c >= SURROGATES[1] - FIRST] -= SURROGATES[1] - SURROGATES[0]
+    return c
+
+
+class Trie:
+    """The vocabulary's bytes by row displacement: a node's children lie in ``slots`` from ``shift[node]``, each with its parent."""
+
+    def __init__(self, vocab: tuple[bytes, ...]):
+        children: list[dict[int, int]] = [{}]
+        rank = [-1]
+        for r, t in enumerate(vocab):
+            at = 0
+            for b in t:
+                to = children[at].get(b)
+                if to is None:
+                    to = children[at][b] = len(children)
+                    children.append({})
+                    rank.append(-1)
+                at = to
+            rank[at] = r
+        rng = np.random.default_rng(5)
+        self.rank, self.shift = np.array(rank, np.int32), np.zeros(len(children), np.int32)
+        self.parent, self.child = (np.full(ROOM * len(children) + 256, -1, np.int32) for _ in range(2))
+        for node in sorted(range(len(children)), key=lambda i: -len(children[i])):
+            keys = np.array(sorted(children[node]), np.int64)
+            while len(keys):
+                shift = int(rng.integers(ROOM * len(children)))
+                if (self.parent[shift + keys] < 0).all():
+                    self.shift[node], self.parent[shift + keys] = shift, node
+                    self.child[shift + keys] = [children[node][k] for k in keys.tolist()]
+                    break
+
+    def parts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """word << 16 | rank of the tokens of two bytes or more within each word, ascending and distinct. ``ends``: offsets of the words."""
+        word = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        at, stop = np.arange(len(data)), ends[1:][word]
+        node, found = np.zeros(len(data), np.int32), []
+        length = 0
+        while len(at):
+            slot = self.shift[node] + data[at + length]
+            there = self.parent[slot] == node
+            at, node = at[there], self.child[slot[there]]
+            length += 1
+            token = self.rank[node]
+            if length > 1:
+                hit = token >= 0
+                found.append(word[at[hit]] << 16 | token[hit])
+            more = at + length < stop[at]
+            at, node = at[more], node[more]
+        if not found:
+            return np.zeros(0, np.int64)
+        out = np.sort(np.concatenate(found))
+        return out[np.r_[True, out[1:] != out[:-1]]] if len(out) else out
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+class Ranks:
+    """The vocabulary as literal columns and as the trie that finds a word's merges."""
 
+    def __init__(self, path: str):
+        self.vocab = vocabulary(path)
+        of = {b: i for i, b in enumerate(self.vocab)}
+        if len(of) != len(self.vocab) or any(bytes([b]) not in of for b in range(256)):
+            raise ValueError("tokens must be distinct, and each byte must be one")
+        self.byte_ids = np.array([of[bytes([b])] for b in range(256)], np.int64)
+        pairs = [last_pair(t, of) if len(t) > 1 else (i, i) for i, t in enumerate(self.vocab)]
+        if None in pairs:
+            raise ValueError(f"rank {pairs.index(None)} can't be made by ever higher ranks")
+        self.pairs = np.array(pairs, np.int64)
 
-def _longs(values) -> Column:
-    """A literal array: the optimizer folds the split and the cast."""
-    return F.split(F.lit(",".join(map(str, np.asarray(values).tolist()))), ",").cast("array<bigint>")
+    def merged(self, word: Column, merges: Column) -> Column:
+        """The word's characters after its merges, given those of its bytes: the lowest rank first, from left to right."""
+        ids = np.arange(len(self.vocab))
+        pair, token = _strings(np.concatenate([chars(self.pairs[:, 0]), chars(self.pairs[:, 1])], 1)), _strings(chars(ids))
+        return F.aggregate(merges, word, lambda s, r: F.replace(s, F.get(pair, r), F.get(token, r)))
 
 
-class Ranks:
-    """The vocabulary as literal columns."""
+def _strings(data: np.ndarray) -> Column:
+    """A literal array, one string for each row of bytes: the optimizer folds the split."""
+    return F.split(F.lit(",".join(bytes(x).decode() for x in data)), ",")
 
-    def __init__(self, path: str):
-        self.vocab = vocabulary(path)
-        keys, ranks = self.of_pairs = pair_ranks(self.vocab)
-        self.shifts, self.slots = place(keys, ranks, len(self.vocab))
-        one = {b[0]: i for i, b in enumerate(self.vocab) if len(b) == 1}
-        if len(one) != 256:
-            raise ValueError("each byte must be a token")
-        self.byte_ids = np.array([one[b] for b in range(256)], np.int64)
-        self.pairs = np.full((256, 256), -1, np.int64)  # ranks of byte pairs
-        for i, b in enumerate(self.vocab):
-            if len(b) == 2:
-                self.pairs[b[0], b[1]] = i
-
-    def tables(self) -> Column:
-        """Both arrays as one literal, bound once around the fold: the plan and every task hold one copy."""
-        return F.struct(_longs(self.shifts).alias("shifts"), _longs(self.slots).alias("slots"))
-
-    @staticmethod
-    def rank(t: Column, a: Column, b: Column) -> Column:
-        """Rank of the pair, or null; null ids have none. ``t``: the tables."""
-        slot = F.get(t["slots"], F.get(t["shifts"], a) + b)
-        return let(slot, lambda x: F.when(F.shiftright(x, ID_BITS) == a, x.bitwiseAND(F.lit((1 << ID_BITS) - 1))))
-
-    def merged(self, word: Column, ranks: Column) -> Column:
-        """Ids of one word, given the ids of its bytes and the ranks of its byte pairs: the pair of lowest rank is merged, the first of equals, until no pair has a rank."""
-
-        def fold(t: Column) -> Column:
-            def step(state: Column, _: Column) -> Column:
-                ids, ranks = state["ids"], state["ranks"]  # ranks[i] is that of the pair (i, i + 1), null if it has none
-
-                def at(best: Column, i: Column) -> Column:
-                    size = F.size(ids)
-                    new_ids = F.flatten(F.array(F.slice(ids, F.lit(1), i - 1), F.array(best), F.slice(ids, i + 2, size)))
-                    after = F.array(self.rank(t, best, F.get(ids, i + 1)))
-                    first = F.flatten(F.array(after, F.slice(ranks, i + 2, size)))
-                    later = F.flatten(F.array(F.slice(ranks, F.lit(1), i - 2), F.array(self.rank(t, F.get(ids, i - 2), best)), after, F.slice(ranks, i + 2, size)))
-                    return F.struct(new_ids.alias("ids"), F.when(i == 1, first).otherwise(later).alias("ranks"))
-
-                return let(F.array_min(ranks), lambda best: F.when(best.isNull(), state).otherwise(let(F.array_position(ranks, best).cast("int"), lambda i: at(best, i))))
-
-            return F.aggregate(word, F.struct(word.alias("ids"), ranks.alias("ranks")), step, lambda s: s["ids"])
-
-        return let(self.tables(), fold)
-
-
-def heap_merged(ids: list[int], rank_of: dict[int, int]) -> list[int]:
-    """What the fold gives, in n log n steps. ``rank_of``: by left id * 65536 + right id."""
-    n = len(ids)
-    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of.get(ids[i] << ID_BITS | ids[i + 1])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        rank, i, left, right = heapq.heappop(heap)
-        j = after[i]
-        if j < 0 or ids[i] != left or ids[j] != right:  # one of the two has been merged meanwhile
-            continue
-        ids[i], ids[j], after[i] = rank, -1, after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        for a in (before[i], i):
-            b = after[a] if a >= 0 else -1
-            if b >= 0 and (r := rank_of.get(ids[a] << ID_BITS | ids[b])) is not None:
-                heapq.heappush(heap, (r, a, ids[a], ids[b]))
-    return [x for x in ids if x >= 0]
-
-
-def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray, keys: np.ndarray, ranks: np.ndarray):
-    found: dict[int, int] = {}
-
-    def by_pair() -> dict[int, int]:
-        if not found:
-            found.update(zip(keys.tolist(), ranks.tolist(), strict=True))
-        return found
 
+def _blocks(pattern: str, byte_ids: np.ndarray, trie: Trie):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         find, known = regex.compile(pattern).findall, {}
         docs: list[tuple[int, bytes]] = []
-        chars, block = 0, 0
+        size, block, char_of = 0, 0, chars(byte_ids)
 
-        def out() -> Iterator[pa.RecordBatch]:
-            texts = [w.encode() for w in known]
-            long_ = {i: heap_merged(byte_ids[np.frombuffer(t, np.uint8)].tolist(), by_pair()) for i, t in enumerate(texts) if len(t) > FOLD_BYTES}
-            for i in long_:
-                texts[i] = b""
-            joined = np.frombuffer(b"".join(texts), np.uint8)
-            ends = np.zeros(len(texts) + 1, np.int32)
+        def words(texts: list[bytes]) -> pa.RecordBatch:
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            ends = np.zeros(len(texts) + 1, np.int64)
             np.cumsum([len(t) for t in texts], out=ends[1:])
-            rank = np.full(len(joined), -1, np.int64)
-            rank[:-1] = pairs[joined[:-1], joined[1:]]
-            last = ends[1:][np.diff(ends) > 0] - 1
-            rank[last] = -1  # the last byte of a word has no pair
-            per = 20_000
-            for a in range(0, len(texts), per):
-                b = min(a + per, len(texts))
-                at, offs = slice(ends[a], ends[b]), pa.array(ends[a : b + 1] - ends[a])
-                word = pa.ListArray.from_arrays(offs, pa.array(byte_ids[joined[at]]))
-                first = pa.ListArray.from_arrays(offs, pa.array(rank[at], mask=rank[at] < 0))
-                if done := {i - a: ids for i, ids in long_.items() if a <= i < b}:  # no ranks: nothing is left to merge
-                    word = pa.array([done.get(i, x) for i, x in enumerate(word.to_pylist())], longs)
-                    first = pa.array([None if i in done else x for i, x in enumerate(first.to_pylist())], longs)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, block)), word, first, pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.binary())], names=NAMES)
-            for a in range(0, len(docs), 2000):
-                part = docs[a : a + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.nulls(len(part), longs), pa.nulls(len(part), longs), pa.array([d for d, _ in part], pa.int64()), pa.array([c for _, c in part], pa.binary())], names=NAMES)
-
-        longs = pa.list_(pa.int64())
+            parts = trie.parts(data, ends)
+            per = np.searchsorted(parts, np.arange(len(texts) + 1) << 16).astype(np.int32)
+            merges = pa.ListArray.from_arrays(pa.array(per), pa.array((parts & 0xFFFF).astype(np.int32)))
+            word = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(3 * ends), pa.py_buffer(char_of[data].tobytes()))
+            n = len(texts)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), word.cast(pa.string()), merges, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=NAMES)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            part, held = [], 0
+            for w in known:
+                part.append(w.encode())
+                held += len(part[-1])
+                if len(part) >= BATCH_WORDS or held >= BATCH_BYTES:
+                    yield words(part)
+                    part, held = [], 0
+            if part:
+                yield words(part)
+            known.clear()
+            for a in range(0, len(docs), 1000):
+                some = docs[a : a + 1000]
+                n = len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.string()), pa.nulls(n, pa.list_(pa.int32())), pa.array([d for d, _ in some], pa.int64()), pa.array([c for _, c in some], pa.binary())], names=NAMES)
+            docs.clear()
+
         for batch in slices(batches):
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 pieces = find(text or "")
@@ -203,10 +198,10 @@ def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray, keys: np.ndar
                     if p not in known:
                         known[p] = len(known)
                 docs.append((doc, np.fromiter(map(known.__getitem__, pieces), np.int32, len(pieces)).tobytes()))
-                chars += len(text or "")
-                if chars >= BLOCK_CHARS:
+                size += len(text or "")
+                if size >= BLOCK_CHARS:
                     yield from out()
-                    known, docs, chars, block = {}, [], 0, block + 1
+                    size, block = 0, block + 1
         if docs:
             yield from out()
 
@@ -214,40 +209,43 @@ def _blocks(pattern: str, byte_ids: np.ndarray, pairs: np.ndarray, keys: np.ndar
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of the texts from the ids of their block's words; the words of a block come before its texts."""
-    block, ids, sizes = -1, [], []
-    flat = start = length = None
+    """Ids of the texts from the characters of their block's words; the words of a block come before its texts."""
+    block, flat, sizes = -1, [], []
+    ids = start = length = None
     for batch in batches:
         blocks, is_doc = batch["block"].to_numpy(), batch["codes"].is_valid().to_numpy(zero_copy_only=False)
         cut = np.flatnonzero(np.r_[True, (blocks[1:] != blocks[:-1]) | (is_doc[1:] != is_doc[:-1]), True])
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if blocks[a] != block:
-                block, ids, sizes, flat = blocks[a], [], [], None
+                block, flat, sizes, ids = blocks[a], [], [], None
             part = batch.slice(a, b - a)
             if not is_doc[a]:
-                col = part["ids"]
-                ids.append(col.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
-                sizes.append(np.diff(col.offsets.to_numpy()))
+                col = part["merged"].cast(pa.large_string())
+                offs = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+                flat.append(ids_of(np.frombuffer(col.buffers()[2], np.uint8)[offs[0] : offs[-1]]))
+                sizes.append(np.diff(offs) // 3)
                 continue
-            if flat is None:
-                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                length = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+            if ids is None:
+                ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+                length = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
                 start = np.cumsum(length) - length
-                ids, sizes = [], []
-            each = [np.frombuffer(c, np.int32) for c in part["codes"].to_pylist()]
-            codes = np.concatenate(each) if each else np.zeros(0, np.int32)
-            n = length[codes]
-            ends = np.cumsum(n)
-            out = flat[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-            per_doc = np.r_[0, ends][np.r_[0, np.cumsum([len(c) for c in each])]].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.ListArray.from_arrays(pa.array(per_doc), pa.array(out))], names=["doc_id", "ids"])
+                flat, sizes = [], []
+            for c in range(0, part.num_rows, 200):
+                some = part.slice(c, 200)
+                each = [np.frombuffer(x, np.int32) for x in some["codes"].to_pylist()]
+                codes = np.concatenate(each)
+                n = length[codes]
+                ends = np.cumsum(n)
+                out = ids[np.repeat(start[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+                per_doc = np.r_[0, ends][np.r_[0, np.cumsum([len(x) for x in each])]].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([some["doc_id"], pa.ListArray.from_arrays(pa.array(per_doc), pa.array(out))], names=["doc_id", "ids"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
     ranks = Ranks(path)
-    rows = documents_of(docs).mapInArrow(lean(_blocks(pattern, ranks.byte_ids, ranks.pairs, *ranks.of_pairs)), "block long, word array<bigint>, ranks array<bigint>, doc_id long, codes binary")
-    rows = rows.select("block", "doc_id", "codes", F.when(F.col("ranks").isNotNull(), ranks.merged(F.col("word"), F.col("ranks"))).otherwise(F.col("word")).alias("ids"))
+    rows = documents_of(docs).mapInArrow(lean(_blocks(pattern, ranks.byte_ids, Trie(ranks.vocab))), "block long, word string, merges array<int>, doc_id long, codes binary")
+    rows = rows.select("block", "doc_id", "codes", ranks.merged(F.col("word"), F.col("merges")).alias("merged"))
     return rows.mapInArrow(lean(_texts), "doc_id long, ids array<int>")
 
 
