@@ -65,6 +65,30 @@ def stored(df: DataFrame) -> DataFrame:
     return Stored(df).df
 
 
+# --- column names ------------------------------------------------------------------------------
+
+
+def quoted(name: str) -> str:
+    """The name as it stands in expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_of(df: DataFrame, names: list[str] | None = None) -> list:
+    return [F.col(quoted(c)) for c in (df.columns if names is None else names)]
+
+
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names like these that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return tuple(out)
+
+
 # --- folds and typed columns -------------------------------------------------------------------
 
 
@@ -138,21 +162,6 @@ def words(data: np.ndarray, offs: np.ndarray, space: np.ndarray = SPACE) -> tupl
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(n, STEP_BYTES + (1 << 17))
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[name] = have = np.multiply.accumulate(have)
-    return have[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values whose every output bit depends on every input bit."""
     h = h ^ (h >> np.uint64(30))
@@ -163,12 +172,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, from one running polynomial sum over all bytes."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power("up", _BASE, n), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power("down", _BASE_INV, n + 1)[starts] + (ends - starts).astype(np.uint64))
+#: Keys of two independent hashes.
+_KEYS = ((np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)), (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)))
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range: its length, then eight bytes at a time, each folded in by ``mix``.
+
+    ``which`` chooses one of two independent hashes. Not a polynomial: texts of a regular form collide as rarely as others.
+    """
+    odd, add = _KEYS[which]
+    left = (ends - starts).astype(np.int64)
+    h = mix(left.astype(np.uint64) * odd + add)
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    live = np.flatnonzero(left > 0)
+    at, left = starts[live], left[live]
+    while len(live):
+        chunk = lanes[at] & _MASKS[np.minimum(left, 8)]
+        h[live] = mix((h[live] ^ chunk) * odd + add)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return h
 
 
 def code_points(data: np.ndarray, offs: np.ndarray) -> np.ndarray:

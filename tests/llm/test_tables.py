@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import ann, line_dedup, minhash, mixing
 from newsloom.llm.graph import components
@@ -100,28 +101,67 @@ def test_line_dedup_of_odd_rows(spark, odd, no_docs):
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
-def test_line_index_is_reversible(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    a, b = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
+def state(index):
+    return sorted(map(tuple, index.counts().collect()))
+
 
-    def counts(index):
-        return sorted(map(tuple, index.counts.df.select("hi", "lo", "refs", "min_doc", "max_doc").collect()))
+def filters_hold(index):
+    """Each key is in its shard's filter, and the filters hold nothing else."""
+    known = {r.shard: line_dedup.Cuckoo.from_bytes(r["filter"]) for r in index.filters.df.collect()}
+    keys = index._sharded(index.counts()).collect()
+    return all(known[r.shard].contains(np.array([r.hi])).all() for r in keys) and sum(int((f.table > 0).sum()) for f in known.values()) == len(keys)
 
-    def filters_hold(index):
-        known = {r.shard: line_dedup.Cuckoo.from_bytes(r["filter"]) for r in index.filters.df.collect()}
-        return all(known[r.shard].contains(np.array([r.hi])).all() for r in index.counts.df.collect())
 
-    whole = counts(line_dedup.LineIndex(3).insert(docs))
-    index = line_dedup.LineIndex(3).insert(a)
-    before = counts(index)
+def test_line_index_is_reversible(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    a, b = docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0")
+    whole = state(line_dedup.LineIndex(300).insert(docs))
+    index = line_dedup.LineIndex(300).insert(a)
+    before, shards = state(index), index.shards
     index.insert(b)
-    assert counts(index) == whole and filters_hold(index)
+    assert state(index) == whole and filters_hold(index) and index.shards >= shards > 1
     index.delete(b.select("doc_id"))
-    assert counts(index) == before and filters_hold(index)
-    index.insert(b)
-    assert counts(index) == whole and filters_hold(index)
+    assert state(index) == before and filters_hold(index)
+    index.insert(b, 3)
+    assert state(index) == whole and filters_hold(index)
+    index.insert(b)  # ids that are held already are replaced
+    assert state(index) == whole and filters_hold(index)
     index.delete(docs.select("doc_id"))
-    assert counts(index) == [] and all(not line_dedup.Cuckoo.from_bytes(r["filter"]).table.any() for r in index.filters.df.collect())
+    assert state(index) == [] and all(not line_dedup.Cuckoo.from_bytes(r["filter"]).table.any() for r in index.filters.df.collect())
+    index.drop()
+
+
+def test_lines_after_a_deletion_and_back(spark):
+    """On the query's own table: a deleted part's documents no longer drop other lines, and drop them again when they are back."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    half = docs.where("doc_id % 2 = 1")
+
+    def kept(index, of):
+        return {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in index.apply(of).collect()}
+
+    index = line_dedup.LineIndex().insert(docs, 2)
+    first = kept(index, docs)
+    index.delete(docs.where("doc_id % 2 = 0").select("doc_id"))
+    assert kept(index, half) == kept(line_dedup.LineIndex().insert(half), half) != {i: x for i, x in first.items() if i % 2}
+    assert kept(index.insert(docs.where("doc_id % 2 = 0")), docs) == first
+
+
+def test_filters_take_part(spark, monkeypatch):
+    """A filter that denies all keys makes known lines look new: the answer comes through the filters."""
+    docs = spark.createDataFrame([(i, "a line that is everywhere") for i in range(40)], "doc_id long, text string")
+    assert sum(r.n_dropped for r in line_dedup.LineIndex().insert(docs, 2).apply(docs).collect()) == 39
+    index = line_dedup.LineIndex().insert(docs.where("doc_id < 20"))
+    empty = index.filters.df.withColumn("filter", F.lit(line_dedup.Cuckoo(4).to_bytes()))
+    index.filters = line_dedup.Stored(empty)
+    index.insert(docs.where("doc_id >= 20"))
+    assert [r.refs for r in index.counts().collect()] == [20]
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(i % 5, f"line number {j} of all\nand a second line") for i, j in enumerate(range(60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {(r.hi, r.lo): r.refs for r in line_dedup.LineIndex().insert(docs, 2).counts().collect()}
+    assert sorted(got.values()) == [1] * 60 + [5]
 
 
 def test_cuckoo_filter():
