@@ -226,18 +226,36 @@ def test_pivotal_trades_are_unbiased():
     assert np.abs(hits / 6000 - p0).max() < 0.03
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Trees of each source for itself; sources are numbered in ranges."""
+    rows = [(i, "word " * (1 + i % 7), f"s{i % 97:03d}" if i % 97 else None) for i in range(4000)] + [(5000 + i, "w " * (i % 5 + 1), "big") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing.copies, "__defaults__", (17, 100, 8))
+    monkeypatch.setattr(mixing, "SOURCES_A_RANGE", 20)
+    got = mixing.mix_documents(docs).collect()
+    per, taken = collections.Counter(), collections.Counter()
+    source = {i: s for i, _, s in rows}
+    for i, t, s in rows:
+        per[s] += len(t.split())
+    want = brute_targets(per)
+    for r in got:
+        assert abs(r.target - want[source[r.doc_id]]) < 1e-6 * r.target
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 8 for s in per)
+
+
 def test_mixing_of_odd_rows(spark, odd, no_docs):
     rows = mixing.mix_documents(odd).collect()
     assert len(rows) == odd.count()
     assert all(r["size"] == 0 and r.taken == 0 for r in rows if r.doc_id in (3, 4, 5))
     copies = collections.Counter()
     for r in rows:
-        copies[r.doc_id] = max(copies[r.doc_id], r.copies)
-    want = collections.Counter()
-    for r in odd.collect():
-        want[r] += copies[r.doc_id]
-    assert mixing.mixed(odd).columns == odd.columns and collections.Counter(mixing.mixed(odd).collect()) == +want
-    assert mixing.mix_documents(no_docs).count() == 0
+        copies[r.doc_id] += r.copies
+    for docs in (odd, odd.withColumnsRenamed({"lang": "a.b`c", "n_chars": "copy"})):
+        got = mixing.mixed(docs)
+        assert got.columns == docs.columns and set(got.collect()) <= set(docs.collect())
+        assert collections.Counter(r.doc_id for r in got.collect()) == +copies
+    assert mixing.mix_documents(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
 def exact(rows, k, every):
