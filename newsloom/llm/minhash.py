@@ -6,11 +6,15 @@ Bands of ``ROWS`` components make bucket keys, as many that a pair at the bound
 of about 1e-5: 24 at a similarity of 0.85, 38 at 0.80.
 
 * Equal sets become one class first (grouped minimum), so copies are never compared.
-* A bucket links its classes to its smallest one; the components of these links are clusters of candidates. No pair
-  of a bucket is ever listed.
-* A cluster is dealt to blocks of bounded size and every pair of blocks is one unit of work, in which all pairs are
-  compared on full sets in numpy. It returns a spanning forest of the links, at most one edge for each document.
-* The components of those edges are the result. All classes of a cluster meet, so no link inside it is lost.
+* Each class that shares a bucket is compared with the smallest class of any of its buckets, on full sets. These stars
+  settle most links; a centre of very many is dealt to chunks.
+* Buckets whose classes are all linked by then are done. The classes of the others form clusters (components of bucket
+  links); a cluster's largest linked group needs no comparing inside itself. It and the rest are dealt to blocks of
+  bounded size; every pair of a block of the group with one of the rest, and of two of the rest, is one unit of work, in which all
+  pairs are compared on full sets in numpy. It returns a spanning forest of the links, at most one edge for each document.
+* The components of all those edges are the result: any two classes that share a bucket have met or are linked.
+
+Shingles are compared as 64-bit hashes: two different ones agree with a probability of 2 to the power of -64.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; with fewer
 words than a shingle has, the whole sequence is the only one; a row with a null doc_id is linked with nothing and kept;
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import LOWER, Stored, batch_of, documents_of, lean, mix, range_hashes, steps, words
+from newsloom.llm._shared import LOWER, Stored, batch_of, documents_of, lean, mix, range_hashes, slices, steps, words
 from newsloom.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
@@ -35,6 +39,8 @@ SHINGLE, PERCENT = 5, 85
 BANDS, ROWS = {85: 24, 80: 38}, 6
 #: Documents of a block, and shingles of a block as far as documents allow.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
+#: Members of a centre that are compared in one task.
+CHUNK = 2000
 SIGNED = "doc_id long, hi long, lo long, n_shingles long, bands array<long>"
 SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -120,7 +126,36 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offs in steps(batch):
             values, ends = shingles(data, offs)
             blobs = [values[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["cluster"], part["blocks"], pa.array(blobs, pa.binary())], names=["doc_id", "cluster", "blocks", "shingles"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"])
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two ascending sets reach the bound."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < percent * len(y):
+        return False
+    both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _stars(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (centre, chunk, member or not) come in: a centre's set, then its members', one held at a time."""
+    middle = None
+    for batch in slices(batches):
+        found = []
+        for centre, doc, blob in zip(*(batch[k].to_pylist() for k in ("centre", "doc_id", "shingles")), strict=True):
+            x = np.frombuffer(blob, np.uint64)
+            if doc == centre:
+                middle = x
+            elif linked(x, middle, percent):
+                found.append((doc, centre))
+        if found:
+            yield _edges(found)
 
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
@@ -149,7 +184,7 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> li
         return []
     size = np.array([len(s) for s in sets])
     both = common(sets)
-    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    near = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     root = list(range(len(ids)))
 
     def find(x: int) -> int:
@@ -159,7 +194,7 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> li
         return x
 
     edges = []
-    for a, b in np.argwhere(np.triu(linked, 1)).tolist():
+    for a, b in np.argwhere(np.triu(near, 1)).tolist():
         ra, rb = find(a), find(b)
         if ra != rb:
             root[rb] = ra
@@ -170,22 +205,45 @@ def forest(ids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> li
 def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit come in; a unit's sets (two blocks of documents) are held at a time."""
     unit, ids, sets = None, [], []
-
-    def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], names=["a", "b"])
-
-    for batch in batches:
+    for batch in slices(batches):
         found = []
-        for c, x, y, doc, blob in zip(*(batch[k].to_pylist() for k in ("cluster", "x", "y", "doc_id", "shingles")), strict=True):
-            if (c, x, y) != unit:
+        for *key, doc, blob in zip(*(batch[k].to_pylist() for k in ("cluster", "side", "x", "y", "doc_id", "shingles")), strict=True):
+            if key != unit:
                 found += forest(ids, sets, percent)
-                unit, ids, sets = (c, x, y), [], []
+                unit, ids, sets = key, [], []
             ids.append(doc)
             sets.append(np.frombuffer(blob, np.uint64))
         if found:
-            yield out(found)
+            yield _edges(found)
     if found := forest(ids, sets, percent):
-        yield out(found)
+        yield _edges(found)
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (doc_id, centre) that reach the bound, as a and b. Members of a centre are dealt to chunks of about CHUNK."""
+    chunks = Stored(pairs.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))).df
+    members = pairs.join(chunks, "centre").select("centre", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int").alias("chunk"), "doc_id")
+    centres = chunks.select("centre", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("centre").alias("doc_id"))
+    rows = members.unionByName(centres).join(sets, "doc_id").select("centre", "chunk", "doc_id", "shingles")
+    return rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", F.col("doc_id") != F.col("centre")).mapInArrow(lean(partial(_stars, percent=percent)), "a long, b long")
+
+
+def cluster_units(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """cluster, side, x, y, doc_id, shingles. ``clusters``: node, cluster, label (linked group), n (shingles)."""
+    groups = clusters.groupBy("cluster", "label").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    top = groups.groupBy("cluster").agg(F.max(F.struct("docs", "label", "n")).alias("t"), F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    blocks = lambda docs, n: F.greatest(F.lit(1), F.ceil(docs / BLOCK_DOCS), F.ceil(n / BLOCK_SHINGLES)).cast("int")
+    top = Stored(top.select("cluster", F.col("t.label").alias("top"), blocks(F.col("t.docs"), F.col("t.n")).alias("p"), blocks(F.col("docs") - F.col("t.docs"), F.col("n") - F.col("t.n")).alias("q"))).df
+    of_group = clusters.join(top, "cluster").withColumn("inside", F.col("label") == F.col("top"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("inside"), F.col("p")).otherwise(F.col("q"))).cast("int")
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    # side 0: x is a block of the group, y one of the rest; side 1: both of the rest
+    with_rest = F.transform(upto("q"), lambda j: F.struct(F.lit(0).alias("side"), F.col("own").alias("x"), j.alias("y")))
+    with_group = F.transform(upto("p"), lambda i: F.struct(F.lit(0).alias("side"), i.alias("x"), F.col("own").alias("y")))
+    in_rest = F.transform(upto("q"), lambda j: F.struct(F.lit(1).alias("side"), F.least("own", j).alias("x"), F.greatest("own", j).alias("y")))
+    unit = F.when(F.col("inside"), with_rest).otherwise(F.concat(with_group, in_rest))
+    units = of_group.withColumn("own", own).select("cluster", F.col("node").alias("doc_id"), F.explode(unit).alias("u")).select("cluster", "u.*", "doc_id")
+    return units.join(sets, "doc_id").select("cluster", "side", "x", "y", "doc_id", "shingles")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -194,22 +252,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = Stored(docs.mapInArrow(lean(partial(_sign, bands=BANDS[percent])), SIGNED))
     usable = signed.df.where("hi is not null and doc_id is not null")
     classes = Stored(usable.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("hi", "lo", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")))
-    keys = classes.df.select(F.col("rep"), F.explode("bands").alias("key"))
+    keys = classes.df.select("rep", F.explode("bands").alias("key"))
     # the smallest class of every bucket of two or more; grouped partially before the shuffle
     centre = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most").drop("most")
-    stars = keys.join(centre, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    clusters = components(stars)
-    known = clusters.join(classes.df.select(F.col("rep").alias("node"), "n"), "node")
-    sizes = known.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = Stored(clusters.join(sizes, "comp").select(F.col("node").alias("member"), F.col("comp").alias("cluster"), "blocks"))
-    # one row of text for each member; repeated rows of an id have one text between them
-    texts = docs.join(members.df, F.col("doc_id") == F.col("member")).select("doc_id", "text", "cluster", "blocks")
-    sets = texts.mapInArrow(lean(_sets), "doc_id long, cluster long, blocks int, shingles binary")
-    sets = sets.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = sets.select("cluster", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "doc_id", "shingles")
-    edges = units.repartition("cluster", "x", "y").sortWithinPartitions("cluster", "x", "y", "doc_id").mapInArrow(lean(partial(_compare, percent=percent)), "a long, b long")
-    linked = components(Stored(edges).df)
-    of_class = classes.df.join(linked, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
+    stars = Stored(keys.join(centre, "key").where("rep <> centre").groupBy("rep").agg(F.min("centre").alias("centre"))).df
+    nodes = stars.select(F.col("rep").alias("node")).unionByName(stars.select(F.col("centre").alias("node"))).distinct()
+    # one set for each class; repeated rows of an id have one text between them
+    members = Stored(classes.df.join(nodes, F.col("rep") == F.col("node"), "left_semi").select("rep", "n", "bands"))
+    sets = Stored(docs.join(members.df.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(lean(_sets), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
+    edges = Stored(star_links(stars.select(F.col("rep").alias("doc_id"), "centre"), sets.df, percent))
+    labels = components(edges.df)
+    labelled = Stored(members.df.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "bands", F.coalesce("comp", "rep").alias("label")))
+    held = labelled.df.select("rep", "label", F.explode("bands").alias("key"))
+    not_done = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("centre")).where("low < high").select("key", "centre")
+    open_ = Stored(held.join(not_done, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
+    if not open_.df.isEmpty():
+        clusters = Stored(components(open_.df).join(labelled.df, F.col("node") == F.col("rep")).select("node", F.col("comp").alias("cluster"), "label", "n"))
+        units = cluster_units(clusters.df, sets.df)
+        more = units.repartition("cluster", "side", "x", "y").sortWithinPartitions("cluster", "side", "x", "y", "doc_id").mapInArrow(lean(partial(_compare, percent=percent)), "a long, b long")
+        edges = Stored(edges.df.unionByName(more))
+        labels = components(edges.df)
+        clusters.drop()
+    for t in (open_, labelled, sets, members, edges):
+        t.drop()
+    of_class = classes.df.join(labels, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
     whole = signed.df.withColumn("hi", F.when(F.col("doc_id").isNotNull(), F.col("hi"))).join(of_class, ["hi", "lo"], "left")
     component = F.coalesce("component", "doc_id")
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -54,18 +54,26 @@ def near_copies(spark):
     return rows
 
 
-def test_near_duplicates_equal_brute_force(spark, odd):
+def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     rows = near_copies(spark)
-    minhash_blocks, minhash.BLOCK_DOCS = minhash.BLOCK_DOCS, 64
-    try:
-        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
-    finally:
-        minhash.BLOCK_DOCS = minhash_blocks
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 32)
+    monkeypatch.setattr(minhash, "CHUNK", 50)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     want = brute_components(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and len(got) == len(rows)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_words_of_a_regular_form_are_told_apart(spark):
+    """Thue-Morse words collide under every polynomial hash modulo a power of two."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = minhash.near_duplicates(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in got} == {1: (1, True), 2: (2, True), 3: (1, False)}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, no_docs):
     got = minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
