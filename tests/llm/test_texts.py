@@ -208,3 +208,53 @@ def test_wrapper_has_optional_and_repeated_groups():
 
     assert html_wrapper.matches(json.dumps(w), a) and html_wrapper.matches(json.dumps(w), b)
     assert not html_wrapper.matches(json.dumps(w), [*a, "<x>"])
+
+
+LABELLED = [
+    ('<div class="layout with-sidebar"><article><p>Body one.</p></article><div class="sidebar">side</div></div>', "Body one."),
+    ('<div class="sidebar-layout"><div class="content"><p>Main text of the page, long enough.</p></div><div class="promo">buy</div></div>', "Main text of the page, long enough."),
+    ('<p class="a"">Hello', "Hello"),
+    ('<p title=\'it"s\' id=x>Fine &lt;b&gt;</p>', "Fine <b>"),
+    ("<article><header><h1>Title</h1></header><p>Body text.</p><footer>by us</footer></article><header>Site</header>", "Title\n\nBody text."),
+    ("<body><header>Site</header><button>x<p>a < b and c > d</p>", "x\n\na < b and c > d"),
+    ('<article><p>One</p><div class="ad">buy</div><p class="notice">n</p><section class="comments"><p>c</p></section><p>Two</p></article>', "One\n\nTwo"),
+    ('<main><p>text <a href="x>y">link</a></p></main>', "text link"),
+]
+
+
+@pytest.mark.parametrize("page,want", LABELLED)
+def test_labelled_pages(page, want):
+    assert html_wrapper.main_text(page, None, None) == want
+
+
+def test_broken_tags_take_linear_time():
+    import time
+
+    began = time.time()
+    html_wrapper.main_text("<a " * 400_000 + '"', None, None)
+    html_wrapper.main_text('<a x="' * 100_000, None, None)
+    html_wrapper.main_text("<button>" * 100_000 + "<p>x", None, None)
+    assert time.time() - began < 20
+
+
+def test_the_wrapper_decides(spark):
+    """A notice in an element of its own is the same on all pages of a host: it goes, and stays without the wrapper."""
+    rows = [(i, f"http://h.example/{i}", f"<body><div><div><p>Article {i} has this text.</p><p>A passage that all share.</p><div>Sign up to our list.</div></div></div>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_wrapper.extract(df).collect()}
+    assert got == {i: f"Article {i} has this text.\n\nA passage that all share." for i in range(6)}
+    assert "Sign up" in html_wrapper.main_text(rows[0][2], None, None)
+    alone = {r.text for r in html_wrapper.extract(df.where("page_id = 2")).collect()}
+    assert alone == {html_wrapper.main_text(rows[2][2], None, None)}
+
+
+def test_given_pages_match_their_wrappers(spark):
+    """All articles of the smallest tables, by a plain reading of their only article element."""
+    import html
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r.page_id: r.text for r in html_wrapper.extract(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<(?!br)[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
