@@ -50,11 +50,11 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out:
     """doc_id, text, label: at most most[0] and most[1] documents labelled 0 and 1, the first by hash of the id.
 
     Ids in the held-out fold never come in. Repeated label rows of an id count once (the larger label); texts of more
-    than ``chars`` code points, and empty ones, don't train.
+    than ``chars`` code points, and empty ones, don't train. Of repeated rows of an id the smallest text does.
     """
     lab = labels.where(F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     lab = lab.where(F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
     first = [lab.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(most)]
     chosen = first[0].unionByName(first[1])  # bounded by ``most``
     rows = documents_of(docs).join(F.broadcast(chosen), "doc_id").where(F.length("text").between(1, chars))
-    return rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id", ignore_index=True)
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).toPandas().sort_values("doc_id", ignore_index=True)

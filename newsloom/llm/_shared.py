@@ -196,6 +196,12 @@ def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which:
     return h
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending: by sorting, which is faster here than numpy's hashing."""
+    v = np.sort(values)
+    return v[np.r_[True, v[1:] != v[:-1]]] if len(v) else v
+
+
 def code_points(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Code points of each row."""
     lead = np.zeros(len(data) + 1, np.int64)

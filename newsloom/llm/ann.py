@@ -4,7 +4,8 @@ Graph: every vector gets DEGREE neighbours. The first ones come from blocks of c
 orderings (sign codes of random hyperplanes, then a projection), so blocks have a fixed size whatever the data. Then
 each round joins neighbours of neighbours: a vector's neighbours and a bounded sample of those that name it as theirs
 meet in one row group, pairs with a new member are measured, and what improves a list goes to its owner. Rounds end
-when few lists change. Distances here are on vectors scaled and rounded to 16 bits; they only steer the graph.
+when few lists change. Distances here are on vectors rounded to 32 bits, in double precision, whatever the size of other
+vectors; they only steer the graph.
 
 Search: a query starts at its own row's neighbours and keeps the BEAM nearest rows seen. Each round expands the
 nearest unexpanded ones of its beam by a join with the graph, until all of the beam is expanded. Distances here are
@@ -14,8 +15,8 @@ Every row is indexed; nothing is fitted on a sample. Groups are bounded: DEGREE
 EXPAND * (DEGREE + REVERSE) for a query. A vector that very many others name is a hot key of plain joins only.
 
 Defined cases: rows with a null id, or a vector that is null, empty, zero, or holds nulls or non-finite values take no
-part; nor do vectors of another length than the most frequent (the longer of equals); rows of one id count once (the
-smallest vector); with fewer than ``k`` other rows all are returned; an empty table gives no rows; extra columns are
+part; nor do vectors of another length than the most frequent (the longer of equals), to which no distance exists: as queries
+they return nothing; rows of one id count once (the smallest vector); with fewer than ``k`` other rows all are returned; an empty table gives no rows; extra columns are
 ignored.
 """
 
@@ -32,6 +33,8 @@ from newsloom.llm._shared import Stored, lean
 
 DEGREE, REVERSE, TREES, BLOCK, MAX_ROUNDS, FEW = 24, 20, 4, 100, 7, 0.01
 BEAM, EXPAND = 448, 112
+#: Components beyond this are cut to it for the graph: their squares still fit.
+LARGEST = 1e30
 BEST = 6  # finds of one vector in one group
 
 
@@ -57,34 +60,35 @@ def _lists(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _encode(scale: float, planes: np.ndarray):
-    """id, exact bytes, 16-bit bytes, and for each ordering a sign code and a projection."""
+def _encode(planes: np.ndarray):
+    """id, exact bytes, 32-bit bytes, and for each ordering a sign code and a projection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _lists(batch["vec"]) / scale
-            exact = [v.tobytes() for v in _lists(batch["vec"])]
-            half = [v.tobytes() for v in x.astype(np.float16)]
+            x = _lists(batch["vec"])
+            exact = [v.tobytes() for v in x]
+            x = x.clip(-LARGEST, LARGEST)
+            single = [v.tobytes() for v in x.astype(np.float32)]
             codes, along = [], []
             for p in planes:  # (bits + 1, dimensions)
                 y = x @ p.T
                 codes.append(((y[:, :-1] > 0) << np.arange(p.shape[0] - 1)).sum(1))
                 along.append(y[:, -1])
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(exact, pa.binary()), pa.array(half, pa.binary()), pa.array(list(np.stack(codes, 1).astype(np.int64)), pa.list_(pa.int64())), pa.array(list(np.stack(along, 1)), pa.list_(pa.float64()))],
-                names=["id", "exact", "half", "code", "along"],
+                [batch["id"], pa.array(exact, pa.binary()), pa.array(single, pa.binary()), pa.array(list(np.stack(codes, 1).astype(np.int64)), pa.list_(pa.int64())), pa.array(list(np.stack(along, 1)), pa.list_(pa.float64()))],
+                names=["id", "exact", "single", "code", "along"],
             )
 
     return run
 
 
-EDGES = "u long, v long, d float, fresh boolean"
+EDGES = "u long, v long, d double, fresh boolean"
 
 
 def _edges(u, v, d, fresh) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float32()), pa.array(fresh, pa.bool_())], names=["u", "v", "d", "fresh"])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(d, pa.float64()), pa.array(fresh, pa.bool_())], names=["u", "v", "d", "fresh"])
 
 
 def _squared(x: np.ndarray) -> np.ndarray:
@@ -98,7 +102,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids, vecs = np.zeros(0, np.int64), None
 
     def near(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
-        d = _squared(x.astype(np.float32))
+        d = _squared(x.astype(np.float64))
         np.fill_diagonal(d, np.inf)
         k = min(DEGREE, len(ids) - 1)
         best = np.argpartition(d, k - 1, 1)[:, :k]
@@ -107,7 +111,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             ids = np.r_[ids, batch["id"].to_numpy()]
-            more = _matrix(batch["half"], np.float16)
+            more = _matrix(batch["single"], np.float32)
             vecs = more if vecs is None else np.concatenate([vecs, more])
             while len(ids) >= 2 * BLOCK:  # the last block of a partition takes what is left
                 yield near(ids[:BLOCK], vecs[:BLOCK])
@@ -150,7 +154,7 @@ def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         w, x = batch["w"].to_numpy(), batch["x"].to_numpy()
         fresh = batch["fresh"].to_numpy(zero_copy_only=False)
-        worst, vec = batch["worst"].to_numpy(), _matrix(batch["half"], np.float16)
+        worst, vec = batch["worst"].to_numpy(), _matrix(batch["single"], np.float32)
         cut = _runs(w)
         top = int(np.diff(cut).max())
         for a in range(0, len(cut) - 1, 256):
@@ -158,7 +162,7 @@ def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size = np.diff(part)
             at = part[:-1, None] + np.minimum(np.arange(top), size[:, None] - 1)
             here = np.arange(top) < size[:, None]
-            d = _squared(vec[at].astype(np.float32))
+            d = _squared(vec[at].astype(np.float64))
             new = fresh[at] & here
             good = here[:, :, None] & here[:, None, :] & (new[:, :, None] | new[:, None, :]) & (x[at][:, :, None] != x[at][:, None, :]) & (d < worst[at][:, :, None])
             d = np.where(good, d, np.inf)
@@ -203,31 +207,31 @@ class Graph:
 def build(rows: DataFrame, key: str = "vec_id", column: str = "embedding", seed: int = 4) -> Graph | None:
     """The graph over all usable rows; None if there are none."""
     raw = Stored(usable(rows, key, column))
-    n, most, size = raw.df.agg(F.count("*"), F.max(F.array_max(F.transform("vec", lambda x: F.abs(x)))), F.max(F.size("vec"))).first()
+    n, size = raw.df.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n:
         return None
     rng = np.random.default_rng(seed)
     bits = int(np.ceil(np.log2(max(2, n / BLOCK))))
     planes = rng.normal(size=(TREES, min(bits, 60) + 1, size))
-    vectors = Stored(raw.df.mapInArrow(lean(_encode(most, planes)), "id long, exact binary, half binary, code array<long>, along array<double>"))
+    vectors = Stored(raw.df.mapInArrow(lean(_encode(planes)), "id long, exact binary, single binary, code array<long>, along array<double>"))
     raw.drop()
     if n == 1:
         return Graph(vectors, None, n)
     first = None
     for t in range(TREES):
-        order = vectors.df.select("id", "half", F.col("code")[t].alias("c"), F.col("along")[t].alias("a"))
+        order = vectors.df.select("id", "single", F.col("code")[t].alias("c"), F.col("along")[t].alias("a"))
         parts = max(1, n // (40 * BLOCK))
         order = order.repartitionByRange(parts, "c", "a", "id").sortWithinPartitions("c", "a", "id") if parts > 1 else order.coalesce(1).sortWithinPartitions("c", "a", "id")
-        block = order.select("id", "half").mapInArrow(lean(_blocks), EDGES)
+        block = order.select("id", "single").mapInArrow(lean(_blocks), EDGES)
         first = block if first is None else first.unionByName(block)
     edges = Stored(_lists_of(first))
     for turn in range(MAX_ROUNDS):
         e = edges.df
         members = e.select(F.col("u").alias("w"), F.col("v").alias("x"), "fresh").unionByName(_reverse(e, turn)).groupBy("w", "x").agg(F.max("fresh").alias("fresh"))
-        ends = e.groupBy("u").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).cast("float").alias("worst"))
-        known = Stored(vectors.df.select("id", "half").join(ends, F.col("id") == F.col("u")).select(F.col("id").alias("x"), "half", "worst"))
+        ends = e.groupBy("u").agg(F.when(F.count("*") >= DEGREE, F.max("d")).otherwise(F.lit(float("inf"))).alias("worst"))
+        known = Stored(vectors.df.select("id", "single").join(ends, F.col("id") == F.col("u")).select(F.col("id").alias("x"), "single", "worst"))
         groups = members.join(known.df, "x").repartition("w").sortWithinPartitions("w")
-        found = groups.select("w", "x", "fresh", "half", "worst").mapInArrow(lean(_join_groups), EDGES)
+        found = groups.select("w", "x", "fresh", "single", "worst").mapInArrow(lean(_join_groups), EDGES)
         new = Stored(_lists_of(e.withColumn("fresh", F.lit(False)).unionByName(found)))
         changed = new.df.where("fresh").count()
         edges.drop()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import LOWER, Stored, batch_of, documents_of, lean, mix, range_hashes, slices, steps, words
+from newsloom.llm._shared import LOWER, Stored, batch_of, distinct, documents_of, lean, mix, range_hashes, slices, steps, words
 from newsloom.llm.graph import components
 
 SHINGLE, PERCENT = 5, 85
@@ -76,7 +76,7 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.n
         order = np.argsort(rows, kind="stable")
         values, rows = values[order], rows[order]
     cuts = np.searchsorted(rows, np.arange(n + 1))
-    out = [np.unique(values[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    out = [distinct(values[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     ends = np.zeros(n + 1, np.int64)
     np.cumsum([len(x) for x in out], out=ends[1:])
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), ends

@@ -22,7 +22,7 @@ from newsloom.llm._learn import Adam, sample, sigmoid
 from newsloom.llm._shared import batch_of, documents_of, fold, lean, mix, range_hashes, steps, words
 
 #: Documented bounds of the training sample: documents of label 0 and 1, and code points of each.
-SAMPLE, SAMPLE_CHARS = (700, 1000), 100_000
+SAMPLE, SAMPLE_CHARS = (700, 1000), 2_000_000
 FOLDS, HELD_OUT = 4, 2
 PASSAGE, HIDDEN, GATE, EPOCHS, CUT = 48, 16, 12, 60, 0.7
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#*$%&<>", "pipe": b"|", "stop": b".,;:?", "bang": b"!", "other": b"=@^~_{}[]\\/+\"'()-", "high": range(128, 256)}
@@ -159,12 +159,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, model: Mil) -> DataFrame:
     """The documents whose score is at least CUT, with all their columns; no join, so nothing is shuffled."""
-    names = docs.columns
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offs in steps(batch):
                 good = model.score(*passages(data, offs)) >= CUT
                 yield part.filter(pa.array(good))
 
-    return docs.select(*names).mapInArrow(lean(run), docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

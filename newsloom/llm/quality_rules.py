@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from newsloom.llm._shared import batch_of, counts_by_row, documents_of, fold, lean, mix, range_hashes, steps, words
 
 #: Documented bound of the training sample: documents, and code points of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 800, 60_000
+SAMPLE_DOCS, SAMPLE_CHARS = 800, 2_000_000
 #: Documents whose crc32(id) modulo 4 is 2 stay out of the sample, as in the quality classifier.
 FOLDS, HELD_OUT = 4, 2
 CONTENT_SHARE = 0.5
@@ -170,39 +170,37 @@ class Crf(NamedTuple):
 
 
 def fit_crf(sequences: list[np.ndarray], labels: list[np.ndarray], weight: list[float], rounds: int = 120) -> Crf:
-    """Gradient ascent (Adam) on the conditional log-likelihood, with forward-backward over all sequences at once."""
+    """Gradient ascent (Adam) on the conditional log-likelihood, with forward-backward over all sequences at once.
+
+    Lines lie one after another, without padding; at step t those sequences move on that are longer than t.
+    """
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     size = np.array([len(sequences[i]) for i in order])
-    top, n = int(size[0]), len(order)
-    x, y, here = np.zeros((n, top, N_FEATURES)), np.zeros((n, top), np.int64), np.zeros((n, top), bool)
-    for k, i in enumerate(order):
-        x[k, : size[k]], y[k, : size[k]], here[k, : size[k]] = sequences[i], labels[i], True
+    x, y = np.concatenate([sequences[i] for i in order]), np.concatenate([labels[i] for i in order]).astype(np.int64)
+    ends = np.cumsum(size)
+    start, total = ends - size, len(x)
     seq_w = np.array([weight[i] for i in order]) / size  # a long text counts as much as a short one
+    line_w = np.repeat(seq_w, size)
+    steps_ = [start[: int((size > t).sum())] + t for t in range(int(size[0]))]
+    inner = np.ones(total, bool)  # lines with a next one
+    inner[ends - 1] = False
+    inner = np.flatnonzero(inner)
+    want = np.zeros((2, 2))
+    np.add.at(want, (y[inner], y[inner + 1]), line_w[inner])
     w, trans = np.zeros(N_FEATURES), np.zeros((2, 2))
     m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     for step in range(1, rounds + 1):
-        emit = np.stack([np.zeros((n, top)), x @ w], 2)
-        alpha, beta = np.zeros((n, top, 2)), np.zeros((n, top, 2))
-        alpha[:, 0] = emit[:, 0]
-        live = [int((size > t).sum()) for t in range(top)]
-        for t in range(1, top):
-            k = live[t]
-            alpha[:k, t] = np.logaddexp.reduce(alpha[:k, t - 1, :, None] + trans, 1) + emit[:k, t]
-        for t in range(top - 2, -1, -1):
-            k = live[t + 1]
-            beta[:k, t] = np.logaddexp.reduce(trans + (emit[:k, t + 1] + beta[:k, t + 1])[:, None, :], 2)
-        z = np.logaddexp.reduce(alpha[np.arange(n), size - 1], 1)
-        p1 = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z[:, None]) * here
-        g_w = np.einsum("nt,ntf->f", (y - p1) * here * seq_w[:, None], x)
-        g_t = np.zeros((2, 2))
-        if top > 1:
-            both = here[:, 1:]
-            pair = np.exp(alpha[:, :-1, :, None] + trans + (emit[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * both[..., None, None]
-            want = np.zeros_like(pair)
-            a, b = np.nonzero(both)
-            want[a, b, y[:, :-1][a, b], y[:, 1:][a, b]] = 1
-            g_t = ((want - pair) * seq_w[:, None, None, None]).sum((0, 1))
-        g = np.r_[g_w, g_t.ravel()] / seq_w.sum() - 1e-3 * np.r_[w, trans.ravel()]
+        emit = np.stack([np.zeros(total), x @ w], 1)
+        alpha, beta = emit.copy(), np.zeros((total, 2))
+        for at in steps_[1:]:
+            alpha[at] = np.logaddexp.reduce(alpha[at - 1][:, :, None] + trans, 1) + emit[at]
+        for at in steps_[:0:-1]:
+            beta[at - 1] = np.logaddexp.reduce(trans + (emit[at] + beta[at])[:, None, :], 2)
+        z = np.repeat(np.logaddexp.reduce(alpha[ends - 1], 1), size)
+        p1 = np.exp(alpha[:, 1] + beta[:, 1] - z)
+        pair = np.exp(alpha[inner][:, :, None] + trans + (emit[inner + 1] + beta[inner + 1])[:, None, :] - z[inner][:, None, None])
+        g_t = want - (pair * line_w[inner][:, None, None]).sum(0)
+        g = np.r_[((y - p1) * line_w) @ x, g_t.ravel()] / seq_w.sum() - 1e-3 * np.r_[w, trans.ravel()]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, trans = w + move[:-4], trans + move[-4:].reshape(2, 2)
@@ -216,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS) -> C
     """Fits on at most ``most_docs`` labelled documents, the first by hash of the id, of at most SAMPLE_CHARS code points."""
     lab = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     lab = lab.where(fold("doc_id", FOLDS) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    rows = documents_of(docs).join(F.broadcast(lab), "doc_id").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).select("doc_id", "text", "quality").toPandas().sort_values(["doc_id", "text"])
+    rows = documents_of(docs).join(F.broadcast(lab), "doc_id").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).toPandas().sort_values("doc_id")
     if rows["quality"].nunique() < 2:
         return ALL_CONTENT
     batch = pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.large_string())], names=["text"])

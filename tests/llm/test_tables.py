@@ -300,12 +300,18 @@ def test_nearest_on_small_tables(spark):
 
 
 def test_nearest_recall(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    want = exact([(r.vec_id, r.embedding) for r in df.collect()], 10, 100)
+    """The given vectors, with one that is far from all, a hub that is near to many, and some of another length."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    mean = [float(x) for x in np.mean([v for _, v in rows], 0)]
+    more = [(10_000_001, [1e8] * 64), (10_000_002, [-1e8] + [0.0] * 63), (10_000_003, mean)]
+    df = df.unionByName(spark.createDataFrame([*more, (10_000_100, [1.0] * 9)], df.schema))
+    want = exact([*rows, *((i, [float(np.float32(x)) for x in v]) for i, v in more)], 10, 100)
     got = collections.defaultdict(set)
     for r in ann.nearest(df).collect():
         got[r.query_id].add(r.vec_id)
-    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 10 for q in want]) >= 0.9
+    recall = [len(got[q] & {i for i, _ in want[q]}) / 10 for q in want]
+    assert set(got) == set(want) and np.mean(recall) >= 0.95 and min(recall) >= 0.5
 
 
 def test_line_dedup_sql(spark):

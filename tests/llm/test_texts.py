@@ -139,7 +139,7 @@ def test_quality_held_out_accuracy(spark):
 def test_toxicity_held_out_accuracy(spark):
     pairs = held_out(spark, toxicity, "toxic", "sf0.01")
     assert np.mean([a == b for a, b in pairs]) > 0.92
-    assert np.mean([b for a, b in pairs if a]) > 0.6
+    assert np.mean([b for a, b in pairs if a]) > 0.75
 
 
 @pytest.mark.parametrize("module", [quality_mil, toxicity])
@@ -160,7 +160,9 @@ def test_recurrent_gradients_agree_with_differences():
     gru = toxicity.BiGru.fresh()
     gru.p = {k: v.astype(np.float64) for k, v in gru.p.items()}
     x, here, y = rng.normal(size=(5, 3, toxicity.N_INPUT)), np.array([[1, 1, 1]] * 3 + [[1, 0, 1], [0, 0, 1]], bool), np.array([1.0, 0, 1])
-    grads, _ = gru.gradients(x, here, y)
+    grads, _, dx = gru.gradients(x, here, y)
+    near = [gru.gradients(x + sign * 1e-3 * (np.arange(x.size).reshape(x.shape) == 4), here, y)[1] for sign in (1, -1)]
+    assert abs((near[0] - near[1]) / 2e-3 - dx.ravel()[4]) < 5e-4
     for k in ("wf", "rb", "att", "cf", "out"):
         at = (0,) * gru.p[k].ndim
         for sign, store in ((1, "up"), (-1, "down")):
