@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm._shared import LOWER, Stored, columns_of, documents_of, lean, mix, range_hashes, steps, unused, words
+from newsloom.llm._shared import LOWER, Stored, columns_of, documents_of, lanes_of, lean, mix, range_hashes, steps, unused, words
 
 if TYPE_CHECKING:  # workers of Arrow functions don't need it
     import pandas as pd
@@ -163,7 +163,8 @@ def line_keys(data: np.ndarray, offs: np.ndarray, starts: np.ndarray, ends: np.n
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     counts = lead[b] - lead[a] >= MIN_CHARS
     at, a, b = at[counts], a[counts], b[counts]
-    return at, range_hashes(low, a, b).view(np.int64), range_hashes(low, a, b, 1).view(np.int64)
+    lanes = lanes_of(low)
+    return at, range_hashes(low, a, b, 0, lanes).view(np.int64), range_hashes(low, a, b, 1, lanes).view(np.int64)
 
 
 def _postings(parts: int):
