@@ -68,6 +68,12 @@ def novelty(summary: Column, source: Column, n: int) -> Column:
     return let(ngrams(summary, n), share)
 
 
+def novelty_of(grams: Column, of_source: Column) -> Column:
+    """M10 on n-grams of both sides."""
+    known = lambda hits: F.coalesce(1 - F.try_divide(F.size(F.filter(grams, lambda x: F.array_contains(hits, x))), F.size(grams)), F.lit(0.0))
+    return let(F.array_intersect(grams, of_source), known)
+
+
 def clamp01(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 

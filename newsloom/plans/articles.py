@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import article as ar
 from newsloom.functions import html
 from newsloom.functions import text as tx
+from newsloom.plans.corpus import clean_sql
 from newsloom.plans.evaluation import collapse_sql
 from newsloom.session import table
 
@@ -16,7 +17,7 @@ def _docs(spark, sf_dir):
 
 
 def t13_dedupe_segments(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.size(ar.dedupe_segments(tx.sentences(F.col("text")))).cast("long").alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", ar.dedupe_segments(tx.sentences(F.col("text"))).alias("kept"))
 
 
 def t15_metadata_sentences(spark, sf_dir):
@@ -32,7 +33,7 @@ def t17_source_cleanup(spark, sf_dir):
 
 
 def t18_filter_noise(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.length(ar.filter_noise(F.col("text"))).cast("long").alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", ar.filter_noise(F.col("text")).alias("text"))
 
 
 def t19_score(spark, sf_dir):
@@ -41,7 +42,7 @@ def t19_score(spark, sf_dir):
 
 def t20_pick_best(spark, sf_dir):
     t = F.col("text")
-    return _docs(spark, sf_dir).select("doc_id", F.length(ar.pick_best(F.array(F.left(t, F.lit(300)), t, F.lit("")))).cast("long").alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", ar.pick_best(F.array(F.left(t, F.lit(300)), t, F.lit(""))).alias("text"))
 
 
 def e8_article_text(spark, sf_dir):
@@ -63,7 +64,7 @@ def t16_prefixes(spark, sf_dir):
 
 def t21_clean_for_summary(spark, sf_dir):
     d = _docs(spark, sf_dir)
-    return d.select("doc_id", F.length(ar.clean_for_summary(F.col("text"), F.col("lang"), F.left("text", F.lit(60)), F.col("source"), F.lit(""))).cast("long").alias("n"))
+    return d.select("doc_id", ar.clean_for_summary(F.col("text"), F.col("lang"), F.left("text", F.lit(60)), F.col("source"), F.lit("")).alias("text"))
 
 
 def t23_postprocessed(spark, sf_dir):
@@ -81,7 +82,7 @@ def g1_extractive(spark, sf_dir):
 
 
 def g2_degenerate(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", ar.degenerate(F.left("text", F.lit(400))).alias("degenerate"))
+    return _docs(spark, sf_dir).select("doc_id", ar.degenerate(F.col("text")).alias("degenerate"))
 
 
 def g3_finalized(spark, sf_dir):
@@ -102,7 +103,7 @@ def g5_summary_cache(spark, sf_dir):
 _NAMES = "t4_repaired t16_prefixes t21_clean_for_summary t23_postprocessed t24_decoded t13_dedupe_segments t15_metadata_sentences t17_source_cleanup t18_filter_noise t19_score t20_pick_best e8_article_text g1_extractive g2_degenerate g3_finalized g6_summaries g5_summary_cache"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 ORACLE = {
-    "t16_prefixes": f"SELECT doc_id, trim(left({collapse_sql('text')}, 50)) AS text FROM documents",
+    "t16_prefixes": f"SELECT doc_id, trim(regexp_replace({clean_sql('text')}, '^(?i)' || '(giriş( tarihi)?|yayınlanma tarihi|yayinlanma tarihi|son güncelleme|son guncelleme|güncelleme tarihi|guncelleme tarihi|updated|last updated|published)\\s*[:-]\\s*', '')) AS text FROM documents",
     "g5_summary_cache": f"SELECT lang, count(*) AS n, count(DISTINCT {collapse_sql('text')}) AS texts FROM documents GROUP BY lang",
-    "g2_degenerate": rf"WITH t AS (SELECT doc_id, regexp_extract_all(lower(left({collapse_sql('text')}, 400)), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?') AS w FROM documents) SELECT doc_id, len(w) >= 8 AND (len(list_distinct(w)) < 0.38 * len(w) OR list_max(list_transform(list_distinct(w), lambda d: len(list_filter(w, lambda x: x = d)))) > greatest(6, floor(len(w) / 3))) AS degenerate FROM t",
+    "g2_degenerate": rf"WITH t AS (SELECT doc_id, regexp_extract_all(lower({collapse_sql('text')}), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?') AS w FROM documents) SELECT doc_id, len(w) >= 8 AND (len(list_distinct(w)) < 0.38 * len(w) OR list_max(list_transform(list_distinct(w), lambda d: len(list_filter(w, lambda x: x = d)))) > greatest(6, floor(len(w) / 3))) AS degenerate FROM t",
 }

@@ -174,6 +174,23 @@ def validate_sources(samples: DataFrame, min_chars: int, min_score: float) -> Da
     return g.withColumns({"reasons": reasons, "warnings": warnings, "pass": F.size(reasons) == 0})
 
 
+def with_feeds(validated: DataFrame, feeds: DataFrame) -> DataFrame:
+    """A12 for all sources asked: ``feeds`` has source_key, entries and error (null, or the kind of error of its feed).
+
+    A source whose feed failed or has no entries was not sampled: it has that reason alone, zeros, and doesn't pass.
+    """
+    failed = F.when(F.col("error").isNotNull(), F.concat(F.lit("rss_exception:"), "error")).when(F.col("entries") == 0, "rss_no_entries")
+    joined = feeds.join(validated, "source_key", "left").withColumn("failed", failed)
+    zero = {c: F.when(F.col("failed").isNotNull(), 0.0).otherwise(F.coalesce(c, F.lit(0.0))) for c in ("article_success_ratio", "avg_article_chars", "avg_quality_score", "summary_seed_success_ratio")}
+    counts = {c: F.when(F.col("failed").isNotNull(), 0).otherwise(F.coalesce(c, F.lit(0))) for c in ("samples_tested", "article_success_count")}
+    none = F.array().cast("array<string>")
+    unsampled = F.array(F.lit("body_quality_low"))
+    reasons = F.when(F.col("failed").isNotNull(), F.array("failed")).otherwise(F.coalesce("reasons", unsampled))
+    warnings = F.when(F.col("failed").isNotNull(), none).otherwise(F.coalesce("warnings", F.array(F.lit("summary_seed_low"))))
+    out = joined.withColumns(zero | counts | {"reasons": reasons, "warnings": warnings, "rss_ok": F.col("failed").isNull()})
+    return out.withColumn("pass", F.col("rss_ok") & ~F.array_contains("reasons", "body_quality_low")).drop("failed", "error").withColumnRenamed("entries", "rss_entries")
+
+
 # --- queries ---------------------------------------------------------------------------------------------
 
 
@@ -280,12 +297,20 @@ def a13_validation_totals(spark, sf_dir):
     return validate_sources(_samples(spark, sf_dir), 400, 10.0).agg(F.count_if("pass").alias("passed"), F.count_if(~F.col("pass")).alias("failed"))
 
 
+def a12_feeds_and_samples(spark, sf_dir):
+    """Every fifth source's feed fails, every seventh is empty."""
+    v = validate_sources(_samples(spark, sf_dir), 400, 10.0)
+    user = F.substring("source_key", 2, 20).cast("long")
+    feeds = v.select("source_key", F.when(user % 7 == 0, 0).otherwise(3).cast("long").alias("entries"), F.when(user % 5 == 0, "Timeout").alias("error"))
+    return with_feeds(v, feeds).select("source_key", "rss_ok", "samples_tested", F.round("article_success_ratio", 9).alias("ratio"), F.array_join("reasons", ",").alias("reasons"), F.array_join("warnings", ",").alias("warnings"), "pass")
+
+
 def o16_top_validated(spark, sf_dir):
     v = validate_sources(_samples(spark, sf_dir), 400, 10.0)
     return v.orderBy(F.col("pass").desc(), F.col("article_success_ratio").desc(), F.round("avg_quality_score", 9).desc(), F.col("avg_article_chars").desc(), "source_key").limit(25).select("source_key", "pass")
 
 
-_NAMES = "c1_slugs c2_search_urls c3_topic_sources c10_fallback_urls t26_source_language c4_topics c5_country_region c6_site_keys c7_catalog o12_best_of_site o13_top_sources j2_source_lookup u1_source_union a12_source_validation a13_validation_totals o16_top_validated"
+_NAMES = "c1_slugs c2_search_urls c3_topic_sources c10_fallback_urls t26_source_language c4_topics c5_country_region c6_site_keys c7_catalog o12_best_of_site o13_top_sources j2_source_lookup u1_source_union a12_source_validation a12_feeds_and_samples a13_validation_totals o16_top_validated"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _TOPIC = "CASE pos % 6 WHEN 1 THEN 'sports' WHEN 2 THEN 'world' WHEN 3 THEN 'technology' WHEN 4 THEN 'politics' WHEN 5 THEN 'culture' ELSE 'general' END"
@@ -310,6 +335,7 @@ ORACLE = {
     "j2_source_lookup": f"WITH {_GRADED} SELECT d.doc_id, 's' || d.doc_id % 150 AS source_key, coalesce(g.topic, 'general') AS topic FROM documents d LEFT JOIN g ON g.source_key = 's' || d.doc_id % 150",
     "u1_source_union": f"SELECT source_key, count(*) AS n FROM (SELECT source_key FROM {SOURCES_SQL} WHERE pos % 2 = 0 UNION ALL SELECT source_key FROM {SOURCES_SQL} WHERE pos % 3 = 0) GROUP BY source_key",
     "a12_source_validation": f"WITH {_VAL} SELECT source_key, samples_tested, ok AS article_success_count, round(ok / samples_tested, 9) AS ratio, round(chars, 6) AS chars, CASE WHEN ok / samples_tested < 0.5 THEN 1 ELSE 0 END AS reasons, CASE WHEN seed < 0.5 THEN 1 ELSE 0 END AS warnings, ok / samples_tested >= 0.5 AS pass FROM v",
+    "a12_feeds_and_samples": f"WITH {_VAL}, w AS (SELECT *, CAST(substr(source_key, 2) AS BIGINT) AS u FROM v), x AS (SELECT *, CASE WHEN u % 5 = 0 THEN 'rss_exception:Timeout' WHEN u % 7 = 0 THEN 'rss_no_entries' END AS failed FROM w) SELECT source_key, failed IS NULL AS rss_ok, CASE WHEN failed IS NULL THEN samples_tested ELSE 0 END AS samples_tested, CASE WHEN failed IS NULL THEN round(ok / samples_tested, 9) ELSE 0.0 END AS ratio, coalesce(failed, CASE WHEN ok / samples_tested < 0.5 THEN 'body_quality_low' ELSE '' END) AS reasons, CASE WHEN failed IS NULL AND seed < 0.5 THEN 'summary_seed_low' ELSE '' END AS warnings, failed IS NULL AND ok / samples_tested >= 0.5 AS pass FROM x",
     "a13_validation_totals": f"WITH {_VAL} SELECT count(*) FILTER (ok / samples_tested >= 0.5) AS passed, count(*) FILTER (ok / samples_tested < 0.5) AS failed FROM v",
     "o16_top_validated": f"WITH {_VAL} SELECT source_key, ok / samples_tested >= 0.5 AS pass FROM v ORDER BY pass DESC, ok / samples_tested DESC, round(score, 9) DESC, chars DESC, source_key LIMIT 25",
 }

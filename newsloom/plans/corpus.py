@@ -169,7 +169,7 @@ def d8_compression_heatmap(spark, sf_dir):
 
 
 def r1_seeded_sample(spark, sf_dir):
-    return seeded_sample(docs(spark, sf_dir), ["lang"], "doc_id", 5).groupBy("lang").agg(F.count("*").alias("n"))
+    return seeded_sample(docs(spark, sf_dir).select("lang", "doc_id"), ["lang"], "doc_id", 5)
 
 
 def r3_alpha_targets(spark, sf_dir):
@@ -300,6 +300,20 @@ def _grams(t: str) -> str:
 
 _TGT = "c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), w AS (SELECT *, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () AS wanted FROM c), b AS (SELECT *, floor(wanted) AS base FROM w), t AS (SELECT lang, n, CAST(base + CASE WHEN row_number() OVER (ORDER BY round(base - wanted, 9), lang) <= sum(n) OVER () - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS target FROM b)"
 _TAGS = "regexp_replace({}, '<[^>]+>', ' ', 'g')"
+_REUTER = "text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || ' REUTER' ELSE '' END"
+_DATED = "CASE doc_id % 4 WHEN 0 THEN text || ' 12:30 ' WHEN 1 THEN 'Am 3 Mart ' || text ELSE text END"
+_MARKED = "CASE doc_id % 5 WHEN 0 THEN text || ' font-family: x' WHEN 1 THEN text || ' let x' ELSE text END"
+
+
+def _plain(pattern: str) -> str:
+    """A pattern without looking around: what stands beside it is matched too."""
+    return pattern.replace(tx.LEFT, r"(?:^|[^\p{L}\p{N}_])").replace(tx.RIGHT, r"(?:$|[^\p{L}\p{N}_])").replace("'", "''")
+
+
+def _times(part: str) -> str:
+    return f"(length(t) - length(replace(t, '{part}', ''))) / {len(part)}"
+
+
 _WS = r"list_distinct(list_filter(regexp_extract_all(lower(@), '[\p{L}\p{N}_](?:[\p{L}\p{N}_''-]*[\p{L}\p{N}_])?'), lambda x: length(x) > 2))"
 
 ORACLE = {
@@ -312,25 +326,24 @@ ORACLE = {
     "d6_row_metrics": f"WITH {_MEASURED} SELECT doc_id, text_chars, text_tokens, summary_tokens, round(summary_tokens / nullif(text_tokens, 0), 9) AS compression FROM m",
     "d7_overlap_novelty": f"WITH a AS (SELECT doc_id, {_OV.replace('@', collapse_sql('text'))} AS t, {_OV.replace('@', collapse_sql('right(text, 150)'))} AS s FROM documents), g AS (SELECT doc_id, list_distinct(s) AS s1, list_distinct(t) AS t1, {_grams('s')} AS s2, {_grams('t')} AS t2 FROM a) SELECT doc_id, " + ", ".join(f"round(len(list_intersect(s{n}, t{n})) / nullif(len(s{n}), 0), 9) AS overlap_{n}, round(1 - len(list_intersect(s{n}, t{n})) / nullif(len(s{n}), 0), 9) AS novelty_{n}" for n in (1, 2)) + " FROM g",
     "d8_compression_heatmap": f"WITH {_MEASURED} SELECT language, " + ", ".join(f"round(avg(summary_tokens / nullif(text_tokens, 0)) FILTER (split = '{s}'), 9) AS {s}" for s in ("train", "validation", "test")) + " FROM m GROUP BY language",
-    "r1_seeded_sample": "SELECT lang, least(5, count(*)) AS n FROM documents GROUP BY lang",
     "r3_alpha_targets": f"WITH {_TGT} SELECT * FROM t",
     "r3_resampled_counts": f"WITH {_TGT} SELECT lang, target AS n FROM t",
     "t6_sentences": f"WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({clean_sql('text')}, '([.!?…。！？؟])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents) SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS sentence FROM s",
-    "t7_cjk_count": f"SELECT doc_id, len(regexp_extract_all(left(text, 50) || '漢字かな한글', '{CJK_SQL}')) AS n FROM documents",
-    "t14_datetime_like": f"WITH s AS (SELECT doc_id, {collapse_sql('''CASE doc_id % 4 WHEN 0 THEN left(text, 20) || ' 12:30 ' WHEN 1 THEN 'Am 3 Mart ' || left(text, 20) ELSE left(text, 40) END''')} AS t FROM documents) SELECT doc_id, doc_id % 4 < 2 OR regexp_matches(t, '[0-9][./:-][0-9]') OR regexp_matches(lower(t), '\\bmay\\b') AS dated FROM s",
-    "t22_sentence_ending": "SELECT doc_id, regexp_matches(rtrim(left(text, 120), chr(32) || chr(10)), '[.!?…。！？؟][\"''”’»)\\]]*$') AS ended FROM documents",
+    "t7_cjk_count": f"SELECT doc_id, len(regexp_extract_all(text || '漢字かな한글', '{CJK_SQL}')) AS n FROM documents",
+    "t14_datetime_like": f"SELECT doc_id, regexp_matches(lower({collapse_sql(_DATED)}), '(^|[^\\p{{L}}\\p{{N}}_])(?:{'|'.join((*tx.DATE_SHAPES, *tx.MONTHS_TR, *tx.MONTHS_EN))})($|[^\\p{{L}}\\p{{N}}_])') AS dated FROM documents",
+    "t22_sentence_ending": "SELECT doc_id, regexp_matches(rtrim(text, chr(32)), '[.!?…。！？؟][\"''”’»)\\]]*$') AS ended FROM documents",
     "t3_mojibake": "SELECT doc_id, CAST((length(text) - length(replace(replace(replace(text, 'â', ''), 'Ã', ''), 'Â', ''))) AS BIGINT) AS n FROM documents",
-    "t11_t12_near_duplicates": f"WITH d AS (SELECT doc_id, {_WS.replace('@', 'left(' + clean_sql('text') + ', 400)')} AS w FROM documents WHERE doc_id <= 400), b AS (SELECT item_id, {_WS.replace('@', clean_sql('text'))} AS v FROM benchmark) SELECT doc_id, item_id, len(list_intersect(w, v)) AS shared FROM d, b WHERE len(list_intersect(w, v)) * 1.0 / nullif(least(len(w), len(v)), 0) >= 0.3 AND len(list_intersect(w, v)) > 0",
+    "t11_t12_near_duplicates": f"WITH d AS (SELECT doc_id, {_WS.replace('@', clean_sql('text'))} AS w FROM documents), b AS (SELECT item_id, {_WS.replace('@', clean_sql('text'))} AS v FROM benchmark), x AS (SELECT doc_id, len(w) AS a, unnest(w) AS x FROM d), y AS (SELECT item_id, len(v) AS b, unnest(v) AS x FROM b) SELECT doc_id, item_id, count(*) AS shared FROM x JOIN y USING (x) GROUP BY doc_id, item_id, a, b HAVING count(*) * 1.0 / least(a, b) >= 0.3",
     "e10_images": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'u' || page_id WHEN 1 THEN 'v' || page_id ELSE '' END AS image FROM pages",
     "t8_word_like_count": rf"SELECT doc_id, greatest(len(regexp_extract_all({clean_sql('text')}, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?')), len(regexp_extract_all(text, '{CJK_SQL}')) // 2) AS n FROM documents",
-    "f15_reuters_text": f"SELECT doc_id, {collapse_sql('left(text, 80)')} AS text FROM documents",
+    "f15_reuters_text": f"SELECT doc_id, trim(regexp_replace({collapse_sql(_REUTER)}, '(?i)\\sreuter$', '')) AS text FROM documents",
     "f16_source_order": "SELECT DISTINCT source FROM documents WHERE lang = 'en' ORDER BY source LIMIT 7",
     "o17_language_order": "WITH l AS (SELECT DISTINCT CASE lang WHEN 'fr' THEN 'tr' ELSE lang END AS lang FROM documents) SELECT lang, row_number() OVER (ORDER BY lang <> 'tr', lang) AS place FROM l",
     "o18_head_rows": "SELECT lang, source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 3",
     "r4_split": f"SELECT {SPLIT_SQL} AS split, count(*) AS n FROM documents GROUP BY 1",
     "r8_language_plan": "SELECT DISTINCT lang AS language, CASE WHEN lang <> 'de' THEN 'xl_' || lang ELSE '' END AS subset, CASE WHEN lang <> 'de' THEN 'run' ELSE 'skipped_no_xlsum_subset' END AS status FROM documents",
     "s6_page_lookup": "WITH p AS (SELECT url, max(length(html)) AS n FROM pages GROUP BY url) SELECT page_id % 3 AS source, CAST(2 * count(*) AS BIGINT) AS asked, CAST(2 * sum(n) AS BIGINT) AS chars FROM pages JOIN p USING (url) GROUP BY 1",
-    "t9_code_noise": r"""SELECT doc_id, doc_id % 5 < 2 OR regexp_matches(lower(text), '<(div|a|span|li|ul|script|style|path)\b|aria-label\s*=|datetime\s*=|currentcolor') OR (length(text) <= 240 AND regexp_matches(lower(text), '\b(function|const|let|var)\b')) AS noise FROM documents""",
+    "t9_code_noise": f"WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents) SELECT doc_id, regexp_matches(t, '(?i)({'|'.join(map(_plain, tx.CODE_NOISE))})') OR (length(t) <= 240 AND regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])(function|const|let|var)($|[^\\p{{L}}\\p{{N}}_])')) OR (contains(t, ':') AND (({_times('{')} + {_times('}')} >= 2 AND {_times(';')} >= 2 AND {_times(':')} >= 3) OR ({_times('{' + chr(34))} >= 2 AND {_times(chr(34) + ':')} >= 5) OR ({_times(chr(34) + ',' + chr(34))} >= 5 AND {_times(':')} >= 8))) AS noise FROM m",
     "e1_strip_html": f"SELECT page_id, length({clean_sql(_TAGS.format('html'))}) AS n FROM pages",
     "e6_paragraphs": f"WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS l FROM pages), q AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS p FROM p), r AS (SELECT page_id, i, {clean_sql(_TAGS.format('p'))} AS text FROM q) SELECT * FROM r WHERE length(text) >= 40",
 }

@@ -13,7 +13,17 @@ from newsloom.session import table
 MODELS = ("mbart-xlsum-2", "mbart50_xlsum", "mt5-xlsum")
 #: Direction of metrics: everything is better when higher, but for these.
 LOWER_IS_BETTER = ("latency_seconds", "latency_per_1k_tokens", "repetition_3gram", "sentence_len_std")
-CORE = ("rouge1_fmeasure", "rouge2_fmeasure", "novelty_1gram", "repetition_3gram")
+#: Metrics that are JVM-side throughout and that SQL can say.
+CORE = ("rouge1_fmeasure", "rouge2_fmeasure", "novelty_1gram", "novelty_2gram", "repetition_3gram", "summary_tokens", "source_tokens", "compression_ratio", "source_coverage", "source_recall", "latency_seconds", "latency_per_1k_tokens")
+#: The metrics that are aggregated by language and model.
+METRICS = (
+    "rouge1_fmeasure", "rouge2_fmeasure", "rougeL_fmeasure", "bleu", "meteor_lite",
+    "capability_coherence", "capability_accuracy", "capability_clarity", "capability_relevance",
+    "capability_efficiency", "capability_overall", "quality_factuality", "quality_completeness",
+    "latency_seconds", "latency_per_1k_tokens", "compression_ratio", "source_coverage",
+    "source_recall", "fragment_coverage", "fragment_density", "novelty_1gram", "novelty_2gram",
+    "repetition_3gram", "summary_tokens", "source_tokens",
+)
 
 
 def evaluate(rows: DataFrame) -> DataFrame:
@@ -107,24 +117,52 @@ def complete(rows: DataFrame, metric: str) -> DataFrame:
     return rows.groupBy("language", "sample_id").pivot("model", list(MODELS)).agg(F.avg(metric)).na.drop()
 
 
+#: Pairs of means that are held against each other.
+TRADEOFFS = (("rouge1_fmeasure", "novelty_1gram"), ("rouge1_fmeasure", "latency_seconds"), ("compression_ratio", "source_coverage"), ("repetition_3gram", "rouge2_fmeasure"))
+
+
 # --- queries --------------------------------------------------------------------------------------------
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _made(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """One row for each document, one column for each model's summary; the models' names."""
     d = table(spark, sf_dir, "documents").where("lang is not null")
     text = F.col("text")
     half = F.array_join(F.filter(F.slice(F.split(text, " "), 1, 60), lambda x, i: i % 2 == 0), " ")
     made = {"mt5-xlsum": F.left(text, F.lit(200)), "mbart50_xlsum": F.right(text, F.lit(200)), "mbart-xlsum-2": half}
     base = d.select(F.col("doc_id").cast("string").alias("sample_id"), F.col("lang").alias("language"), text.alias("source_text"), F.left(text, F.lit(120)).alias("reference_summary"), (F.col("n_chars") / 10000.0).alias("latency_seconds"), *[v.alias(k) for k, v in made.items()])
+    return base, list(made)
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, made = _made(spark, sf_dir)
     return base.unpivot(["sample_id", "language", "source_text", "reference_summary", "latency_seconds"], list(made), "model", "generated_summary")
 
 
 def _core(spark, sf_dir) -> DataFrame:
-    """The metrics of CORE only, all JVM-side."""
-    t = samples(spark, sf_dir).withColumns({"s": m.tokens(F.col("source_text")), "r": m.tokens(F.col("reference_summary")), "g": m.tokens(F.col("generated_summary"))})
-    s, r, g = F.col("s"), F.col("r"), F.col("g")
-    one, two = m.rouge_n(r, g, 1), m.rouge_n(r, g, 2)
-    return t.select("sample_id", "language", "model", F.round(one[2], 9).alias("rouge1_fmeasure"), F.round(two[2], 9).alias("rouge2_fmeasure"), F.round(m.novelty(g, s, 1), 9).alias("novelty_1gram"), F.round(m.repetition(g, 3), 9).alias("repetition_3gram"))
+    """The metrics of CORE. A document's source and reference become tokens once, before its models' rows are made."""
+    base, made = _made(spark, sf_dir)
+    t = base.select("sample_id", "language", "latency_seconds", m.tokens(F.col("source_text")).alias("s"), m.tokens(F.col("reference_summary")).alias("r"), *[m.tokens(F.col(f"`{k}`")).alias(k) for k in made])
+    t = t.withColumns({"s1": F.array_distinct("s"), "s2": F.array_distinct(m.ngrams(F.col("s"), 2)), "n": F.size("s").cast("double")}).drop("s")
+    t = t.unpivot(["sample_id", "language", "latency_seconds", "r", "s1", "s2", "n"], list(made), "model", "g")
+    r, g, s1 = F.col("r"), F.col("g"), F.col("s1")
+    one, two, shared = m.rouge_n(r, g, 1), m.rouge_n(r, g, 2), F.size(F.array_intersect(s1, g))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    found = {
+        "rouge1_fmeasure": one[2],
+        "rouge2_fmeasure": two[2],
+        "novelty_1gram": m.novelty_of(g, s1),
+        "novelty_2gram": m.novelty_of(m.ngrams(g, 2), F.col("s2")),
+        "repetition_3gram": m.repetition(g, 3),
+        "summary_tokens": F.size(g).cast("double"),
+        "source_tokens": F.col("n"),
+        "compression_ratio": ratio(F.col("n"), F.size(g)),
+        "source_coverage": ratio(shared, F.size(F.array_distinct(g))),
+        "source_recall": ratio(shared, F.size(s1)),
+        "latency_seconds": F.col("latency_seconds").cast("double"),
+        "latency_per_1k_tokens": F.col("latency_seconds") / F.greatest(F.col("n") / 1000, F.lit(1e-6)),
+    }
+    return t.select("sample_id", "language", "model", *[F.round(v, 9).alias(k) for k, v in found.items()])
 
 
 def m15_evaluation_rows(spark, sf_dir):
@@ -225,12 +263,105 @@ def r7_cross_run(spark, sf_dir):
     return by.select("language", "model", F.round(F.col("run_b") - F.col("run_a"), 9).alias("delta"))
 
 
+def pairwise(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """Differences between models of the means by ``keys``, for each metric; where both have one."""
+    means = long(rows, [*keys, "model"], metrics).groupBy(*keys, "metric").pivot("model", list(MODELS)).agg(F.avg("value"))
+    pairs = [F.struct(F.lit(f"{a} - {b}").alias("pair"), (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("delta")) for a, b in combinations(MODELS, 2)]
+    return means.select(*keys, "metric", F.explode(F.array(*pairs)).alias("x")).select(*keys, "metric", "x.pair", "x.delta").where("delta is not null")
+
+
+def correlations(rows: DataFrame, metrics: list[str]) -> DataFrame:
+    """Pearson's coefficient of every pair of metrics, over all rows (model "all") and for each model. One pass."""
+    pairs = [(a, b) for a, b in combinations(metrics, 2)]
+    parts = [correlation(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
+    wide = rows.groupBy("model").agg(*parts).unionByName(rows.agg(*parts).withColumn("model", F.lit("all")))
+    each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
+    return wide.select("model", F.explode(each).alias("x")).select("model", "x.*")
+
+
+def scatter(rows: DataFrame, a: str, b: str, n: int, seed: int = 42) -> DataFrame:
+    """At most ``n`` complete rows of two metrics, by hash; the limit is the plot's."""
+    return rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).orderBy(F.xxhash64("sample_id", "model", F.lit(seed)), "sample_id", "model").limit(n).select("model", "language", a, b)
+
+
+def radar(by_model: DataFrame, metrics: list[str]) -> DataFrame:
+    """Each model's means as axes; models with fewer than three values are left out."""
+    axes = long(by_model, ["model"], metrics).where("value is not null")
+    few = axes.groupBy("model").agg(F.count("*").alias("n")).where("n >= 3").select("model")
+    return axes.join(few, "model", "left_semi")
+
+
+def _all(spark, sf_dir) -> DataFrame:
+    return evaluate(samples(spark, sf_dir)).select("sample_id", "language", "model", *METRICS)
+
+
+def a1_all_metrics(spark, sf_dir):
+    return describe_by(_all(spark, sf_dir), ["language", "model"], list(METRICS))
+
+
+def a2_all_metrics(spark, sf_dir):
+    """A2 with O7's places: macro means of all metrics, best overall capability first."""
+    by = describe_by(_all(spark, sf_dir), ["language", "model"], list(METRICS))
+    means = by.groupBy("model").agg(*[F.avg(f"{c}_mean").alias(f"{c}_mean") for c in METRICS], F.sum("samples").alias("samples"), F.count("*").alias("languages"))
+    return means.orderBy(F.col("capability_overall_mean").desc(), "model")
+
+
+def a9_all_metrics(spark, sf_dir):
+    return long(_all(spark, sf_dir), ["model"], list(METRICS)).groupBy("metric", "model").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"))
+
+
+def a10_all_metrics(spark, sf_dir):
+    return correlations(_all(spark, sf_dir), list(METRICS))
+
+
+def a11_all_metrics(spark, sf_dir):
+    rows = long(_all(spark, sf_dir), ["language", "sample_id", "model"], list(METRICS)).where("value is not null")
+    won = winners(rows, ["metric", "language", "sample_id"]).groupBy("metric", "language", "model").agg(F.count("*").alias("wins"))
+    return won.withColumn("rate", F.col("wins") / F.sum("wins").over(Window.partitionBy("metric", "language")))
+
+
+def o8_all_metrics(spark, sf_dir):
+    """Ranks of models by language and metric; rank 1 is the language's winner."""
+    means = _all(spark, sf_dir).groupBy("language", "model").agg(*[F.avg(c).alias(c) for c in METRICS])
+    return ranks(long(means, ["language", "model"], list(METRICS)), ["metric", "language"]).select("metric", "language", "model", "value", F.col("rank").cast("long"))
+
+
+def r5_all_metrics(spark, sf_dir):
+    return pairwise(_all(spark, sf_dir), ["language"], list(METRICS))
+
+
+def r6_all_metrics(spark, sf_dir):
+    return pairwise(_all(spark, sf_dir), ["language", "sample_id"], list(METRICS))
+
+
+def p3_radar(spark, sf_dir):
+    means = _core(spark, sf_dir).groupBy("model").agg(*[F.round(F.avg(c), 6).alias(c) for c in CORE])
+    return radar(means, list(CORE))
+
+
+def p4_tradeoffs(spark, sf_dir):
+    """Four pairs of model means."""
+    means = _core(spark, sf_dir).groupBy("model").agg(*[F.round(F.avg(c), 6).alias(c) for c in CORE])
+    each = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).alias("x_mean"), F.col(b).alias("y_mean")) for a, b in TRADEOFFS])
+    return means.select("model", F.explode(each).alias("p")).select("model", "p.*")
+
+
+def p9_samples_by_language(spark, sf_dir):
+    """Samples of each language, a language once, most samples first."""
+    n = samples(spark, sf_dir).groupBy("language", "model").agg(F.count("*").alias("samples"))
+    return n.groupBy("language").agg(F.max("samples").alias("samples")).orderBy(F.col("samples").desc(), "language")
+
+
+def p12_scatter(spark, sf_dir):
+    return scatter(_core(spark, sf_dir), "compression_ratio", "rouge1_fmeasure", 2000)
+
+
 def p10_quartiles(spark, sf_dir):
     q = F.percentile("rouge1_fmeasure", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return _core(spark, sf_dir).groupBy("model").agg(q.alias("q")).select("model", *[F.round(F.col("q")[i], 9).alias(f"q{i + 1}") for i in range(3)])
 
 
-_NAMES = "m15_evaluation_rows m5_rouge m9_m10_repetition_novelty m12_sentence_lengths m14_flesch m15_vocabulary a1_language_summary a2_macro_summary a9_metric_statistics a10_correlations a11_win_rates a18_ecdf a17_density o7_metric_ranks o8_language_ranks r0_heatmap r5_language_deltas r6_sample_deltas r7_cross_run p10_quartiles"
+_NAMES = "m15_evaluation_rows m5_rouge m9_m10_repetition_novelty m12_sentence_lengths m14_flesch m15_vocabulary a1_language_summary a2_macro_summary a9_metric_statistics a10_correlations a11_win_rates a18_ecdf a17_density o7_metric_ranks o8_language_ranks r0_heatmap r5_language_deltas r6_sample_deltas r7_cross_run p10_quartiles a1_all_metrics a2_all_metrics a9_all_metrics a10_all_metrics a11_all_metrics o8_all_metrics r5_all_metrics r6_all_metrics p3_radar p4_tradeoffs p9_samples_by_language p12_scatter"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 SPACE_SQL = r"'[\s\x0b\p{Z}\x1c-\x1f\x{85}]+'"
@@ -267,9 +398,24 @@ def hits_sql(a: str, b: str) -> str:
 _H = f"h AS (SELECT *, {hits_sql('r', 'g')} AS h1, {hits_sql('r2', 'g2')} AS h2 FROM n)"
 _P = "p AS (SELECT *, " + ", ".join(f"coalesce(h{n} / nullif(len(g{s}), 0), 0.0) AS p{n}, coalesce(h{n} / nullif(len(r{s}), 0), 0.0) AS c{n}" for n, s in ((1, ""), (2, "2"))) + " FROM h)"
 _F = "f AS (SELECT *, " + ", ".join(f"coalesce(2 * p{n} * c{n} / nullif(p{n} + c{n}, 0), 0.0) AS f{n}" for n in (1, 2)) + " FROM p)"
-_CORE = f"WITH {_TOK}, {_GRAM}, {_H}, {_P}, {_F}, core AS (SELECT sample_id, language, model, round(f1, 9) AS rouge1_fmeasure, round(f2, 9) AS rouge2_fmeasure, round(coalesce(1 - len(list_filter(g, lambda x: list_contains(s, x))) / nullif(len(g), 0), 0.0), 9) AS novelty_1gram, round(coalesce(1 - len(list_distinct(g3)) / nullif(len(g3), 0), 0.0), 9) AS repetition_3gram FROM f)"
-_LONG = "lg AS (UNPIVOT core ON rouge1_fmeasure, rouge2_fmeasure, novelty_1gram, repetition_3gram INTO NAME metric VALUE value)"
-_DIR = "CASE WHEN metric = 'repetition_3gram' THEN -value ELSE value END"
+_SHARED = "len(list_intersect(list_distinct(s), g))"
+_CORE_SQL = {
+    "rouge1_fmeasure": "f1",
+    "rouge2_fmeasure": "f2",
+    "novelty_1gram": "coalesce(1 - len(list_filter(g, lambda x: list_contains(s, x))) / nullif(len(g), 0), 0.0)",
+    "novelty_2gram": "coalesce(1 - len(list_filter(g2, lambda x: list_contains(sh2, x))) / nullif(len(g2), 0), 0.0)",
+    "repetition_3gram": "coalesce(1 - len(list_distinct(g3)) / nullif(len(g3), 0), 0.0)",
+    "summary_tokens": "CAST(len(g) AS DOUBLE)",
+    "source_tokens": "CAST(len(s) AS DOUBLE)",
+    "compression_ratio": "coalesce(len(s) / nullif(len(g), 0), 0.0)",
+    "source_coverage": f"coalesce({_SHARED} / nullif(len(list_distinct(g)), 0), 0.0)",
+    "source_recall": f"coalesce({_SHARED} / nullif(len(list_distinct(s)), 0), 0.0)",
+    "latency_seconds": "CAST(latency_seconds AS DOUBLE)",
+    "latency_per_1k_tokens": "latency_seconds / greatest(len(s) / 1000, 1e-6)",
+}
+_CORE = f"WITH {_TOK}, {_GRAM}, {_H}, {_P}, {_F}, q AS (SELECT *, list_intersect(g2, {grams_sql('s', 2)}) AS sh2 FROM f), core AS (SELECT sample_id, language, model, " + ", ".join(f"round({v}, 9) AS {k}" for k, v in _CORE_SQL.items()) + " FROM q)"
+_LONG = f"lg AS (UNPIVOT core ON {', '.join(CORE)} INTO NAME metric VALUE value)"
+_DIR = f"CASE WHEN metric IN ({', '.join(repr(x) for x in LOWER_IS_BETTER)}) THEN -value ELSE value END"
 _STATS = ", ".join(f"avg({c}) AS {c}_mean, stddev_samp({c}) AS {c}_std" for c in CORE)
 _WIDE = "w AS (SELECT language, " + ", ".join(f"avg(rouge1_fmeasure) FILTER (model = '{x}') AS m{i}" for i, x in enumerate(MODELS)) + " FROM core GROUP BY language)"
 _PAIRS = [(f"{a} - {b}", f"m{MODELS.index(a)} - m{MODELS.index(b)}") for a, b in combinations(MODELS, 2)]
@@ -295,5 +441,8 @@ ORACLE = {
     "r5_language_deltas": f"{_CORE}, {_WIDE} " + " UNION ALL ".join(f"SELECT language, '{n}' AS pair, round({d}, 9) AS delta FROM w" for n, d in _PAIRS),
     "r6_sample_deltas": f"{_CORE}, {_WIDE.replace('SELECT language,', 'SELECT language, sample_id,').replace('GROUP BY language', 'GROUP BY language, sample_id')} " + " UNION ALL ".join(f"SELECT language, sample_id, '{n}' AS pair, round({d}, 9) AS delta FROM w" for n, d in _PAIRS),
     "r7_cross_run": f"{_CORE}, x AS (SELECT language, model, avg(rouge1_fmeasure) FILTER (CAST(sample_id AS BIGINT) % 2 = 0) AS a, avg(rouge1_fmeasure) FILTER (CAST(sample_id AS BIGINT) % 2 <> 0) AS b FROM core GROUP BY ALL) SELECT language, model, round(b - a, 9) AS delta FROM x WHERE a IS NOT NULL AND b IS NOT NULL",
+    "p3_radar": f"{_CORE}, a AS (SELECT model, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in CORE) + f" FROM core GROUP BY model) SELECT model, metric, value FROM (UNPIVOT a ON {', '.join(CORE)} INTO NAME metric VALUE value)",
+    "p4_tradeoffs": f"{_CORE} " + " UNION ALL ".join(f"SELECT model, '{a}' AS x, '{b}' AS y, round(avg({a}), 6) AS x_mean, round(avg({b}), 6) AS y_mean FROM core GROUP BY model" for a, b in TRADEOFFS),
+    "p9_samples_by_language": "SELECT lang AS language, count(*) AS samples FROM documents WHERE lang IS NOT NULL GROUP BY lang",
     "p10_quartiles": f"{_CORE} SELECT model, " + ", ".join(f"round(quantile_cont(rouge1_fmeasure, {q}), 9) AS q{i}" for i, q in ((1, 0.25), (2, 0.5), (3, 0.75))) + " FROM core GROUP BY model",
 }

@@ -229,7 +229,7 @@ def _runs(spark, sf_dir):
     return o.select(F.col("o_orderkey").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("started_at"), status.alias("status"), F.to_json(F.struct(F.col("o_totalprice").cast("long").alias("processed"))).alias("stats_json"))
 
 
-RUNS_SQL = "(SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS started_at, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, CAST(trunc(o_totalprice) AS BIGINT) AS processed FROM orders WHERE o_orderkey <= 400)"
+RUNS_SQL = "(SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS started_at, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'running' ELSE 'failed' END AS status, CAST(trunc(o_totalprice) AS BIGINT) AS processed FROM orders)"
 
 
 def k3_run_log(spark, sf_dir):
@@ -293,7 +293,7 @@ SELECT coalesce(o.news_item_id, n.news_item_id) AS news_item_id, coalesce(o.mode
 FROM o FULL JOIN n ON o.news_item_id = n.news_item_id AND o.model_key = n.model_key AND o.language_key = n.language_key""",
     "k3_run_log": f"SELECT status, count(*) AS runs, CAST(sum(processed) AS BIGINT) AS processed FROM {RUNS_SQL} GROUP BY status",
     "o15_latest_run": f"SELECT id, started_at, status FROM {RUNS_SQL} ORDER BY id DESC LIMIT 1",
-    "o4_round_robin": f"WITH e AS (SELECT * FROM {EVENTS_SQL} WHERE event_id < 600), r AS (SELECT event_id, source_key, row_number() OVER (PARTITION BY source_key ORDER BY event_id) AS turn, min(event_id) OVER (PARTITION BY source_key) AS fs FROM e) SELECT event_id, source_key, row_number() OVER (ORDER BY turn, fs) AS turn_order FROM r",
+    "o4_round_robin": f"WITH e AS (SELECT * FROM {EVENTS_SQL}), r AS (SELECT event_id, source_key, row_number() OVER (PARTITION BY source_key ORDER BY event_id) AS turn, min(event_id) OVER (PARTITION BY source_key) AS fs FROM e) SELECT event_id, source_key, row_number() OVER (ORDER BY turn, fs) AS turn_order FROM r",
     "o5_language_budgets": "WITH l AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM documents)) SELECT lang AS language, CAST(203 // n + CASE WHEN idx < 203 % n THEN 1 ELSE 0 END AS BIGINT) AS budget FROM l",
     "s9_gather": f"WITH r AS (SELECT event_id, source_key, published_at, row_number() OVER (PARTITION BY source_key ORDER BY published_at DESC, event_id) AS rn FROM {EVENTS_SQL} WHERE language = 'en') SELECT event_id, source_key, rn FROM r WHERE rn <= 3 ORDER BY published_at DESC, event_id LIMIT 50",
     "a14_ingest_stats": f"SELECT language, count(*) AS processed, count(*) FILTER (success) AS saved, count(*) FILTER (NOT success) AS skipped, count(*) FILTER (event_type = 'click') AS clicks FROM {EVENTS_SQL} GROUP BY language",
