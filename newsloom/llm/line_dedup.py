@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.llm._shared import LOWER, Stored, columns_of, documents_of, lanes_of, lean, mix, range_hashes, steps, unused, words
+from newsloom.llm._shared import LOWER, Stored, columns_of, documents_of, lanes_of, lean, mix, quoted, range_hashes, steps, unused, words
 
 if TYPE_CHECKING:  # workers of Arrow functions don't need it
     import pandas as pd
@@ -452,13 +452,17 @@ class LineIndex:
     def apply(self, docs: DataFrame, names: tuple[str, str, str] = ("kept_text", "n_lines", "n_dropped")) -> DataFrame:
         """``docs`` with three more columns: the kept lines, the number of lines before, and of those dropped. ``names`` must be new."""
         drop, doc = unused(docs, "drop", "of_doc")
-        schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.StringType(), T.LongType(), T.LongType()), strict=True))])
-        run = _Kept((drop, doc, *names))
-        if not self.postings:
-            return docs.withColumn(drop, F.lit(None).cast("array<struct<hi: long, lo: long>>")).mapInArrow(lean(run), schema)
-        found = self.drops().select(F.col("doc_id").alias(doc), F.col("drop").alias(drop))
-        joined = docs.join(found, docs["doc_id"].cast("long") == found[doc], "left").select(*columns_of(docs), drop)
-        return joined.mapInArrow(lean(run), schema)
+        if self.postings:
+            found = self.drops().select(F.col("doc_id").alias(doc), F.col("drop").alias(drop))
+            joined = docs.join(found, F.col("doc_id").cast("long") == F.col(doc), "left").select(*columns_of(docs), F.col(quoted(drop)))
+        else:
+            joined = docs.withColumn(drop, F.lit(None).cast("array<struct<hi: long, lo: long>>"))
+        # Arrow functions take plain names only
+        plain = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+        new = ("kept_text", "n_lines", "n_dropped")
+        fields = [T.StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)]
+        schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in zip(new, (T.StringType(), T.LongType(), T.LongType()), strict=True))])
+        return joined.toDF(*plain, "drop").mapInArrow(lean(_Kept(("drop", "of_doc", *new))), schema).toDF(*docs.columns, *names)
 
 
 class _Kept:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.llm._learn import Adam, sample, sigmoid
 from newsloom.llm._shared import batch_of, documents_of, fold, lean, mix, range_hashes, steps, words
@@ -165,4 +166,6 @@ def keep(docs: DataFrame, model: Mil) -> DataFrame:
                 good = model.score(*passages(data, offs)) >= CUT
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    plain = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # Arrow functions take plain names only
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, docs.schema.fields, strict=True)])
+    return docs.toDF(*plain).mapInArrow(lean(run), schema).toDF(*docs.columns)
