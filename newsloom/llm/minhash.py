@@ -8,11 +8,11 @@ of about 1e-5: 24 at a similarity of 0.85, 38 at 0.80.
 * Equal sets become one class first (grouped minimum), so copies are never compared.
 * Each class that shares a bucket is compared with the smallest class of any of its buckets, on full sets. These stars
   settle most links; a centre of very many is dealt to chunks.
-* Buckets whose classes are all linked by then are done. The classes of the others form clusters (components of bucket
-  links); a cluster's largest linked group needs no comparing inside itself. It and the rest are dealt to blocks of
+* Buckets whose classes are all linked by then are done. The classes of the others form clusters (linked groups that share
+  a bucket, directly or through others); a cluster's largest linked group needs no comparing inside itself. It and the rest are dealt to blocks of
   bounded size; every pair of a block of the group with one of the rest, and of two of the rest, is one unit of work, in which all
   pairs are compared on full sets in numpy. It returns a spanning forest of the links, at most one edge for each document.
-* The components of all those edges are the result: any two classes that share a bucket have met or are linked.
+* Linked groups that these edges join are the result: any two classes that share a bucket have met or are linked.
 
 Shingles are compared as 64-bit hashes: two different ones agree with a probability of 2 to the power of -64.
 
@@ -263,16 +263,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = Stored(star_links(stars.select(F.col("rep").alias("doc_id"), "centre"), sets.df, percent))
     labels = components(edges.df)
     labelled = Stored(members.df.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "bands", F.coalesce("comp", "rep").alias("label")))
-    held = labelled.df.select("rep", "label", F.explode("bands").alias("key"))
-    not_done = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("rep").alias("centre")).where("low < high").select("key", "centre")
-    open_ = Stored(held.join(not_done, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct())
+    held = labelled.df.select("rep", "label", "n", F.explode("bands").alias("key"))
+    not_done = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "low")
+    open_ = Stored(held.join(not_done, "key").select("rep", "label", "n", "low").distinct())
     if not open_.df.isEmpty():
-        clusters = Stored(components(open_.df).join(labelled.df, F.col("node") == F.col("rep")).select("node", F.col("comp").alias("cluster"), "label", "n"))
+        # a linked group is one node here, however many classes it has
+        met = components(open_.df.where("label <> low").select(F.col("label").alias("a"), F.col("low").alias("b")).distinct())
+        clusters = Stored(open_.df.select("rep", "label", "n").distinct().join(met, F.col("label") == F.col("node")).select(F.col("rep").alias("node"), F.col("comp").alias("cluster"), "label", "n"))
         units = cluster_units(clusters.df, sets.df)
-        more = units.repartition("cluster", "side", "x", "y").sortWithinPartitions("cluster", "side", "x", "y", "doc_id").mapInArrow(lean(partial(_compare, percent=percent)), "a long, b long")
-        edges = Stored(edges.df.unionByName(more))
-        labels = components(edges.df)
-        clusters.drop()
+        found = units.repartition("cluster", "side", "x", "y").sortWithinPartitions("cluster", "side", "x", "y", "doc_id").mapInArrow(lean(partial(_compare, percent=percent)), "a long, b long")
+        label_of = lambda end: labelled.df.select(F.col("rep").alias(end), F.col("label").alias(f"label_{end}"))
+        more = Stored(found.join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b").distinct())
+        joined = components(more.df).select(F.col("node").alias("label"), "comp")
+        labels = Stored(labelled.df.join(joined, "label", "left").select(F.col("rep").alias("node"), F.coalesce("comp", "label").alias("comp"))).df
+        for t in (clusters, more):
+            t.drop()
     for t in (open_, labelled, sets, members, edges):
         t.drop()
     of_class = classes.df.join(labels, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
