@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import ann, bpe, chat, html_wrapper, line_dedup, minhash, mixing, quality_mil, quality_rules, toxicity
+from newsloom.llm import ann, bpe, chat, conversation_repair, grid_join, html_wrapper, line_dedup, minhash, mixing, periodic, quality_mil, quality_rules, toxicity
 
 TOKENIZER = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: A conversation whose texts hold control strings of common templates.
@@ -63,7 +63,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.train(docs, read(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_ann, op2_toxicity, op3_quality, op4_minhash, op5_chat_formatting, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_html_extraction, op10_quality_rules)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.periodic_runs(periodic.damaged(read(spark, sf_dir, "documents"))))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audit_damaged(read(spark, sf_dir, "conversations"))
+
+
+def op13_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+_OPERATORS = (op1_ann, op2_toxicity, op3_quality, op4_minhash, op5_chat_formatting, op6_mixing, op7_line_dedup, op8_byte_bpe, op9_html_extraction, op10_quality_rules, op11_periodic_runs, op12_conversation_repair, op13_grid_join)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
 
 _ESC = r"replace(replace(replace({0}, '\', '\\'), '<', '\<'), '>', '\>')"
 ORACLE: dict[str, str] = {
