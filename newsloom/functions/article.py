@@ -205,14 +205,22 @@ def extractive(text: Column, n: int = 280, avoid: Column | None = None) -> Colum
 def degenerate(summary: Column) -> Column:
     """Too few different words, or one too often; pairs of CJK characters stand in for words in short texts."""
     low = F.lower(summary)
-    words = F.regexp_extract_all(low, F.lit(f"({tx.TOKEN})"), F.lit(1))
     signs = F.regexp_extract_all(low, F.lit(f"({tx.CJK})"), F.lit(1))
-    pairs = F.when(F.size(signs) >= 16, F.transform(F.sequence(F.lit(0), F.size(signs) - 2), lambda i: F.concat(F.get(signs, i), F.get(signs, i + 1)))).otherwise(F.array().cast("array<string>"))
-    toks = F.when(F.size(words) >= 8, words).otherwise(pairs)
-    distinct = F.array_distinct(toks)
-    most = F.array_max(F.transform(distinct, lambda d: F.size(F.filter(toks, lambda t: t == d))))
-    n = F.size(toks)
-    return (n >= 8) & ((F.size(distinct) < 0.38 * n) | (most > F.greatest(F.lit(6), F.floor(n / 3))))
+    doubled = lambda c: F.when(F.size(c) >= 16, F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat(F.get(c, i), F.get(c, i + 1)))).otherwise(F.array().cast("array<string>"))
+    toks = tx.let(F.regexp_extract_all(low, F.lit(f"({tx.TOKEN})"), F.lit(1)), lambda words: F.when(F.size(words) >= 8, words).otherwise(tx.let(signs, doubled)))
+    state = lambda x, run, most, distinct: F.struct(x.alias("x"), run.alias("run"), most.alias("most"), distinct.alias("distinct"))
+
+    def step(s: Column, x: Column) -> Column:
+        again = s["x"] == x
+        run = F.when(again, s["run"] + 1).otherwise(1)
+        return state(x, run, F.greatest(s["most"], run), s["distinct"] + F.when(again, 0).otherwise(1))
+
+    def test(found: Column) -> Column:
+        n = F.size(found)
+        runs = F.aggregate(found, state(F.lit(""), F.lit(0), F.lit(0), F.lit(0)), step)
+        return (n >= 8) & tx.let(runs, lambda r: (r["distinct"] < 0.38 * n) | (r["most"] > F.greatest(F.lit(6), F.floor(n / 3))))
+
+    return tx.let(F.array_sort(toks), test)
 
 
 def finalize(summary: Column, source: Column) -> Column:

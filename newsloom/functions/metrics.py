@@ -32,11 +32,23 @@ def ngrams(toks: Column, n: int) -> Column:
     return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(1), F.size(toks) - (n - 1)), lambda i: F.array_join(F.slice(toks, i, n), SEP))).otherwise(F.array().cast("array<string>"))
 
 
+def _tally(a: Column, b: Column, gain) -> Column:
+    """Sum of ``gain(times in a, times in b)`` over the distinct items of both: one sort and one pass, whatever repeats."""
+    sided = lambda xs, side: F.transform(xs, lambda x: F.struct(x.alias("x"), F.lit(side).alias("side")))
+    state = lambda x, n, m, total: F.struct(x.alias("x"), n.alias("n"), m.alias("m"), total.alias("total"))
+
+    def step(s: Column, e: Column) -> Column:
+        n, m = F.when(e["side"] == 0, 1).otherwise(0), F.when(e["side"] == 1, 1).otherwise(0)
+        again = s["x"] == e["x"]
+        return state(e["x"], F.when(again, s["n"] + n).otherwise(n), F.when(again, s["m"] + m).otherwise(m), F.when(again, s["total"]).otherwise(s["total"] + gain(s["n"], s["m"])))
+
+    both = F.array_sort(F.concat(sided(a, 0), sided(b, 1)))
+    return F.aggregate(both, state(F.lit(""), F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["total"] + gain(s["n"], s["m"]))
+
+
 def clipped(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection: sorted arrays are merged by counting each distinct item on both sides."""
-    shared = F.array_intersect(a, b)
-    count = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-    return F.aggregate(shared, F.lit(0), lambda acc, g: acc + F.least(count(a, g), count(b, g)))
+    """Size of the multiset intersection."""
+    return _tally(a, b, F.least)
 
 
 def prf(hits: Column, of_prediction: Column, of_reference: Column) -> tuple[Column, Column, Column]:
@@ -61,17 +73,13 @@ def repetition(toks: Column, n: int) -> Column:
 def novelty(summary: Column, source: Column, n: int) -> Column:
     """Share of the summary's n-gram occurrences that the source doesn't have. The shared ones are found once, by hashing."""
 
-    def share(g: Column) -> Column:
-        known = lambda hits: F.coalesce(1 - F.try_divide(F.size(F.filter(g, lambda x: F.array_contains(hits, x))), F.size(g)), F.lit(0.0))
-        return let(F.array_intersect(g, ngrams(source, n)), known)
-
-    return let(ngrams(summary, n), share)
+    return let(F.struct(ngrams(summary, n).alias("g"), ngrams(source, n).alias("s")), lambda x: novelty_of(x["g"], x["s"]))
 
 
 def novelty_of(grams: Column, of_source: Column) -> Column:
     """M10 on n-grams of both sides."""
-    known = lambda hits: F.coalesce(1 - F.try_divide(F.size(F.filter(grams, lambda x: F.array_contains(hits, x))), F.size(grams)), F.lit(0.0))
-    return let(F.array_intersect(grams, of_source), known)
+    held = _tally(grams, F.array_intersect(grams, of_source), lambda n, m: F.when(m > 0, n).otherwise(0))
+    return F.coalesce(1 - F.try_divide(held, F.size(grams)), F.lit(0.0))
 
 
 def clamp01(x: Column) -> Column:

@@ -105,5 +105,5 @@ QUERIES = {n: globals()[n] for n in _NAMES.split()}
 ORACLE = {
     "t16_prefixes": f"SELECT doc_id, trim(regexp_replace({clean_sql('text')}, '^(?i)' || '(giriş( tarihi)?|yayınlanma tarihi|yayinlanma tarihi|son güncelleme|son guncelleme|güncelleme tarihi|guncelleme tarihi|updated|last updated|published)\\s*[:-]\\s*', '')) AS text FROM documents",
     "g5_summary_cache": f"SELECT lang, count(*) AS n, count(DISTINCT {collapse_sql('text')}) AS texts FROM documents GROUP BY lang",
-    "g2_degenerate": rf"WITH t AS (SELECT doc_id, regexp_extract_all(lower({collapse_sql('text')}), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?') AS w FROM documents) SELECT doc_id, len(w) >= 8 AND (len(list_distinct(w)) < 0.38 * len(w) OR list_max(list_transform(list_distinct(w), lambda d: len(list_filter(w, lambda x: x = d)))) > greatest(6, floor(len(w) / 3))) AS degenerate FROM t",
+    "g2_degenerate": rf"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower({collapse_sql('text')}), '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?')) AS x FROM documents), c AS (SELECT doc_id, x, count(*) AS n FROM t GROUP BY ALL), m AS (SELECT doc_id, sum(n) AS n, count(*) AS different, max(n) AS most FROM c GROUP BY doc_id) SELECT doc_id, coalesce(n >= 8 AND (different < 0.38 * n OR most > greatest(6, floor(n / 3))), FALSE) AS degenerate FROM documents LEFT JOIN m USING (doc_id)",
 }

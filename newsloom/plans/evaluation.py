@@ -431,7 +431,7 @@ ORACLE = {
     "a1_language_summary": f"{_CORE} SELECT language, model, {_STATS}, count(*) AS samples FROM core GROUP BY language, model",
     "a2_macro_summary": f"{_CORE}, l AS (SELECT language, model, {_STATS} FROM core GROUP BY ALL), a AS (SELECT model, " + ", ".join(f"avg({c}_mean) AS {c}_mean" for c in CORE) + " FROM l GROUP BY model), c AS (SELECT model, count(*) AS samples, count(DISTINCT language) AS languages FROM core GROUP BY model) SELECT * FROM a JOIN c USING (model)",
     "a9_metric_statistics": f"{_CORE}, {_LONG} SELECT metric, model, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS std FROM lg GROUP BY ALL",
-    "a10_correlations": f"{_CORE} " + " UNION ALL ".join(f"SELECT model, '{a}|{b}' AS pair, round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) AS r FROM core GROUP BY model" for a, b in combinations(CORE, 2)),
+    "a10_correlations": f"{_CORE}, a AS (SELECT model, " + ", ".join(f'round(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 6) AS "{a}|{b}"' for a, b in combinations(CORE, 2)) + " FROM core GROUP BY model) SELECT model, pair, r FROM a UNPIVOT INCLUDE NULLS (r FOR pair IN (" + ", ".join(f'"{a}|{b}"' for a, b in combinations(CORE, 2)) + "))",
     "a11_win_rates": f"{_CORE}, {_LONG}, w AS (SELECT metric, language, sample_id, model FROM lg QUALIFY row_number() OVER (PARTITION BY metric, language, sample_id ORDER BY {_DIR} DESC, model) = 1), c AS (SELECT metric, language, model, count(*) AS wins FROM w GROUP BY ALL) SELECT *, wins / sum(wins) OVER (PARTITION BY metric, language) AS rate FROM c",
     "a18_ecdf": f"{_CORE} SELECT sample_id, model, round(cume_dist() OVER (PARTITION BY model ORDER BY rouge1_fmeasure), 9) AS ecdf FROM core",
     "a17_density": f"{_CORE} SELECT CAST(least(floor(rouge1_fmeasure * 45), 44) AS INT) AS x, CAST(least(floor(novelty_1gram * 45), 44) AS INT) AS y, count(*) AS n, round(log10(count(*)), 9) AS log_n FROM core GROUP BY 1, 2",
