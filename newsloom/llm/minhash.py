@@ -8,17 +8,22 @@ of about 1e-5: 24 at a similarity of 0.85, 38 at 0.80.
 * Equal sets become one class first (grouped minimum), so copies are never compared.
 * Each class that shares a bucket is compared with the smallest class of any of its buckets, on full sets. These stars
   settle most links; a centre of very many is dealt to chunks.
-* Buckets whose classes are all linked by then are done. The classes of the others form clusters (linked groups that share
-  a bucket, directly or through others); a cluster's largest linked group needs no comparing inside itself. It and the rest are dealt to blocks of
+* Buckets whose classes are all linked by then are done. In the others, classes meet bucket by bucket with their signatures alone
+  (two bytes a component): pairs of two linked groups whose signatures agree in ``AGREE`` of the components or more are candidates; a
+  pair at the bound agrees in fewer with a probability of about 1e-6. So a bucket costs one or two short rows for each member, however few of them are alike. A
+  bucket of more than ``MEET`` classes is dealt to parts; its largest linked group is compared with the rest only.
+* Candidates join linked groups to clusters; a cluster's largest linked group needs no comparing inside itself. It and the rest are dealt to blocks of
   bounded size; every pair of a block of the group with one of the rest, and of two of the rest, is one unit of work, in which all
   pairs are compared on full sets in numpy. It returns a spanning forest of the links, at most one edge for each document.
-* Linked groups that these edges join are the result: any two classes that share a bucket have met or are linked.
+* Linked groups that these edges join are the result: any two classes that share a bucket have met, are linked, or differ by their signatures.
+
+A class is known by a number of its own, not by a doc_id: two texts under one id are two classes, and each row has the verdict of its own text.
 
 Shingles are compared as 64-bit hashes: two different ones agree with a probability of 2 to the power of -64.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; with fewer
 words than a shingle has, the whole sequence is the only one; a row with a null doc_id is linked with nothing and kept;
-repeated rows of one doc_id share its verdict; an empty table gives no rows; extra columns are ignored.
+repeated rows of one doc_id and text share a verdict, those of different texts have one each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,8 +46,10 @@ BANDS, ROWS = {85: 24, 80: 38}, 6
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
 #: Members of a centre that are compared in one task.
 CHUNK = 2000
-SIGNED = "doc_id long, hi long, lo long, n_shingles long, bands array<long>"
-SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64()))])
+#: Classes of a bucket that meet in one unit, and the share of components that agree at least, by the bound in per cent.
+MEET, AGREE = 4096, {85: 0.70, 80: 0.66}
+SIGNED = "doc_id long, hi long, lo long, n_shingles long, bands array<long>, parts binary"
+SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("n_shingles", pa.int64()), ("bands", pa.list_(pa.int64())), ("parts", pa.binary())])
 
 
 @lru_cache
@@ -104,29 +111,38 @@ def band_keys(parts: np.ndarray) -> np.ndarray:
     return keys
 
 
+def set_hashes(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each set. Rows must not be empty."""
+    return np.add.reduceat(mix(values + np.uint64(11)), starts).view(np.int64), np.add.reduceat(mix(values ^ np.uint64(0xABCDEF)), starts).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offs in steps(batch):
             values, ends = shingles(data, offs)
             size = np.diff(ends)
-            has = np.flatnonzero(size > 0)
-            hi, lo, keys = np.zeros((2, len(size)), np.uint64)[0], np.zeros(len(size), np.uint64), np.zeros((0, bands), np.uint64)
+            has, none = np.flatnonzero(size > 0), size == 0
+            hi, lo, keys, parts = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros((0, bands), np.uint64), np.zeros((0, bands * ROWS), np.uint64)
             if len(has):
-                starts = ends[has]
-                keys = band_keys(min_max(values, starts, bands))
-                hi[has] = np.add.reduceat(mix(values + np.uint64(11)), starts)
-                lo[has] = np.add.reduceat(mix(values ^ np.uint64(0xABCDEF)), starts)
-            none = size == 0
+                parts = min_max(values, ends[has], bands)
+                keys = band_keys(parts)
+                hi[has], lo[has] = set_hashes(values, ends[has])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(none, 0, bands))].astype(np.int32)), pa.array(keys.ravel().view(np.int64)))
-            yield batch_of(SIGNED_ARROW, doc_id=part["doc_id"], hi=pa.array(hi.view(np.int64), mask=none), lo=pa.array(lo.view(np.int64), mask=none), n_shingles=size, bands=lists)
+            short = (mix(parts) >> np.uint64(48)).astype(np.uint16)
+            bounds = np.r_[0, np.cumsum(np.where(none, 0, 2 * bands * ROWS))].astype(np.int32)
+            blobs = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds), pa.py_buffer(short.tobytes())])
+            yield batch_of(SIGNED_ARROW, doc_id=part["doc_id"], hi=pa.array(hi, mask=none), lo=pa.array(lo, mask=none), n_shingles=size, bands=lists, parts=blobs)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, offs in steps(batch):
             values, ends = shingles(data, offs)
-            blobs = [values[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(blobs, pa.binary())], names=["doc_id", "shingles"])
+            has = np.flatnonzero(np.diff(ends) > 0)
+            if len(has):
+                hi, lo = set_hashes(values, ends[has])
+                blobs = [values[a:b].tobytes() for a, b in zip(ends[has].tolist(), ends[has + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array(has)), pa.array(hi), pa.array(lo), pa.array(blobs, pa.binary())], names=["doc_id", "hi", "lo", "shingles"])
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -228,6 +244,61 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("centre", "chunk").sortWithinPartitions("centre", "chunk", F.col("doc_id") != F.col("centre")).mapInArrow(lean(partial(_stars, percent=percent)), "a long, b long")
 
 
+def _meet(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit come in; a unit's signatures are held at a time. Pairs of linked groups that may hold a link go out, once each."""
+    unit, rows = None, []
+
+    def pairs() -> pa.RecordBatch:
+        label, side, n = (np.array([r[i] for r in rows]) for i in range(3))
+        by = np.argsort(label, kind="stable")
+        label, side, n = label[by], side[by], n[by]
+        parts = np.frombuffer(b"".join(rows[i][3] for i in by.tolist()), np.uint16).reshape(len(rows), -1)
+        least, found = int(np.ceil(agree * parts.shape[1])), set()
+        both = unit[1] == 0 or unit[2] != unit[3]  # a pair has one of each side
+        after = np.searchsorted(label, label, "right")
+        for i in range(len(label)):
+            to = np.arange(after[i], len(label))
+            fits = 100 * np.minimum(n[to], n[i]) >= min(AGREE) * np.maximum(n[to], n[i])
+            to = to[fits & (side[to] != side[i])] if both else to[fits]
+            if len(to):
+                near = to[np.count_nonzero(parts[to] == parts[i], axis=1) >= least]
+                found |= {(int(label[i]), int(x)) for x in np.unique(label[near])}
+        return _edges(sorted(found))
+
+    for batch in slices(batches, 1024):
+        for *key, label, side, n, blob in zip(*(batch[k].to_pylist() for k in ("key", "kind", "x", "y", "label", "side", "n", "parts")), strict=True):
+            if key != unit:
+                if len(rows) > 1 and (out := pairs()).num_rows:
+                    yield out
+                unit, rows = key, []
+            rows.append((label, side, n, blob))
+    if len(rows) > 1 and (out := pairs()).num_rows:
+        yield out
+
+
+def candidates(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """a, b: linked groups that share a bucket and may hold a link. ``open_``: key, cid, label, n of buckets that aren't done.
+
+    A bucket's largest linked group is side by side with the rest only, and the rest with itself, in parts of about MEET: rows grow with the
+    buckets' members, times the parts of their rest.
+    """
+    groups = open_.groupBy("key", "label").agg(F.count("*").alias("docs"))
+    top = groups.groupBy("key").agg(F.max(F.struct("docs", "label")).alias("t"), F.sum("docs").alias("docs"))
+    parts = lambda docs: F.greatest(F.lit(1), F.ceil(docs / MEET)).cast("int")
+    top = top.select("key", F.col("t.label").alias("top"), parts(F.col("t.docs")).alias("p"), parts(F.col("docs") - F.col("t.docs")).alias("q"))
+    dealt = open_.join(top, "key").withColumn("inside", F.col("label") == F.col("top"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cid"), F.when(F.col("inside"), F.col("p")).otherwise(F.col("q"))).cast("int"))
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    unit = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.cast("int").alias("side"))
+    with_rest = F.transform(upto("q"), lambda j: unit(0, F.col("own"), j, F.lit(0)))
+    with_group = F.transform(upto("p"), lambda i: unit(0, i, F.col("own"), F.lit(1)))
+    in_rest = F.transform(upto("q"), lambda j: unit(1, F.least("own", j), F.greatest("own", j), F.when(F.col("own") <= j, 0).otherwise(1)))
+    units = dealt.select("key", "cid", "label", "n", F.explode(F.when(F.col("inside"), with_rest).otherwise(F.concat(with_group, in_rest))).alias("u"))
+    rows = units.select("key", "u.*", "cid", "label", "n").join(members.select("cid", "parts"), "cid")
+    order = ("key", "kind", "x", "y")
+    return rows.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(partial(_meet, agree=AGREE[percent])), "a long, b long").distinct()
+
+
 def cluster_units(clusters: DataFrame, sets: DataFrame) -> DataFrame:
     """cluster, side, x, y, doc_id, shingles. ``clusters``: node, cluster, label (linked group), n (shingles)."""
     groups = clusters.groupBy("cluster", "label").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
@@ -251,36 +322,43 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = documents_of(docs)
     signed = Stored(docs.mapInArrow(lean(partial(_sign, bands=BANDS[percent])), SIGNED))
     usable = signed.df.where("hi is not null and doc_id is not null")
-    classes = Stored(usable.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("hi", "lo", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands")))
-    keys = classes.df.select("rep", F.explode("bands").alias("key"))
+    first = usable.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "parts")).alias("r"))
+    # numbered as they are written, so a class has one number for good
+    classes = Stored(first.select(F.monotonically_increasing_id().alias("cid"), "hi", "lo", F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), F.col("r.bands").alias("bands"), F.col("r.parts").alias("parts")))
+    keys = classes.df.select("cid", F.explode("bands").alias("key"))
     # the smallest class of every bucket of two or more; grouped partially before the shuffle
-    centre = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("most")).where("centre < most").drop("most")
-    stars = Stored(keys.join(centre, "key").where("rep <> centre").groupBy("rep").agg(F.min("centre").alias("centre"))).df
-    nodes = stars.select(F.col("rep").alias("node")).unionByName(stars.select(F.col("centre").alias("node"))).distinct()
-    # one set for each class; repeated rows of an id have one text between them
-    members = Stored(classes.df.join(nodes, F.col("rep") == F.col("node"), "left_semi").select("rep", "n", "bands"))
-    sets = Stored(docs.join(members.df.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(lean(_sets), "doc_id long, shingles binary").dropDuplicates(["doc_id"]))
-    edges = Stored(star_links(stars.select(F.col("rep").alias("doc_id"), "centre"), sets.df, percent))
+    centre = keys.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("most")).where("centre < most").drop("most")
+    stars = Stored(keys.join(centre, "key").where("cid <> centre").groupBy("cid").agg(F.min("centre").alias("centre")))
+    nodes = stars.df.select(F.col("cid").alias("node")).unionByName(stars.df.select(F.col("centre").alias("node"))).distinct()
+    members = Stored(classes.df.join(nodes, F.col("cid") == F.col("node"), "left_semi"))
+    # one set for each class: the text under its id that has its hashes
+    of_class = members.df.select(F.col("cid").alias("doc_id"), "hi", "lo", "rep")
+    read = docs.join(of_class.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(lean(_sets), "rep long, hi long, lo long, shingles binary")
+    sets = Stored(read.join(of_class, ["rep", "hi", "lo"]).select("doc_id", "shingles").dropDuplicates(["doc_id"]))
+    edges = Stored(star_links(stars.df.select(F.col("cid").alias("doc_id"), "centre"), sets.df, percent))
     labels = components(edges.df)
-    labelled = Stored(members.df.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "n", "bands", F.coalesce("comp", "rep").alias("label")))
-    held = labelled.df.select("rep", "label", "n", F.explode("bands").alias("key"))
-    not_done = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key", "low")
-    open_ = Stored(held.join(not_done, "key").select("rep", "label", "n", "low").distinct())
-    if not open_.df.isEmpty():
+    labelled = Stored(members.df.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "n", "bands", F.coalesce("comp", "cid").alias("label")))
+    held = labelled.df.select("cid", "label", "n", F.explode("bands").alias("key"))
+    not_done = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    open_ = Stored(held.join(not_done, "key"))
+    maybe = Stored(candidates(open_.df, members.df, percent))
+    if not maybe.df.isEmpty():
         # a linked group is one node here, however many classes it has
-        met = components(open_.df.where("label <> low").select(F.col("label").alias("a"), F.col("low").alias("b")).distinct())
-        clusters = Stored(open_.df.select("rep", "label", "n").distinct().join(met, F.col("label") == F.col("node")).select(F.col("rep").alias("node"), F.col("comp").alias("cluster"), "label", "n"))
+        met = components(maybe.df)
+        clusters = Stored(open_.df.select("cid", "label", "n").distinct().join(met, F.col("label") == F.col("node")).select(F.col("cid").alias("node"), F.col("comp").alias("cluster"), "label", "n"))
         units = cluster_units(clusters.df, sets.df)
         found = units.repartition("cluster", "side", "x", "y").sortWithinPartitions("cluster", "side", "x", "y", "doc_id").mapInArrow(lean(partial(_compare, percent=percent)), "a long, b long")
-        label_of = lambda end: labelled.df.select(F.col("rep").alias(end), F.col("label").alias(f"label_{end}"))
+        label_of = lambda end: labelled.df.select(F.col("cid").alias(end), F.col("label").alias(f"label_{end}"))
         more = Stored(found.join(label_of("a"), "a").join(label_of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).where("a <> b").distinct())
         joined = components(more.df).select(F.col("node").alias("label"), "comp")
-        labels = Stored(labelled.df.join(joined, "label", "left").select(F.col("rep").alias("node"), F.coalesce("comp", "label").alias("comp"))).df
+        labels = Stored(labelled.df.join(joined, "label", "left").select(F.col("cid").alias("node"), F.coalesce("comp", "label").alias("comp"))).df
         for t in (clusters, more):
             t.drop()
-    for t in (open_, labelled, sets, members, edges):
+    grouped = classes.df.join(labels, F.col("cid") == F.col("node"), "left").select("hi", "lo", "rep", F.coalesce("comp", "cid").alias("comp"))
+    least = grouped.groupBy("comp").agg(F.min("rep").alias("component"))
+    of_set = Stored(grouped.join(least, "comp").select("hi", "lo", "component")).df
+    for t in (maybe, open_, labelled, sets, members, edges, stars, classes):
         t.drop()
-    of_class = classes.df.join(labels, F.col("rep") == F.col("node"), "left").select("hi", "lo", F.coalesce("comp", "rep").alias("component"))
-    whole = signed.df.withColumn("hi", F.when(F.col("doc_id").isNotNull(), F.col("hi"))).join(of_class, ["hi", "lo"], "left")
+    whole = signed.df.select("doc_id", "n_shingles", "hi", "lo").withColumn("hi", F.when(F.col("doc_id").isNotNull(), F.col("hi"))).join(of_set, ["hi", "lo"], "left")
     component = F.coalesce("component", "doc_id")
     return whole.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

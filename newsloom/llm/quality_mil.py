@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from newsloom.llm._learn import Adam, sample, sigmoid
 from newsloom.llm._shared import batch_of, documents_of, fold, lean, mix, range_hashes, steps, words
 
-#: Documented bounds of the training sample: documents of label 0 and 1, and code points of each.
-SAMPLE, SAMPLE_CHARS = (700, 1000), 2_000_000
+#: Documented bound of the training sample: documents of label 0 and 1 (of any length; ``_learn.spread`` bounds what is read of one).
+SAMPLE = (700, 1000)
 FOLDS, HELD_OUT = 4, 2
 PASSAGE, HIDDEN, GATE, EPOCHS, CUT = 48, 16, 12, 60, 0.7
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digit": range(48, 58), "symbol": b"#*$%&<>", "pipe": b"|", "stop": b".,;:?", "bang": b"!", "other": b"=@^~_{}[]\\/+\"'()-", "high": range(128, 256)}
@@ -126,7 +126,7 @@ def fit(x: np.ndarray, ends: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, se
 
 def train(docs: DataFrame, labels: DataFrame) -> Mil:
     """Learns from labels.quality of documents outside the held-out fold, within the documented sample."""
-    rows = sample(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE, SAMPLE_CHARS)
+    rows = sample(docs, labels, "quality", FOLDS, HELD_OUT, SAMPLE)
     y = rows["label"].to_numpy(float)
     if len(set(y)) < 2:
         return Mil({}, np.zeros(0), np.zeros(0), float(y.mean()) if len(y) else 0.5)

@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm._shared import batch_of, counts_by_row, documents_of, fold, lean, mix, range_hashes, steps, words
+from newsloom.llm._learn import labelled, texts_of
+from newsloom.llm._shared import batch_of, counts_by_row, documents_of, lean, mix, range_hashes, steps, words
 
-#: Documented bound of the training sample: documents, and code points of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 800, 2_000_000
+#: Documented bound of the training sample: documents (of any length; ``_learn.spread`` bounds what is read of one).
+SAMPLE_DOCS = 800
 #: Documents whose crc32(id) modulo 4 is 2 stay out of the sample, as in the quality classifier.
 FOLDS, HELD_OUT = 4, 2
 CONTENT_SHARE = 0.5
@@ -211,10 +212,9 @@ ALL_CONTENT = Crf(np.r_[10.0, np.zeros(N_FEATURES - 1)], np.zeros((2, 2)))
 
 
 def train(docs: DataFrame, labels: DataFrame, most_docs: int = SAMPLE_DOCS) -> Crf:
-    """Fits on at most ``most_docs`` labelled documents, the first by hash of the id, of at most SAMPLE_CHARS code points."""
-    lab = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    lab = lab.where(fold("doc_id", FOLDS) != HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    rows = documents_of(docs).join(F.broadcast(lab), "doc_id").where((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS)).groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).toPandas().sort_values("doc_id")
+    """Fits on at most ``most_docs`` labelled documents, the first by hash of the id, whatever their length."""
+    first = labelled(docs, labels, "quality", FOLDS, HELD_OUT).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
+    rows = texts_of(docs, first).rename(columns={"label": "quality"})
     if rows["quality"].nunique() < 2:
         return ALL_CONTENT
     batch = pa.RecordBatch.from_arrays([pa.array(rows["text"], pa.large_string())], names=["text"])

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from newsloom.llm._learn import Adam, logistic, sample, sigmoid
 from newsloom.llm._shared import LOWER, batch_of, distinct, documents_of, fold, lean, mix, range_hashes, steps, words
 
-#: Documented bounds of the training sample: documents of label 0 and 1, and code points of each.
-SAMPLE, SAMPLE_CHARS = (1200, 700), 2_000_000
+#: Documented bound of the training sample: documents of label 0 and 1 (of any length; ``_learn.spread`` bounds what is read of one).
+SAMPLE = (1200, 700)
 FOLDS, HELD_OUT, CUT = 3, 1, 0.7
 WINDOW, STRIDE, HIDDEN = 64, 32, 8
 PREFIXES = (3, 4, 5, 6, 7, 8, 10)
@@ -310,7 +310,7 @@ def fit(w: Words, y: np.ndarray, parts: int = 4, seed: int = 2) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labels.toxic of documents outside the held-out fold, within the documented sample."""
-    rows = sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE, SAMPLE_CHARS)
+    rows = sample(docs, labels, "toxic", FOLDS, HELD_OUT, SAMPLE)
     y = rows["label"].to_numpy(float)
     if len(set(y)) < 2:
         return Model(*[None] * len(Model._fields))
