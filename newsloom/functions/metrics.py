@@ -188,29 +188,53 @@ def meteor(ref: pd.Series, pred: pd.Series) -> pd.Series:
     return pd.Series([_meteor(list(a), list(b)) for a, b in zip(ref, pred, strict=True)], dtype="float64")
 
 
-def _fragments(source: list[str], summary: list[str]) -> tuple[float, float]:
+def _automaton(source: list[str]) -> list[dict[str, int]]:
+    """The transitions of the suffix automaton: from state 0, exactly the pieces of the source can be read."""
+    to: list[dict[str, int]] = [{}]
+    link, size, last = [-1], [0], 0
+    for token in source:
+        new, at = len(to), last
+        to.append({})
+        size.append(size[last] + 1)
+        link.append(0)
+        while at >= 0 and token not in to[at]:
+            to[at][token] = new
+            at = link[at]
+        if at >= 0:
+            known = to[at][token]
+            if size[known] == size[at] + 1:
+                link[new] = known
+            else:  # the shorter pieces of ``known`` get a state of their own
+                copy = len(to)
+                to.append(dict(to[known]))
+                size.append(size[at] + 1)
+                link.append(link[known])
+                while at >= 0 and to[at].get(token) == known:
+                    to[at][token] = copy
+                    at = link[at]
+                link[known] = link[new] = copy
+        last = new
+    return to
+
+
+def _fragments(to: list[dict[str, int]], summary: list[str]) -> tuple[float, float]:
     """From left to right the longest piece that the source has too; its words' share, and squared lengths per word."""
-    from collections import defaultdict
-
-    if not summary or not source:
+    if not summary or not to[0]:
         return 0.0, 0.0
-    starts = defaultdict(list)
-    for i, t in enumerate(source):
-        starts[t].append(i)
     at, covered, squares = 0, 0, 0
     while at < len(summary):
-        best = 0
-        for i in starts.get(summary[at], ()):
-            n = 1
-            while at + n < len(summary) and i + n < len(source) and summary[at + n] == source[i + n]:
-                n += 1
-            best = max(best, n)
+        state, best = 0, 0
+        while at + best < len(summary) and (new := to[state].get(summary[at + best])) is not None:
+            state, best = new, best + 1
         covered, squares, at = covered + best, squares + best * best, at + max(1, best)
     return covered / len(summary), squares / len(summary)
 
 
 @F.pandas_udf(T.StructType([T.StructField("coverage", T.DoubleType()), T.StructField("density", T.DoubleType())]))
 def fragments(source: pd.Series, summary: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_fragments(list(a), list(b)) for a, b in zip(source, summary, strict=True)], columns=["coverage", "density"], dtype="float64")
-
-
+    out, known, to = [], None, [{}]
+    for a, b in zip(source, summary, strict=True):
+        if (tokens_ := list(a)) != known:  # rows of one source follow one another
+            known, to = tokens_, _automaton(tokens_)
+        out.append(_fragments(to, list(b)))
+    return pd.DataFrame(out, columns=["coverage", "density"], dtype="float64")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
+from newsloom.operators.ranks import percentiles
 from newsloom.plans.evaluation import SPACE_SQL, collapse_sql
 from newsloom.session import table
+from newsloom.storage import Stored
 
 CJK_SQL = r"[\x{4e00}-\x{9fff}\x{3040}-\x{30ff}\x{ac00}-\x{d7a3}]"
 CJK_WIDE_SQL = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}]"
@@ -15,11 +19,17 @@ PERCENTS = (("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95",
 SPLIT_SQL = "CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END"
 
 
-def describe(column: str, prefix: str | None = None) -> list[Column]:
-    """A4: nine numbers; the deviation of a single row is 0; percentiles are interpolated exactly."""
-    p = prefix or column
-    q = F.percentile(column, F.array(*[F.lit(v) for _, v in PERCENTS]))
-    return [F.avg(column).alias(f"{p}_mean"), F.when(F.count(column) == 1, 0.0).otherwise(F.stddev_samp(column)).alias(f"{p}_std"), F.min(column).cast("double").alias(f"{p}_min"), *[q[i].alias(f"{p}_{n}") for i, (n, _) in enumerate(PERCENTS)], F.max(column).cast("double").alias(f"{p}_max")]
+def describe(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """A4: nine numbers of each column; the deviation of a single row is 0; percentiles are interpolated exactly."""
+    kept = Stored(rows.select(*keys, *columns)).df
+    plain = []
+    for c in columns:
+        plain += [F.avg(c).alias(f"{c}_mean"), F.when(F.count(c) == 1, 0.0).otherwise(F.stddev_samp(c)).alias(f"{c}_std"), F.min(c).cast("double").alias(f"{c}_min"), F.max(c).cast("double").alias(f"{c}_max")]
+    values = kept.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")).select(*keys, "x.*")
+    found = percentiles(values, [*keys, "name"], "value", dict(PERCENTS))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == c, F.col(n))).alias(f"{c}_{n}") for c in columns for n, _ in PERCENTS]).withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    return kept.groupBy(*keys).agg(*plain).join(wide, same, "left").drop(*[f"__{k}" for k in keys])
 
 
 def describe_sql(c: str) -> str:
@@ -119,7 +129,7 @@ _MEASURED = f"m AS (SELECT doc_id, lang AS language, {SPLIT_SQL} AS split, lengt
 
 def a4_length_summary(spark, sf_dir):
     d = _measured(spark, sf_dir)
-    return d.groupBy("language", "split").agg(*describe("text_chars"), *describe("text_tokens"), *describe("summary_chars"))
+    return describe(d, ["language", "split"], ["text_chars", "text_tokens", "summary_chars"])
 
 
 def a5_missing_fields(spark, sf_dir):

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import metrics as m
+from newsloom.operators.ranks import ecdf, percentiles
 from newsloom.session import table
+from newsloom.storage import Stored
 
 MODELS = ("mbart-xlsum-2", "mbart50_xlsum", "mt5-xlsum")
 #: Direction of metrics: everything is better when higher, but for these.
@@ -73,6 +75,15 @@ def evaluate(rows: DataFrame) -> DataFrame:
     return t.withColumn("capability_overall", sum(five[1:], five[0]) / 5).drop("__s", "__r", "__g", "__r2", "__g2", "__shared", "__len", "__h1", "__h2", "__lcs", "__fr")
 
 
+def statistics(rows: DataFrame) -> DataFrame:
+    """Mean, median and deviation of each metric and model on long rows, which are made once."""
+    kept = Stored(rows).df
+    middle = percentiles(kept, ["metric", "model"], "value", {"median": 0.5}).withColumnsRenamed({"metric": "__metric", "model": "__model"})
+    by = kept.groupBy("metric", "model").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    same = F.col("metric").eqNullSafe(F.col("__metric")) & F.col("model").eqNullSafe(F.col("__model"))
+    return by.join(middle, same, "left").select("metric", "model", "mean", "median", "std")
+
+
 def describe_by(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """A1: mean and sample deviation of each metric, and the number of samples; null keys are groups."""
     return rows.groupBy(*keys).agg(*[f(c).alias(f"{c}_{n}") for c in metrics for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))], F.count("sample_id").alias("samples"))
@@ -205,7 +216,7 @@ def a2_macro_summary(spark, sf_dir):
 
 
 def a9_metric_statistics(spark, sf_dir):
-    return long(_core(spark, sf_dir), ["model"], list(CORE)).groupBy("metric", "model").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"))
+    return statistics(long(_core(spark, sf_dir), ["model"], list(CORE)))
 
 
 def a10_correlations(spark, sf_dir):
@@ -222,7 +233,8 @@ def a11_win_rates(spark, sf_dir):
 
 
 def a18_ecdf(spark, sf_dir):
-    return _core(spark, sf_dir).select("sample_id", "model", F.round(F.cume_dist().over(Window.partitionBy("model").orderBy("rouge1_fmeasure")), 9).alias("ecdf"))
+    rows = _core(spark, sf_dir).select("sample_id", "model", "rouge1_fmeasure")
+    return ecdf(rows, ["model"], "rouge1_fmeasure").select("sample_id", "model", F.round("ecdf", 9).alias("ecdf"))
 
 
 def a17_density(spark, sf_dir):
@@ -307,7 +319,7 @@ def a2_all_metrics(spark, sf_dir):
 
 
 def a9_all_metrics(spark, sf_dir):
-    return long(_all(spark, sf_dir), ["model"], list(METRICS)).groupBy("metric", "model").agg(F.avg("value").alias("mean"), F.median("value").alias("median"), F.stddev_samp("value").alias("std"))
+    return statistics(long(_all(spark, sf_dir), ["model"], list(METRICS)))
 
 
 def a10_all_metrics(spark, sf_dir):
@@ -357,8 +369,8 @@ def p12_scatter(spark, sf_dir):
 
 
 def p10_quartiles(spark, sf_dir):
-    q = F.percentile("rouge1_fmeasure", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return _core(spark, sf_dir).groupBy("model").agg(q.alias("q")).select("model", *[F.round(F.col("q")[i], 9).alias(f"q{i + 1}") for i in range(3)])
+    found = percentiles(_core(spark, sf_dir), ["model"], "rouge1_fmeasure", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return found.select("model", *[F.round(q, 9).alias(q) for q in ("q1", "q2", "q3")])
 
 
 _NAMES = "m15_evaluation_rows m5_rouge m9_m10_repetition_novelty m12_sentence_lengths m14_flesch m15_vocabulary a1_language_summary a2_macro_summary a9_metric_statistics a10_correlations a11_win_rates a18_ecdf a17_density o7_metric_ranks o8_language_ranks r0_heatmap r5_language_deltas r6_sample_deltas r7_cross_run p10_quartiles a1_all_metrics a2_all_metrics a9_all_metrics a10_all_metrics a11_all_metrics o8_all_metrics r5_all_metrics r6_all_metrics p3_radar p4_tradeoffs p9_samples_by_language p12_scatter"
