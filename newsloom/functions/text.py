@@ -61,24 +61,23 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
 
 
-def unescape(text: Column, rounds: int = 1) -> Column:
-    """HTML character references, up to ``rounds`` times. Texts without & never leave the JVM's values: the Arrow UDF sees them as they are."""
-    @F.pandas_udf("string")
-    def decoded(col: pd.Series) -> pd.Series:
-        import html
+@F.pandas_udf(T.StringType())
+def _unescaped(col: pd.Series, rounds: pd.Series) -> pd.Series:
+    import html
+
+    def one(value, most):
+        for _ in range(most):
+            value, before = html.unescape(value), value
+            if value == before:
+                break
+        return value
 
-        def one(value):
-            for _ in range(rounds):
-                if value is None or "&" not in value:
-                    break
-                value, before = html.unescape(value), value
-                if value == before:
-                    break
-            return value
+    return pd.Series([None if v is None else one(v, n) for v, n in zip(col, rounds, strict=True)], dtype=object)
 
-        return col.map(one, na_action="ignore")
 
-    return decoded(text)
+def unescape(text: Column, rounds: int = 1) -> Column:
+    """HTML character references, up to ``rounds`` times. Of a text without & only a null goes to the Python worker and comes back."""
+    return F.when(F.contains(text, F.lit("&")), _unescaped(F.when(F.contains(text, F.lit("&")), text), F.lit(rounds))).otherwise(text)
 
 
 def normalize(text: Column) -> Column:
@@ -280,10 +279,15 @@ def normalize_extracted(col: pd.Series) -> pd.Series:
     return col.map(full)
 
 
+#: Encodings that are tried for East Asian pages, hints at them, and the weights of a reading.
 CJK_ENCODINGS = ("cp932", "shift_jis", "euc-jp", "cp949", "euc-kr", "gb18030", "gbk", "big5")
 CJK_HINTS = ("shift_jis", "shift-jis", "sjis", "cp932", "euc-jp", "iso-2022-jp", "cp949", "euc-kr", "gb18030", "gbk", "gb2312", "big5")
 
 
+#: Weights of a reading: a character, a lost one, a mark of damage, valid UTF-8, an East Asian sign where they are expected, a Western encoding.
+PER_CHAR, LOST, DAMAGE, VALID, ASIAN, WESTERN = 0.001, 8, 4, 6, 0.35, 1.5
+
+
 def charset_of(header: Column) -> Column:
     """From a Content-Type header."""
     return F.regexp_extract(F.coalesce(header, F.lit("")), r"(?i)charset\s*=\s*([A-Za-z0-9._-]+)", 1)
@@ -318,16 +322,16 @@ def _decoded(data: bytes | None, header: str | None, language: str | None) -> st
 
     def score(name: str, value: str) -> float:
         signs = _signs(value)
-        total = len(value) * 0.001 - 8 * value.count("\ufffd") - 4 * _bad(value) + 6 * (name == "utf-8" and valid)
+        total = len(value) * PER_CHAR - LOST * value.count("\ufffd") - DAMAGE * _bad(value) + VALID * (name == "utf-8" and valid)
+        kana, hangul = len(re.findall("[\u3040-\u30ff]", value)), len(re.findall("[\uac00-\ud7af]", value))
         if asian:
-            total += 0.35 * signs
-            if language == "ja":
-                kana, hangul = len(re.findall("[\u3040-\u30ff]", value)), len(re.findall("[\uac00-\ud7af]", value))
-                total -= min(420.0, 8.0 * hangul) * (hangul > 12 and hangul > 0.6 * kana)
+            total += ASIAN * signs
+            if language == "ja" and hangul > 12 and hangul > 0.6 * kana:
+                total -= min(420.0, 8.0 * hangul)
         else:
             mixed = len(re.findall("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]", value))
-            total -= min(420.0, 6.0 * signs) * (signs > 8) + min(320.0, 14.0 * mixed) * (mixed >= 3)
-        return total - 1.5 * (name in ("latin-1", "iso-8859-1", "cp1252") and not signs)
+            total -= (min(420.0, 6.0 * signs) if signs > 8 else 0) + (min(320.0, 14.0 * mixed) if mixed >= 3 else 0)
+        return total - (WESTERN if name in ("latin-1", "iso-8859-1", "cp1252") and not signs else 0)
 
     readings = []
     for name in dict.fromkeys(filter(None, names)):
