@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
 
 MAX_ARTICLE_CHARS = 12_000
-NOTHING = "cast(array() as array<struct<s: string, low: string, words: array<string>>>)"
+NOTHING = "cast(array() as array<struct<s: string, low: string, words: array<string>, bits: bigint>>)"
 #: Clean-up patterns for every source, by source key and by site.
 CLEANUP = (
     "(?<![\\p{L}\\p{N}_])(read more|continue reading|devamı için tıklayın)(?![\\p{L}\\p{N}_])",
@@ -41,12 +39,23 @@ CLEANUP_BY_SOURCE = {
 
 
 def _profiled(segments: Column) -> Column:
-    """Each segment with what comparisons need, computed once."""
-    return F.transform(segments, lambda s: F.struct(s.alias("s"), F.lower(s).alias("low"), tx.word_set(s).alias("words")))
+    """Each segment with what comparisons need, computed once; a bit of ``bits`` is set if a word has that hash."""
+    bits = lambda words: F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a.bitwiseOR(_bit(w)))
+    return F.transform(segments, lambda s: tx.let(tx.word_set(s), lambda words: F.struct(s.alias("s"), F.lower(s).alias("low"), words.alias("words"), bits(words).alias("bits"))))
+
+
+def _bit(word: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(word), F.lit(64)).cast("int"))
+
+
+def _may_share(a: Column, b: Column, threshold: float) -> Column:
+    """False only where too many words of one can't be in the other: a bit that it lacks is a word that it lacks."""
+    left = lambda x, y: F.size(x["words"]) - F.bit_count(x["bits"].bitwiseAND(F.bitwise_not(y["bits"])))
+    return F.least(left(a, b), left(b, a)) >= threshold * F.least(F.size(a["words"]), F.size(b["words"])) - 1e-9
 
 
 def _alike(a: Column, b: Column, threshold: float) -> Column:
-    return (a["low"] == b["low"]) | F.coalesce(tx.overlap(a["words"], b["words"]) >= threshold, F.lit(False))
+    return (a["low"] == b["low"]) | F.when(_may_share(a, b, threshold), F.coalesce(tx.overlap(a["words"], b["words"]) >= threshold, F.lit(False))).otherwise(False)
 
 
 def unlike_recent(segments: Column, last: int, threshold: float) -> Column:
@@ -80,13 +89,12 @@ def score(text: Column) -> Column:
     """T19 on clean text."""
     size = F.length(text)
     letters = F.regexp_count(text, F.lit("[A-Za-zÀ-ÖØ-öø-ÿÇĞİÖŞÜçğıöşüА-Яа-я一-龯ぁ-んァ-ン]"))
-    count = lambda patterns: reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(f"(?iu){p}")) for p in patterns])
     phrases = [f"{tx.LEFT}(?:{p}){tx.RIGHT}" for p in tx.BOILERPLATE] + [f"{tx.LEFT}{p}" for p in tx.BOILERPLATE_OPEN]
 
     def total(sents: Column) -> Column:
         repeated = F.greatest(F.lit(0), F.size(sents) - F.size(dedupe_segments(sents)))
         plus = F.least(size, F.lit(MAX_ARTICLE_CHARS)) * 0.12 + F.size(sents) * 32 + letters / F.greatest(F.lit(1), size) * 170
-        minus = count(phrases) * 180 + count(tx.CODE_NOISE) * 260 + tx.mojibake_count(text) * 85 + repeated * 130
+        minus = tx.hits(text, phrases) * 180 + tx.hits(text, tx.CODE_NOISE) * 260 + tx.mojibake_count(text) * 85 + repeated * 130
         short = F.when(size < 160, 320).otherwise(0) + F.when(tx.word_like_count(text) < 40, 120).otherwise(0) + F.when(F.size(sents) < 2, 140).otherwise(0)
         return plus - minus - short
 

@@ -109,7 +109,42 @@ def occurrences(text: Column, part: str) -> Column:
 def mojibake_count(text: Column) -> Column:
     """Overlapping on purpose; every marker, sequence and pattern counts by itself."""
     parts = [occurrences(text, m) for m in (*MOJIBAKE_SINGLE, *MOJIBAKE_SEQUENCES)] + [F.regexp_count(text, F.lit(p)) for p in MOJIBAKE_PATTERNS]
-    return reduce(lambda a, b: a + b, parts).cast("long")
+    firsts = "".join(sorted({m[0] for m in (*MOJIBAKE_SINGLE, *MOJIBAKE_SEQUENCES)}))
+    return F.when(text.rlike(f"[{firsts}ä-é]"), reduce(lambda a, b: a + b, parts)).otherwise(0).cast("long")
+
+
+#: Letters that patterns take for ASCII ones when they ignore case, and these.
+FOLDED = ("İıſK", "iisk")
+
+
+def stem(pattern: str) -> str:
+    """The literal beginning of a pattern, in lower case: a text without it has no match."""
+    out, rest = "", pattern.removeprefix(LEFT).removeprefix("(?:").removeprefix(LEFT)
+    while rest:
+        if rest[0] == "\\" and len(rest) > 1 and not rest[1].isalnum():
+            out, rest = out + rest[1], rest[2:]
+        elif rest[0] in "\\([.|^$)":
+            return "" if rest[0] == "|" else out
+        elif rest[0] in "?*{":
+            return out[:-1]
+        elif rest[0] == "+":
+            return out
+        else:
+            out, rest = out + rest[0], rest[1:]
+    return out
+
+
+def hits(text: Column, patterns) -> Column:
+    """Matches of all patterns, ignoring case, each counted by itself; a pattern is tried only where its stem occurs."""
+
+    def total(low: Column) -> Column:
+        counts = []
+        for p in patterns:
+            count = F.regexp_count(text, F.lit(f"(?iu){p}"))
+            counts.append(F.when(low.contains(s), count).otherwise(0) if (s := stem(p).lower()) else count)
+        return reduce(lambda a, b: a + b, counts)
+
+    return let(F.lower(F.translate(text, *FOLDED)), total)
 
 
 def cjk_count(text: Column) -> Column:
