@@ -10,7 +10,7 @@ of about 1e-5: 24 at a similarity of 0.85, 38 at 0.80.
   settle most links; a centre of very many is dealt to chunks.
 * Buckets whose classes are all linked by then are done. In the others, classes meet bucket by bucket with their signatures alone
   (two bytes a component): pairs of two linked groups whose signatures agree in ``AGREE`` of the components or more are candidates; a
-  pair at the bound agrees in fewer with a probability of about 1e-6. So a bucket costs one or two short rows for each member, however few of them are alike. A
+  pair at the bound agrees in fewer with a probability of about 1e-6. A forest of these goes on, no list of pairs. So a bucket costs one or two short rows for each member, however few of them are alike. A
   bucket of more than ``MEET`` classes is dealt to parts; its largest linked group is compared with the rest only.
 * Candidates join linked groups to clusters; a cluster's largest linked group needs no comparing inside itself. It and the rest are dealt to blocks of
   bounded size; every pair of a block of the group with one of the rest, and of two of the rest, is one unit of work, in which all
@@ -245,7 +245,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _meet(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit come in; a unit's signatures are held at a time. Pairs of linked groups that may hold a link go out, once each."""
+    """Rows sorted by unit come in; a unit's signatures are held at a time. A spanning forest of the linked groups that may hold a link goes out."""
     unit, rows = None, []
 
     def pairs() -> pa.RecordBatch:
@@ -253,16 +253,18 @@ def _meet(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.Record
         by = np.argsort(label, kind="stable")
         label, side, n = label[by], side[by], n[by]
         parts = np.frombuffer(b"".join(rows[i][3] for i in by.tolist()), np.uint16).reshape(len(rows), -1)
-        least, found = int(np.ceil(agree * parts.shape[1])), set()
+        least, found = int(np.ceil(agree * parts.shape[1])), []
         both = unit[1] == 0 or unit[2] != unit[3]  # a pair has one of each side
-        after = np.searchsorted(label, label, "right")
+        after, group = np.searchsorted(label, label, "right"), label.copy()
         for i in range(len(label)):
-            to = np.arange(after[i], len(label))
-            fits = 100 * np.minimum(n[to], n[i]) >= min(AGREE) * np.maximum(n[to], n[i])
-            to = to[fits & (side[to] != side[i])] if both else to[fits]
+            # groups that have met need no further pair: their cluster is compared on full sets
+            fits = (group[after[i] :] != group[i]) & (100 * np.minimum(n[after[i] :], n[i]) >= min(AGREE) * np.maximum(n[after[i] :], n[i]))
+            to = after[i] + np.flatnonzero(fits & (side[after[i] :] != side[i]) if both else fits)
             if len(to):
-                near = to[np.count_nonzero(parts[to] == parts[i], axis=1) >= least]
-                found |= {(int(label[i]), int(x)) for x in np.unique(label[near])}
+                for k in to[np.count_nonzero(parts[to] == parts[i], axis=1) >= least].tolist():
+                    if group[k] != group[i]:
+                        found.append((int(label[i]), int(label[k])))
+                        group[group == group[k]] = group[i]
         return _edges(sorted(found))
 
     for batch in slices(batches, 1024):
@@ -277,7 +279,7 @@ def _meet(batches: Iterator[pa.RecordBatch], agree: float) -> Iterator[pa.Record
 
 
 def candidates(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """a, b: linked groups that share a bucket and may hold a link. ``open_``: key, cid, label, n of buckets that aren't done.
+    """a, b: edges that connect linked groups which share a bucket and may hold a link. ``open_``: key, cid, label, n of buckets that aren't done.
 
     A bucket's largest linked group is side by side with the rest only, and the rest with itself, in parts of about MEET: rows grow with the
     buckets' members, times the parts of their rest.
