@@ -217,7 +217,7 @@ def _automaton(source: list[str]) -> list[dict[str, int]]:
     return to
 
 
-def _fragments(to: list[dict[str, int]], summary: list[str]) -> tuple[float, float]:
+def _pieces(to: list[dict[str, int]], summary: list[str]) -> tuple[float, float]:
     """From left to right the longest piece that the source has too; its words' share, and squared lengths per word."""
     if not summary or not to[0]:
         return 0.0, 0.0
@@ -230,11 +230,15 @@ def _fragments(to: list[dict[str, int]], summary: list[str]) -> tuple[float, flo
     return covered / len(summary), squares / len(summary)
 
 
+def _fragments(source: list[str], summary: list[str]) -> tuple[float, float]:
+    return _pieces(_automaton(source), summary)
+
+
 @F.pandas_udf(T.StructType([T.StructField("coverage", T.DoubleType()), T.StructField("density", T.DoubleType())]))
 def fragments(source: pd.Series, summary: pd.Series) -> pd.DataFrame:
     out, known, to = [], None, [{}]
     for a, b in zip(source, summary, strict=True):
         if (tokens_ := list(a)) != known:  # rows of one source follow one another
             known, to = tokens_, _automaton(tokens_)
-        out.append(_fragments(to, list(b)))
+        out.append(_pieces(to, list(b)))
     return pd.DataFrame(out, columns=["coverage", "density"], dtype="float64")

@@ -89,11 +89,11 @@ def plain_fragments(source, summary):
 def test_fragments_by_automaton(spark):
     rng = random.Random(5)
     rows = [([rng.choice("abc") for _ in range(rng.randint(0, 30))], [rng.choice("abcd") for _ in range(rng.randint(0, 15))]) for _ in range(200)]
-    assert [m._fragments(m._automaton(a), b) for a, b in rows] == [plain_fragments(a, b) for a, b in rows]
+    assert [m._fragments(a, b) for a, b in rows] == [plain_fragments(a, b) for a, b in rows]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(rows)], "i int, a array<string>, b array<string>")
     assert [tuple(r.f) for r in df.select("i", m.fragments("a", "b").alias("f")).orderBy("i").collect()] == [plain_fragments(a, b) for a, b in rows]
     same = ["w"] * 100_000
-    assert m._fragments(m._automaton(same), same) == (1.0, 100_000.0)
+    assert m._fragments(same, same) == (1.0, 100_000.0)
 
 
 def test_overlaps_of_repeated_words(spark):
