@@ -1,17 +1,17 @@
-"""What the operators share: tables that cut lineage, and vectorised reading of Arrow text columns."""
+"""What the operators share: column names, vectorised reading of Arrow text columns, hashes; and the library's tables that cut lineage."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.storage import Stored, stored  # noqa: F401
+
 #: UTF-8 bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
@@ -20,51 +20,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-# --- tables in the shared folder -------------------------------------------------------------
-
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one, on a local master only."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if context.applicationId not in _own:
-            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='newsloom')}"
-        found = _own[context.applicationId]
-    return found.rstrip("/")
-
-
-def _hadoop_path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-class Stored:
-    """A DataFrame written to the shared folder and read again: all executors see it, none holds it alone."""
-
-    def __init__(self, df: DataFrame, partition_by: list[str] | None = None):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/newsloom-{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(self.path)
-        path, fs = _hadoop_path(self.spark, self.path)
-        fs.deleteOnExit(path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        path, fs = _hadoop_path(self.spark, self.path)
-        fs.delete(path, True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    return Stored(df).df
-
-
 # --- column names ------------------------------------------------------------------------------
 
 
