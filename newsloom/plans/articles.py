@@ -21,15 +21,16 @@ def t13_dedupe_segments(spark, sf_dir):
 
 
 def t15_metadata_sentences(spark, sf_dir):
-    s = _docs(spark, sf_dir).select("doc_id", F.explode(tx.sentences(F.col("text"))).alias("s"))
-    return s.groupBy("doc_id").agg(F.count_if(tx.metadata_sentence(F.col("s"), "en")).alias("n"))
+    """Which sentences are notes: their places and texts."""
+    s = _docs(spark, sf_dir).select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("i", "s"))
+    return s.where(tx.metadata_sentence(F.col("s"), "en") | (F.col("s") == "")).select("doc_id", F.col("i").cast("long").alias("i"), F.col("s").alias("sentence"))
 
 
 def t17_source_cleanup(spark, sf_dir):
     d = _docs(spark, sf_dir)
     made = F.concat(F.lit("Read more "), "text", F.lit(" listen to this article"))
     url = F.when(F.col("doc_id") % 2 == 0, "https://www.bbc.com/x").otherwise("https://x.example/")
-    return d.select("doc_id", F.length(ar.source_cleanup(made, F.col("source"), url)).cast("long").alias("n"))
+    return d.select("doc_id", ar.source_cleanup(made, F.col("source"), url).alias("text"))
 
 
 def t18_filter_noise(spark, sf_dir):
@@ -74,7 +75,7 @@ def t23_postprocessed(spark, sf_dir):
 
 def t24_decoded(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.length(tx.decode_html(F.encode("html", "UTF-8"), F.lit("text/html; charset=utf-8"), F.lit("en"))).cast("long").alias("n"))
+    return p.select("page_id", tx.decode_html(F.encode("html", "UTF-8"), F.lit("text/html; charset=utf-8"), F.lit("en")).alias("html"))
 
 
 def g1_extractive(spark, sf_dir):
@@ -100,7 +101,14 @@ def g5_summary_cache(spark, sf_dir):
     return d.join(made, ["lang", "key"]).groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("key").alias("texts"))
 
 
-_NAMES = "t4_repaired t16_prefixes t21_clean_for_summary t23_postprocessed t24_decoded t13_dedupe_segments t15_metadata_sentences t17_source_cleanup t18_filter_noise t19_score t20_pick_best e8_article_text g1_extractive g2_degenerate g3_finalized g6_summaries g5_summary_cache"
+def g5_cached_summaries(spark, sf_dir):
+    """G5 with what it keeps: each (language, text) is summarised once and the summary goes to every document that has it."""
+    d = _docs(spark, sf_dir).withColumn("key", F.sha2("text", 256))
+    made = d.groupBy("lang", "key").agg(F.first("text").alias("t")).select("lang", "key", ar.summarize(F.col("t"), F.lit("")).alias("summary"))
+    return d.select("doc_id", "lang", "key").join(made, ["lang", "key"]).select("doc_id", "summary")
+
+
+_NAMES = "g5_cached_summaries t4_repaired t16_prefixes t21_clean_for_summary t23_postprocessed t24_decoded t13_dedupe_segments t15_metadata_sentences t17_source_cleanup t18_filter_noise t19_score t20_pick_best e8_article_text g1_extractive g2_degenerate g3_finalized g6_summaries g5_summary_cache"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 ORACLE = {
     "t16_prefixes": f"SELECT doc_id, trim(regexp_replace({clean_sql('text')}, '^(?i)' || '(giriş( tarihi)?|yayınlanma tarihi|yayinlanma tarihi|son güncelleme|son guncelleme|güncelleme tarihi|guncelleme tarihi|updated|last updated|published)\\s*[:-]\\s*', '')) AS text FROM documents",

@@ -269,7 +269,7 @@ def t3_mojibake(spark, sf_dir):
 
 
 def e1_strip_html(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.length(tx.strip_html(F.col("html"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.strip_html(F.col("html")).alias("text"))
 
 
 def e6_paragraphs(spark, sf_dir):
@@ -354,6 +354,6 @@ ORACLE = {
     "r8_language_plan": "SELECT DISTINCT lang AS language, CASE WHEN lang <> 'de' THEN 'xl_' || lang ELSE '' END AS subset, CASE WHEN lang <> 'de' THEN 'run' ELSE 'skipped_no_xlsum_subset' END AS status FROM documents",
     "s6_page_lookup": "WITH p AS (SELECT url, max(length(html)) AS n FROM pages GROUP BY url) SELECT page_id % 3 AS source, CAST(2 * count(*) AS BIGINT) AS asked, CAST(2 * sum(n) AS BIGINT) AS chars FROM pages JOIN p USING (url) GROUP BY 1",
     "t9_code_noise": f"WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents) SELECT doc_id, regexp_matches(t, '(?i)({'|'.join(map(_plain, tx.CODE_NOISE))})') OR (length(t) <= 240 AND regexp_matches(lower(t), '(^|[^\\p{{L}}\\p{{N}}_])(function|const|let|var)($|[^\\p{{L}}\\p{{N}}_])')) OR (contains(t, ':') AND (({_times('{')} + {_times('}')} >= 2 AND {_times(';')} >= 2 AND {_times(':')} >= 3) OR ({_times('{' + chr(34))} >= 2 AND {_times(chr(34) + ':')} >= 5) OR ({_times(chr(34) + ',' + chr(34))} >= 5 AND {_times(':')} >= 8))) AS noise FROM m",
-    "e1_strip_html": f"SELECT page_id, length({clean_sql(_TAGS.format('html'))}) AS n FROM pages",
+    "e1_strip_html": f"SELECT page_id, {clean_sql(_TAGS.format('html'))} AS text FROM pages",
     "e6_paragraphs": f"WITH p AS (SELECT page_id, regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1) AS l FROM pages), q AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS p FROM p), r AS (SELECT page_id, i, {clean_sql(_TAGS.format('p'))} AS text FROM q) SELECT * FROM r WHERE length(text) >= 40",
 }
