@@ -14,7 +14,7 @@ from newsloom.plans import similarity
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("limits", [(1024, 4096), (4, 3)])
+@pytest.mark.parametrize("limits", [(1024, 4096), (32, 10)])
 def test_percentiles(spark, monkeypatch, limits):
     monkeypatch.setattr(ranks, "RANGES", limits[0])
     monkeypatch.setattr(ranks, "SORTED", limits[1])
