@@ -46,6 +46,8 @@ BANDS, ROWS = {85: 24, 80: 38}, 6
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
 #: Members of a centre that are compared in one task.
 CHUNK = 2000
+#: Bits of the bitmap of wanted ids, at most (8 MB).
+SLOTS = 1 << 26
 #: Classes of a bucket that meet in one unit, and the share of components that agree at least, by the bound in per cent.
 MEET, AGREE = 4096, {85: 0.70, 80: 0.66}
 SIGNED = "doc_id long, hi long, lo long, n_shingles long, bands array<long>, parts binary"
@@ -134,9 +136,11 @@ def _sign(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.RecordBa
             yield batch_of(SIGNED_ARROW, doc_id=part["doc_id"], hi=pa.array(hi, mask=none), lo=pa.array(lo, mask=none), n_shingles=size, bands=lists, parts=blobs)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], bits: bytes) -> Iterator[pa.RecordBatch]:
+    wanted = np.frombuffer(bits, np.uint8)
     for batch in batches:
-        for part, data, offs in steps(batch):
+        slot = batch.column("slot").to_numpy() - 1
+        for part, data, offs in steps(batch.filter(pa.array(wanted[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 == 1))):
             values, ends = shingles(data, offs)
             has = np.flatnonzero(np.diff(ends) > 0)
             if len(has):
@@ -235,6 +239,21 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield _edges(found)
 
 
+def sets_of(docs: DataFrame, of_class: DataFrame) -> DataFrame:
+    """doc_id (a class's number) and shingles: one set for each class, from the text under its id (rep) that has its hashes (hi, lo).
+
+    Texts don't travel: a bitmap of the hashed ids, of bounded size, passes every row that is wanted and few others, and the join of sets decides.
+    """
+    most = max(1 << 15, min(SLOTS, 1 << int(16 * of_class.count()).bit_length()))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(most)) + 1
+    built = of_class.select(slot("rep").alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    bits = bytearray(most >> 3)
+    for r in built.toLocalIterator():
+        bits[(r.bucket - 1) * 4096 : r.bucket * 4096] = r.bits
+    read = docs.where("doc_id is not null").withColumn("slot", slot("doc_id")).mapInArrow(lean(partial(_sets, bits=bytes(bits))), "rep long, hi long, lo long, shingles binary")
+    return read.join(of_class, ["rep", "hi", "lo"]).select("doc_id", "shingles").dropDuplicates(["doc_id"])
+
+
 def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (doc_id, centre) that reach the bound, as a and b. Members of a centre are dealt to chunks of about CHUNK."""
     chunks = Stored(pairs.groupBy("centre").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))).df
@@ -330,14 +349,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keys = classes.df.select("cid", F.explode("bands").alias("key"))
     # the smallest class of every bucket of two or more; grouped partially before the shuffle
     centre = keys.groupBy("key").agg(F.min("cid").alias("centre"), F.max("cid").alias("most")).where("centre < most").drop("most")
-    stars = Stored(keys.join(centre, "key").where("cid <> centre").groupBy("cid").agg(F.min("centre").alias("centre")))
-    nodes = stars.df.select(F.col("cid").alias("node")).unionByName(stars.df.select(F.col("centre").alias("node"))).distinct()
-    members = Stored(classes.df.join(nodes, F.col("cid") == F.col("node"), "left_semi"))
-    # one set for each class: the text under its id that has its hashes
-    of_class = members.df.select(F.col("cid").alias("doc_id"), "hi", "lo", "rep")
-    read = docs.join(of_class.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(lean(_sets), "rep long, hi long, lo long, shingles binary")
-    sets = Stored(read.join(of_class, ["rep", "hi", "lo"]).select("doc_id", "shingles").dropDuplicates(["doc_id"]))
-    edges = Stored(star_links(stars.df.select(F.col("cid").alias("doc_id"), "centre"), sets.df, percent))
+    # every class of such a bucket; one that is the smallest of all its buckets has no centre, whether or not it is a centre itself
+    stars = Stored(keys.join(centre, "key").groupBy("cid").agg(F.min(F.when(F.col("cid") != F.col("centre"), F.col("centre"))).alias("centre")))
+    members = Stored(classes.df.join(stars.df, "cid", "left_semi"))
+    sets = Stored(sets_of(docs, members.df.select(F.col("cid").alias("doc_id"), "hi", "lo", "rep")))
+    edges = Stored(star_links(stars.df.where("centre is not null").select(F.col("cid").alias("doc_id"), "centre"), sets.df, percent))
     labels = components(edges.df)
     labelled = Stored(members.df.join(labels, F.col("cid") == F.col("node"), "left").select("cid", "n", "bands", F.coalesce("comp", "cid").alias("label")))
     held = labelled.df.select("cid", "label", "n", F.explode("bands").alias("key"))
