@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.storage import Stored
+
 #: Bins of a group (its rows after grouping, at most), and points at which the density is given.
 BINS, POINTS = 2048, 100
 
@@ -19,7 +21,7 @@ def densities(rows: DataFrame, keys: list[str], column: str, points: int = POINT
     """
     import pandas as pd
 
-    d = rows.select(*keys, F.col(column).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    d = Stored(rows.select(*keys, F.col(column).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))).df  # read twice
     stats = d.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.stddev_samp("__v").alias("std")).withColumnsRenamed({k: f"__{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
     at = F.when(F.col("hi") > F.col("lo"), (F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BINS - 1)).otherwise(0.0)
