@@ -5,7 +5,9 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from newsloom.functions import metrics as m
 from newsloom.plans import evaluation as ev
 
 SF = "/root/testdata/sf0.001"
@@ -84,3 +86,23 @@ def test_seeded_sample(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("lang", "doc_id").toPandas()
     assert got.groupby("lang").size().to_dict() == docs.groupby("lang").size().clip(upper=5).to_dict()
     assert set(map(tuple, got.to_numpy())) <= set(map(tuple, docs.to_numpy()))
+
+
+def test_a_source_is_searched_once_for_all_its_summaries(spark):
+    """Counts, fragments and overlaps of several summaries of one source equal those of each by itself, also for empty ones and signs of East Asian scripts."""
+    texts = [("a b c x a b d", ["a b x y", "", "c x a b d q d"]), ("", ["a b", "a", ""]), ("It's 漢字 。・ a-b ok 漢字", ["漢字 ok", "it's a-b 漢", "字 字"])]
+    rows = [(i, s, g) for i, (s, gs) in enumerate(texts) for g in gs]
+    df = spark.createDataFrame(rows, "i int, s string, g string").select("i", "s", "g", m.tokens(F.col("s")).alias("a"), m.tokens(F.col("g")).alias("b"))
+    plain = df.select("i", "a", "b", m.novelty(F.col("b"), F.col("a"), 1).alias("n1"), m.novelty(F.col("b"), F.col("a"), 2).alias("n2"), m.clipped(F.col("a"), F.col("b")).alias("c1"), m.clipped(m.ngrams(F.col("a"), 2), m.ngrams(F.col("b"), 2)).alias("c2"))
+    plain = {(r.i, tuple(r.b)): (r.n1, r.n2, r.c1, r.c2, *m._fragments(r.a, r.b)) for r in plain.collect()}
+    many = df.groupBy("i", "a").agg(F.collect_list("b").alias("bs")).withColumns({"h": m.held_by("a", "bs"), "f": m.fragments_of("a", "bs")})
+    each = many.select("i", "a", F.explode(F.arrays_zip("bs", "h", "f")).alias("x")).select("i", F.col("x.bs").alias("b"), "x.f", F.col("x.h").alias("h"), m.overlaps(F.col("a"), F.col("x.bs")).alias("o"))
+    size = F.size("b")
+    got = each.select("i", "b", m.new_share(F.col("h.held1"), size).alias("n1"), m.new_share(F.col("h.held2"), F.greatest(size - 1, F.lit(0))).alias("n2"), "o", "f").collect()
+    assert {(r.i, tuple(r.b)): (r.n1, r.n2, r.o.one, r.o.two, *r.f) for r in got} == plain
+
+
+def test_evaluation_reads_no_source_for_each_model(spark):
+    """The source's tokens end before the models' rows are made."""
+    plan = ev._all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "held_by" in plan and "Expand" not in plan
