@@ -112,3 +112,18 @@ def test_degenerate_is_linear(spark):
     rows = [("many", words), ("same", "again " * 40_000), ("few", "one two three"), ("turns", "a b c d " * 3), ("cjk", "日本" * 20), ("ok", "the quick brown fox jumps over a lazy dog")]
     df = spark.createDataFrame(rows, "k string, t string").withColumn("t", tx.collapse(F.col("t")))
     assert {r.k: r.d for r in df.select("k", article.degenerate(F.col("t")).alias("d")).collect()} == {"many": False, "same": True, "few": False, "turns": True, "cjk": True, "ok": False}
+
+
+def test_only_similar_pairs_leave_a_cell(spark, monkeypatch):
+    """Candidates are the result already: none is carried with its words to be checked elsewhere. Blocks and words with equal checksums don't change it."""
+    monkeypatch.setattr(similarity, "BLOCK", (400, 700))
+    rng = random.Random(5)
+    vocabulary = [f"word{i}" for i in range(40)] + ["plumless", "buckeroo"]  # the last two have one crc32
+    sets = {i: sorted(set(rng.choices(vocabulary, k=rng.randint(1, 30)))) for i in range(150)} | {1000: ["plumless"], 1001: ["buckeroo"]}
+    ranked = similarity.rare_first(spark.createDataFrame(list(sets.items()), "rep long, w array<string>"))
+    found = similarity.candidates(ranked, 0.82)
+    assert found.columns == ["x", "y", "shared"]
+    key = lambda i: (len(sets[i]), i)
+    want = {(x, y, len(set(sets[x]) & set(sets[y]))) for x in sets for y in sets if key(x) < key(y) and alike(set(sets[x]), set(sets[y]))}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert (1000, 1001) not in {(x, y) for x, y, _ in want}
