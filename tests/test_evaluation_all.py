@@ -106,3 +106,25 @@ def test_evaluation_reads_no_source_for_each_model(spark):
     """The source's tokens end before the models' rows are made."""
     plan = ev._all(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "held_by" in plan and "Expand" not in plan
+
+
+def test_sources_are_read_as_texts(spark):
+    """Sources reach the worker as texts, once, and its tokens are those of the column function, CJK characters and marks among them."""
+    texts = ["It's a well-known fact, isn't it? 12½ ⅷ", "日本語のテキスト、ー゠ab漢字c'd-", "한국어 text가 있다 ", "", "İstanbul ΣΑΣ ﬁne _x_ --' é é", "a​b c٠๑ \U0001d400\U00020000"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"), m.tokens(F.col("t")).alias("w")).collect()
+    assert [m.words(r.low) for r in got] == [r.w for r in got]
+    plan = ev.o8_all_metrics(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text_held_by_pieces(lower" in plan and "regexp_extract_all(lower(coalesce(source_text" not in plan
+
+
+def test_one_pass_over_a_summary_equals_the_column_functions(spark):
+    """M5 to M9, M12 and M14 in one function; no token array of a summary is made in the JVM."""
+    texts = ["It's 3.14 here. Isn't it?! Yes…  no", "漢字。かな！ ok ok ok ok", "", " . ", "The table made some noise. Rhythm, queue e", "İstanbul a b a b a b c。 d"]
+    rows = [(a, b, lang) for a in texts for b in texts for lang in ("en", "tr")]
+    t = spark.createDataFrame(rows, "a string, b string, lang string")
+    r, g, n = m.tokens(F.col("a")), m.tokens(F.col("b")), m.sentence_lengths(F.col("b"))
+    plain = [F.size(r), F.size(g), F.size(F.array_distinct(g)), m.clipped(r, g), m.clipped(m.ngrams(r, 2), m.ngrams(g, 2)), m.repetition(g, 3), n["mean"], n["std"], m.flesch(F.col("b"), F.col("lang")), m.bleu(r, g), m.meteor(r, g), m.lcs_length(r, g)]
+    got = t.select("a", "b", "lang", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(plain)]).alias("p"), m.compared_fully(F.lower("a"), F.lower("b"), F.col("lang") == "en").alias("x")).collect()
+    assert all(tuple(x.p) == tuple(x.x) for x in got)
+    plan = ev.o8_all_metrics(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "compared_fully" in plan and "regexp_extract_all" not in plan
