@@ -75,7 +75,7 @@ def dedupe_segments(segments: Column) -> Column:
 def filter_noise(text: Column) -> Column:
     """T18 on clean text: sentences that are prose and new; the whole text when too little would be left."""
     chunks = F.flatten(F.transform(F.split(text, rf"{tx.SPACE}+\|{tx.SPACE}+"), lambda b: tx.sentences(tx.clean(b))))
-    note = lambda s: (tx.metadata_sentence(s, "en") | tx.metadata_sentence(s, "tr")) & (F.length(s) <= 140)
+    note = lambda s: (F.length(s) <= 140) & (tx.metadata_sentence(s, "en") | tx.metadata_sentence(s, "tr"))
     prose = F.filter(chunks, lambda s: (F.length(s) >= 18) & ~tx.code_noise(s) & ~tx.boilerplate(s) & ~note(s))
 
     def choose(kept: Column) -> Column:

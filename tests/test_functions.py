@@ -215,3 +215,11 @@ def test_translation_hook(spark):
     shout = lambda t, a, b: F.upper(t)
     assert value(spark, corpus.translated(F.lit("x"), F.lit("en"), F.lit("fr"), known, shout)).translation_applied
     assert value(spark, corpus.translated(F.lit("x"), F.lit("en"), F.lit("xx"), known, shout)).text == "x"
+
+
+def test_noise_filter_tests_lengths_first(spark):
+    """Only sentences short enough for a note are searched for notes' patterns."""
+    from newsloom.plans import articles
+
+    plan = articles.t18_filter_noise(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert plan.index("<= 140") < plan.index("last updated")
