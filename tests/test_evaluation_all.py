@@ -1,5 +1,7 @@
 """The aggregates over all 25 metrics against pandas on the same metric rows, and hooks without SQL on literal rows."""
 
+import random
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -128,3 +130,22 @@ def test_one_pass_over_a_summary_equals_the_column_functions(spark):
     assert all(tuple(x.p) == tuple(x.x) for x in got)
     plan = ev.o8_all_metrics(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "compared_fully" in plan and "regexp_extract_all" not in plan
+
+
+def test_a_source_is_searched_without_its_automaton(monkeypatch):
+    """Pieces by searches equal those by the automaton, which only long pairs of texts need; counts of n-grams by a shared reference equal plain ones."""
+    rng, automaton, made = random.Random(5), m._automaton, []
+    monkeypatch.setattr(m, "_automaton", lambda source: made.append(source) or automaton(source))
+    for _ in range(300):
+        a, *many = ([rng.choice("abcdé") * rng.randrange(1, 3) for _ in range(rng.randrange(k))] for k in (40, 12, 12, 3))
+        found = m._found(a, many, True)
+        assert [(x["coverage"], x["density"]) for x in found] == [m._pieces(automaton(a), b) for b in many]
+        assert [{k: v for k, v in x.items() if k not in ("coverage", "density")} for x in found] == m._held(a, a, many)
+        ref = m._Reference(" ".join(a), 4)
+        for b in many:
+            places = ref.matched(b)
+            assert ref.hits(len(places), b) == [(Counter(zip(*(a[i:] for i in range(n)))) & Counter(zip(*(b[i:] for i in range(n))))).total() for n in range(1, 5)]
+            assert m._meteor_of(sorted(places), len(a), len(b)) == m._meteor(a, b) and m._lcs_of(ref.bits, len(a), b) == m._lcs(a, b)
+    assert not made
+    monkeypatch.setattr(m, "MANY", 10)
+    assert m._found(["a", "b"] * 20, [["b", "a", "c"]], True)[0]["density"] == 4 / 3 and made
