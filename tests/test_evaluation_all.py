@@ -149,3 +149,10 @@ def test_a_source_is_searched_without_its_automaton(monkeypatch):
     assert not made
     monkeypatch.setattr(m, "MANY", 10)
     assert m._found(["a", "b"] * 20, [["b", "a", "c"]], True)[0]["density"] == 4 / 3 and made
+
+
+def test_deltas_unpivot_means_only(spark):
+    """Rows of samples aren't made long."""
+    for name in ("r5_all_metrics", "r6_all_metrics"):
+        plan = ev.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Expand") == 1 and "Aggregate" in plan[plan.index("Expand") :]
