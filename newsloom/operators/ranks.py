@@ -23,11 +23,13 @@ def _same(keys: list[str], suffix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}{suffix}")) for k in keys], F.lit(True))
 
 
-def order_statistics(rows: DataFrame, keys: list[str], column: str, fractions: list[float]) -> DataFrame:
-    """keys, fraction, at (the place between two ranks), low and high: the values of the ranks around ``fraction * (n - 1)``. Null and NaN values don't count."""
+def order_statistics(rows: DataFrame, keys: list[str], column: str, fractions: list[float], kept: bool = False) -> DataFrame:
+    """keys, fraction, at (the place between two ranks), low and high: the values of the ranks around ``fraction * (n - 1)``. Null and NaN values don't count.
+
+    ``kept``: the rows are a stored table, which isn't written once more."""
     d = rows.select(*keys, F.col(column).cast("double").alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    d = Stored(d)
-    groups = d.df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+    d = d if kept else Stored(d).df
+    groups = d.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     wanted = groups.withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("at", F.col("fraction") * (F.col("n") - 1))
     whole = Stored(wanted)
     ranks = whole.df.select(*keys, "lo", "hi", "n", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
@@ -37,7 +39,7 @@ def order_statistics(rows: DataFrame, keys: list[str], column: str, fractions: l
 
     def inside(ranges: DataFrame) -> DataFrame:
         named = ranges.select(*[F.col(k).alias(f"{k}__r") for k in keys], "rank", "lo", "hi", "below")
-        return d.df.join(named, _same(keys, "__r") & F.col("__v").between(F.col("lo"), F.col("hi")))
+        return d.join(named, _same(keys, "__r") & F.col("__v").between(F.col("lo"), F.col("hi")))
 
     while True:
         found.append(state.df.where("lo = hi").select(*keys, "rank", F.col("lo").alias("value")))
@@ -64,9 +66,9 @@ def order_statistics(rows: DataFrame, keys: list[str], column: str, fractions: l
     return out.select(*keys, "fraction", "at", "low", "high")
 
 
-def percentiles(rows: DataFrame, keys: list[str], column: str, fractions: dict[str, float]) -> DataFrame:
+def percentiles(rows: DataFrame, keys: list[str], column: str, fractions: dict[str, float], kept: bool = False) -> DataFrame:
     """keys and one column for each named fraction: the value between the two ranks around it, interpolated."""
-    found = order_statistics(rows, keys, column, list(fractions.values()))
+    found = order_statistics(rows, keys, column, list(fractions.values()), kept)
     share = F.col("at") - F.floor("at")
     value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") * (1 - share) + F.col("high") * share)
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("fraction") == float(f), value)).alias(name) for name, f in fractions.items()])

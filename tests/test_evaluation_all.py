@@ -156,3 +156,16 @@ def test_deltas_unpivot_means_only(spark):
     for name in ("r5_all_metrics", "r6_all_metrics"):
         plan = ev.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Expand") == 1 and "Aggregate" in plan[plan.index("Expand") :]
+
+
+def test_statistics_store_long_rows_once(spark, monkeypatch):
+    """The long rows are written once; what else is stored is a few rows of each group."""
+    from newsloom.operators import ranks
+
+    sizes, plain = [], ev.Stored
+    kept = lambda df: (made := plain(df), sizes.append(made.df.count()))[0]
+    monkeypatch.setattr(ev, "Stored", kept)
+    monkeypatch.setattr(ranks, "Stored", kept)
+    rows = spark.range(5000).selectExpr("'a' metric", "'b' model", "cast(id as double) value")
+    assert tuple(ev.statistics(rows).first())[:4] == ("a", "b", 2499.5, 2499.5)
+    assert sizes.count(5000) == 1
