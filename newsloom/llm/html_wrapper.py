@@ -1,12 +1,13 @@
 """HTML main-text extraction by wrapper induction with union-free regular expressions.
 
 A page becomes a stream of structural tokens: opening and closing block elements (unclosed ones are closed where HTML
-would) and text. For each host the streams of a bounded sample of pages are aligned one after another: runs of equal
-groups fold into repeated groups, what only some streams have becomes an optional group, texts are slots. The result
+would) and text. For each host the streams of all its pages are aligned: runs of equal
+groups fold into repeated groups, what only some streams have becomes an optional group, texts are slots. Streams that fold alike are one before they meet,
+and wrappers of ``FAN`` or so of them are aligned in turn until a host has one. The result
 is a wrapper without alternatives. A page is matched by an automaton of the wrapper that follows all ways at once (linear in the
 page), and the accepting way says which slot each of its texts fills.
 
-Over the sampled pages a slot's text is fixed (all of ``FIXED_PAGES`` different pages or more that have the slot have it there: the host's template) or
+Over all pages a slot's text is fixed (nine in ten of ``FIXED_PAGES`` different pages or more that have the slot have it there: the host's template) or
 varying. Pages whose articles are the same are one page here, so a story that a host keeps under many ids is no template. The main
 region is the element with the article's varying slots. A page that its host's wrapper matches is read through it: the texts of the region
 but for fixed ones that read like a notice (``NOTICE``) or that the template has outside the region too; other constant text inside the article
@@ -15,10 +16,9 @@ texts. Menus, headers, footers, sidebars, notices, adverts, forms, comments, scr
 Class and id words only break ties: they leave out elements inside the region or beside it, never one that holds the region or
 half of its text, but for words of comments and adverts. A header inside an article is the article's headline.
 
-Every page is read whole; the sample (``SAMPLE`` pages of a host, by hash of the id) only fits the wrapper. Sampling is
-a grouped minimum in ``SAMPLE`` bins of each host, pre-aggregated before the shuffle, so a host with a third of all pages
-costs no task more than others. Wrappers go to the workers once, not with every row: as a broadcast up to ``SMALL`` characters together, beyond that
-each host's pages are dealt to chunks that its wrapper goes ahead of.
+Every page is read whole three times: for its structure, for what its slots hold, and for its text; no model or count comes from a sample. Slots' texts are
+counted by articles in joins and grouped sums, as hashes of 64 bits; only a host's distinct structures, paths and fixed texts come together. Wrappers go to the workers once, not
+with every row: as a broadcast up to ``SMALL`` characters together, beyond that each host's pages are dealt to chunks that its wrapper goes ahead of.
 
 Defined cases: null or empty html gives an empty text of 0 characters; a null url belongs to the host ""; pages
 without an article-like part give all text that isn't left out; a quote that never closes is text of its tag, a tag that never
@@ -28,11 +28,12 @@ closes ends with the page; repeated rows are read alike; extra columns are ignor
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import json
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import TYPE_CHECKING
 
@@ -45,8 +46,8 @@ from newsloom.llm._shared import Stored, lean, slices
 if TYPE_CHECKING:  # workers of Arrow functions don't need it
     import pandas as pd
 
-#: Documented bound: pages of a host that fit its wrapper. Different pages that make a slot fixed.
-SAMPLE, FIXED_PAGES = 12, 3
+#: Wrappers of a host that are aligned at once, about. Different pages that make a slot fixed, and the tenths of those with the slot that have the text.
+FAN, FIXED_PAGES, TENTHS = 12, 3, 9
 #: Characters of all wrappers that are broadcast; pages of a chunk where they aren't.
 SMALL, CHUNK = 16 << 20, 5000
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
@@ -197,9 +198,10 @@ class Page:
                     plain[self.paths[i]] += len(text)
         return every, plain
 
-    def filled(self, slots: list[int], by: set[tuple[int, str]] | frozenset[tuple[int, str]]) -> set[int]:
-        """Numbers of the texts that fill a slot with one of the given texts."""
-        return {k for k, (slot, (_, text)) in enumerate(zip(slots, self.blocks, strict=False)) if (slot, text) in by}
+    def filled(self, slots: list[int], by: set[tuple[int, int]] | frozenset[tuple[int, int]]) -> set[int]:
+        """Numbers of the texts that fill a slot with one of the given texts (by hash)."""
+        some = {slot for slot, _ in by}
+        return {k for k, (slot, (_, text)) in enumerate(zip(slots, self.blocks, strict=False)) if slot in some and (slot, hashed(text)) in by}
 
     def likely(self) -> set[tuple[str, ...]]:
         return {p for p, x in zip(self.paths, self.like, strict=True) if x}
@@ -264,19 +266,25 @@ def absorb(items: list) -> tuple[list, bool]:
     return items, False
 
 
+def hashed(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _bare(items: list) -> tuple:
     return tuple(items[0][1]) if len(items) == 1 and isinstance(items[0], tuple) else tuple(items)
 
 
 def align(wrapper: list, stream: list) -> list:
-    """The wrapper made to match the stream too."""
+    """The wrapper made to match the stream too, or all that another wrapper matches."""
     out: list = []
     for op, a, b, c, d in difflib.SequenceMatcher(None, wrapper, stream, autojunk=False).get_opcodes():
         left, right = wrapper[a:b], stream[c:d]
         if op == "equal":
             out += left
         elif left and right and _bare(left) == _bare(right):  # once here, repeated there
-            out.append(("+", _bare(left)) if "+" in (left[0][0], right[0][0]) else ("?", _bare(left)))
+            signs = {x[0][0] for x in (left, right) if len(x) == 1 and isinstance(x[0], tuple)}
+            group = ("+", _bare(left)) if "+" in signs else ("?", _bare(left))
+            out.append(("?", (group,)) if signs == {"+", "?"} else group)
         else:
             for part in (left, right):
                 if part:
@@ -389,39 +397,46 @@ def own_region(page: Page) -> tuple[str, ...]:
     return region(weighed(*page.masses()), page.likely())
 
 
-def fit_host(rows: pd.DataFrame) -> pd.DataFrame:
-    """The wrapper of one host from its sampled pages, the region of its main slots, and the (slot, text) pairs to leave out."""
+@lru_cache(maxsize=4096)
+def folded(tokens: tuple[str, ...]) -> str:
+    return json.dumps(fold(list(tokens)))
+
+
+def _tuples(x):
+    return tuple(map(_tuples, x)) if isinstance(x, list) else x
+
+
+def aligned(rows: pd.DataFrame) -> pd.DataFrame:
+    """One wrapper of some structures or wrappers of a host, those of most pages first."""
+    import pandas as pd
+
+    wrapper: list | None = None
+    for source in rows.sort_values(["n", "items"], ascending=[False, True])["items"]:
+        items = list(_tuples(json.loads(source)))
+        wrapper = items if wrapper is None else align(wrapper, items)
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "items": [json.dumps(wrapper)], "n": [rows["n"].sum()]})
+
+
+def framed(rows: pd.DataFrame) -> pd.DataFrame:
+    """A host's wrapper from its items, the mass of its paths, and its fixed texts: the region of its main slots, and the (slot, text) pairs to leave out."""
     import pandas as pd
 
-    pages = [Page(x) for x in rows.sort_values("bin")["html"] if x]
-    wrapper = infer([p.tokens for p in pages])
-    matcher = Matcher(wrapper)
-    # pages of one article count once
-    different = list({tuple(p.texts(own_region(p))) or tuple(p.blocks): p for p in pages}.values())
-    of_page = [(p, matcher.slots(p.tokens) or []) for p in different]
-    held: dict[int, list[frozenset[str]]] = defaultdict(list)  # texts of a slot, page by page
-    for p, slots in of_page:
-        of: dict[int, set[str]] = defaultdict(set)
-        for slot, (_, text) in zip(slots, p.blocks, strict=False):
-            of[slot].add(text)
-        for slot, texts in of.items():
-            held[slot].append(frozenset(texts))
-    fixed = {(slot, text) for slot, sets in held.items() if len(sets) >= FIXED_PAGES for text in frozenset.intersection(*sets)}
-    if all(text in frozenset.intersection(*sets) for sets in held.values() for texts in sets for text in texts):  # nothing varies: no template to tell from content
-        fixed = set()
     every: dict[tuple[str, ...], int] = defaultdict(int)
     plain: dict[tuple[str, ...], int] = defaultdict(int)
     like: set[tuple[str, ...]] = set()
-    for p, slots in of_page:
-        like |= p.likely()
-        for to, mass in zip((every, plain), p.masses(p.filled(slots, fixed)), strict=True):
-            for path, n in mass.items():
-                to[path] += n
+    for source, mass in rows.loc[rows["kind"] == "mass", ["path", "mass"]].itertuples(index=False):
+        names, likes, _, soft = json.loads(source)
+        path = tuple(names)
+        like |= {path[:k] for k in likes}
+        every[path] += int(mass)
+        if not soft:
+            plain[path] += int(mass)
     where = region(weighed(every, plain), like)
-    n = len(where)
-    outside = {text for p, slots in of_page for slot, (i, text) in zip(slots, p.blocks, strict=False) if (slot, text) in fixed and p.paths[i][:n] != where}
-    gone = sorted(pair for pair in fixed if NOTICE.search(pair[1]) or pair[1] in outside)
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps({"items": wrapper, "region": where, "gone": gone})]})
+    fixed = list(rows.loc[rows["kind"] == "fixed", ["path", "slot", "text", "notice"]].itertuples(index=False))
+    outside = {text for source, _, text, _ in fixed if tuple(json.loads(source)[0][: len(where)]) != where}
+    gone = sorted({(int(slot), int(text)) for _, slot, text, notice in fixed if notice or text in outside})
+    items = json.loads(rows.loc[rows["kind"] == "items", "path"].iloc[0])
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps({"items": items, "region": where, "gone": gone})]})
 
 
 class Wrapper:
@@ -457,11 +472,69 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][\w+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON of its items, region, and slots and texts to leave out), one row for each host."""
-    keyed = pages.select(host_of("url").alias("host"), F.xxhash64("page_id", "url").alias("h"), "html").where("html is not null")
-    sample = keyed.groupBy("host", F.pmod("h", F.lit(SAMPLE)).alias("bin")).agg(F.min_by("html", "h").alias("html"))
-    return sample.groupBy("host").applyInPandas(fit_host, "host string, wrapper string")
+def structures(hosted: DataFrame) -> DataFrame:
+    """host, items (JSON of a folded stream), n: pages of the host that have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([batch["host"], pa.array([folded(tuple(Page(x).tokens)) for x in batch["html"].to_pylist()], pa.string())], names=["host", "items"])
+
+    return hosted.select("host", "html").mapInArrow(lean(run), "host string, items string").groupBy("host", "items").agg(F.count("*").alias("n"))
+
+
+def grown(parts: DataFrame) -> DataFrame:
+    """host, items, n: one wrapper for each host, from those of any number of structures."""
+    parts = Stored(parts).df
+    while True:
+        counts = parts.groupBy("host").agg(F.count("*").alias("parts"))
+        if counts.where("parts > 1").isEmpty():
+            return parts
+        dealt = parts.join(counts, "host").withColumn("bin", F.pmod(F.xxhash64("items"), F.ceil(F.col("parts") / FAN)))
+        parts = Stored(dealt.select("host", "bin", "items", "n").groupBy("host", "bin").applyInPandas(aligned, "host string, items string, n long")).df
+
+
+_FACTS = {"host": pa.string(), "article": pa.int64(), "slot": pa.int32(), "path": pa.string(), "text": pa.int64(), "n": pa.int64(), "size": pa.int64(), "notice": pa.bool_()}
+
+
+def _facts(batch: pa.RecordBatch, wrappers_: list[str | None]) -> pa.RecordBatch:
+    """What the pages' slots hold: a row for each text of a slot and path, with its times; the article's hash; paths as JSON of names, article-like depths, left out for certain and by words."""
+    rows: list[tuple] = []
+    for host, source, wrapper in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), wrappers_, strict=True):
+        page = Page(source or "")
+        slots = _wrapper(wrapper).matcher.slots(page.tokens) if wrapper else None
+        article = hashed("\n\n".join(page.texts(own_region(page)) or [f"{i} {t}" for i, t in page.blocks]))
+        likely, names = page.likely(), {}
+        for i in {i for i, _ in page.blocks}:
+            path = page.paths[i]
+            names[i] = json.dumps([path, [k for k in range(len(path) + 1) if path[:k] in likely], page.hard[i], bool(page.soft[i])])
+        times = Counter((slot, names[i], text) for slot, (i, text) in zip(slots or [-1] * len(page.blocks), page.blocks, strict=True))
+        rows += [(host, article, slot, path, hashed(text), n, len(text), bool(NOTICE.search(text))) for (slot, path, text), n in times.items()]
+    columns = zip(*rows, strict=True) if rows else [()] * len(_FACTS)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _FACTS.values(), strict=True)], names=list(_FACTS))
+
+
+def wrappers(hosted: DataFrame, small: int = SMALL) -> DataFrame:
+    """host, wrapper (JSON of its items, region, and slots and hashes of texts to leave out), one row for each host, from all its pages."""
+    some = hosted.where("html <> ''")
+    items = grown(structures(some))
+    bare = items.select("host", F.concat(F.lit('{"items": '), "items", F.lit(', "region": [], "gone": []}')).alias("wrapper"))
+    found = through(some, bare, _facts, "host string, article long, slot int, path string, text long, n long, size long, notice boolean", small)
+    facts = Stored(found.groupBy("host", "article", "slot", "path", "text").agg(*[F.max(c).alias(c) for c in ("n", "size", "notice")])).df  # pages of one article count once
+    slotted = facts.where("slot >= 0")
+    of_text = Stored(slotted.select("host", "slot", "text", "article").distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("have"))).df
+    of_slot = slotted.select("host", "slot", "article").distinct().groupBy("host", "slot").agg(F.count("*").alias("all"))
+    slots = Stored(of_slot.join(of_text.groupBy("host", "slot").agg(F.min("have").alias("least")), ["host", "slot"])).df
+    varied = slots.where("least < all").select("host").distinct()  # where nothing varies no template is told from content
+    often = of_text.where(f"10 * have >= {TENTHS * FIXED_PAGES}").join(slots, ["host", "slot"])  # others are fixed nowhere
+    fixed = Stored(often.where(f"10 * have >= {TENTHS} * all and all >= {FIXED_PAGES}").join(varied, "host", "left_semi").select("host", "slot", "text")).df
+    hard = F.get_json_object("path", "$[2]") == "true"
+    masses = facts.where(~hard).join(fixed, ["host", "slot", "text"], "left_anti").groupBy("host", "path").agg(F.sum(F.col("n") * F.col("size")).alias("mass"))
+    stays = facts.join(fixed, ["host", "slot", "text"], "left_semi").groupBy("host", "path", "slot", "text").agg(F.max("notice").alias("notice"))
+    rows = items.select(F.lit("items").alias("kind"), "host", F.col("items").alias("path"))
+    rows = rows.unionByName(masses.withColumn("kind", F.lit("mass")), allowMissingColumns=True).unionByName(stays.withColumn("kind", F.lit("fixed")), allowMissingColumns=True)
+    # numbers beyond 2^53 stay whole: no column of numbers has nulls
+    rows = rows.select("kind", "host", "path", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("mass", "slot", "text")], F.coalesce("notice", F.lit(False)).alias("notice"))
+    return rows.groupBy("host").applyInPandas(framed, "host string, wrapper string")
 
 
 OUT = "page_id long, url string, text string, n_chars long"
@@ -471,40 +544,51 @@ def _out(ids: pa.Array, urls: pa.Array, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batch: pa.RecordBatch, wrappers_: list[str | None]) -> pa.RecordBatch:
+    return _out(batch["page_id"], batch["url"], [main_text(x or "", w) for x, w in zip(batch["html"].to_pylist(), wrappers_, strict=True)])
+
+
+def _ahead(make: Callable) -> Callable:
     """Rows sorted by host and chunk come in, a wrapper (page null, wrapper set) before its chunk's pages."""
-    key, wrapper = None, None
-    for batch in slices(batches):
-        keep, texts = [], []
-        for k, (host, chunk, rest, html_, w) in enumerate(zip(*(batch[c].to_pylist() for c in ("host", "chunk", "rest", "html", "wrapper")), strict=True)):
-            if (host, chunk) != key:
-                key, wrapper = (host, chunk), None
-            if rest:
-                keep.append(k)
-                texts.append(main_text(html_ or "", wrapper))
-            else:
-                wrapper = w
-        part = batch.take(pa.array(keep, pa.int64()))
-        yield _out(part["page_id"], part["url"], texts)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, wrapper = None, None
+        for batch in slices(batches):
+            keep, found = [], []
+            for k, (host, chunk, rest, w) in enumerate(zip(*(batch[c].to_pylist() for c in ("host", "chunk", "rest", "wrapper")), strict=True)):
+                if (host, chunk) != key:
+                    key, wrapper = (host, chunk), None
+                if rest:
+                    keep.append(k)
+                    found.append(wrapper)
+                else:
+                    wrapper = w
+            yield make(batch.take(pa.array(keep, pa.int64())), found)
 
-def extract(pages: DataFrame, small: int = SMALL) -> DataFrame:
-    """page_id, url, text, n_chars, one row for each page. ``small``: characters of all wrappers that are broadcast."""
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    known = Stored(wrappers(pages)).df
+    return run
+
+
+def through(hosted: DataFrame, known: DataFrame, make: Callable, schema: str, small: int) -> DataFrame:
+    """What ``make`` says of pages and their hosts' wrappers. ``small``: characters of all wrappers that are broadcast."""
     size = known.agg(F.sum(F.length("wrapper") + F.length("host") + 64).alias("n")).first().n or 0
-    hosted = pages.withColumn("host", host_of("url"))
     if size <= small:
-        by = pages.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in known.collect()})  # of a checked size
+        by = hosted.sparkSession.sparkContext.broadcast({r.host: r.wrapper for r in known.collect()})  # of a checked size
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
-                yield _out(batch["page_id"], batch["url"], [main_text(x or "", by.value.get(h)) for x, h in zip(batch["html"].to_pylist(), batch["host"].to_pylist(), strict=True)])
+                yield make(batch, [by.value.get(h) for h in batch["host"].to_pylist()])
 
-        return hosted.mapInArrow(lean(run), OUT)
+        return hosted.mapInArrow(lean(run), schema)
     counts = hosted.groupBy("host").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     counts = Stored(counts).df
     none = F.lit(None)
     dealt = hosted.join(counts, "host").select("host", F.pmod(F.xxhash64("page_id", "url"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("rest"), "page_id", "url", "html", none.cast("string").alias("wrapper"))
     heads = known.join(counts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("rest"), none.cast("long").alias("page_id"), none.cast("string").alias("url"), none.cast("string").alias("html"), "wrapper")
-    return dealt.unionByName(heads).repartition("host", "chunk").sortWithinPartitions("host", "chunk", "rest").mapInArrow(lean(_ahead), OUT)
+    return dealt.unionByName(heads).repartition("host", "chunk").sortWithinPartitions("host", "chunk", "rest").mapInArrow(lean(_ahead(make)), schema)
+
+
+def extract(pages: DataFrame, small: int = SMALL) -> DataFrame:
+    """page_id, url, text, n_chars, one row for each page. ``small``: characters of all wrappers that are broadcast."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    hosted = pages.withColumn("host", host_of("url"))
+    return through(hosted, Stored(wrappers(hosted, small)).df, _texts, OUT, small)

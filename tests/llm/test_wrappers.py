@@ -74,3 +74,27 @@ def test_wrappers_ahead_of_chunks(spark, monkeypatch):
     df = spark.createDataFrame(rows, COLUMNS).repartition(5)
     one, two = (sorted((str(tuple(r)) for r in hw.extract(df, small=n).collect())) for n in (hw.SMALL, 0))
     assert one == two and len(one) == len(rows)
+
+
+def test_wrappers_come_from_all_pages(spark):
+    """One odd page in a hundred doesn't change the template, and structures that few pages have are matched too."""
+    page = lambda i: f"<body><article><p>Story {i} tells a lot.</p><div>{'Our own cookies' if i == 77 else 'Share this story'}</div>{'<ul><li>Rare point</ul>' * (i in (5, 42))}</article></body>"
+    got = texts(spark, [page(i) for i in range(100)])
+    assert got == [f"Story {i} tells a lot.{chr(10) * 2 + 'Our own cookies' if i == 77 else ''}{chr(10) * 2 + 'Rare point' if i in (5, 42) else ''}" for i in range(100)]
+    hosted = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(100)], COLUMNS).withColumn("host", hw.host_of("url"))
+    (wrapper,) = hw.wrappers(hosted).collect()
+    assert all(hw.Wrapper(wrapper.wrapper).matcher.slots(hw.Page(page(i)).tokens) for i in range(100))
+
+
+def test_wrappers_of_many_structures_meet(spark, monkeypatch):
+    """Whatever the order and number of rounds, a host's wrapper matches every page of it."""
+    monkeypatch.setattr(hw, "FAN", 3)
+    rng = random.Random(2)
+    pages = [irregular(rng, rng.randrange(1, 6)) for _ in range(40)]
+    hosted = spark.createDataFrame([(i, f"http://h{i % 2}.example/{i}", x) for i, x in enumerate(pages)], COLUMNS).withColumn("host", hw.host_of("url"))
+    parts = hw.structures(hosted)
+    assert parts.count() > 12
+    found = {r.host: hw.Matcher(list(hw._tuples(hw.json.loads(r.items)))) for r in hw.grown(parts).collect()}
+    assert len(found) == 2 and all(found[f"h{i % 2}.example"].slots(hw.Page(x).tokens) is not None for i, x in enumerate(pages))
+    both = hw.Matcher(hw.align(["<z>", ("+", ("<a>", "#"))], ["<z>", ("?", ("<a>", "#"))]))
+    assert both.slots(["<z>"]) == [] and len(both.slots(["<z>", "<a>", "#", "<a>", "#"])) == 2
