@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newsloom.functions import prose
 from newsloom.functions import text as tx
+from newsloom.functions.prose import MAX_ARTICLE_CHARS
 
-MAX_ARTICLE_CHARS = 12_000
 NOTHING = "cast(array() as array<struct<s: string, low: string, words: array<string>, bits: bigint>>)"
 #: Clean-up patterns for every source, by source key and by site.
 CLEANUP = (
@@ -73,16 +74,21 @@ def dedupe_segments(segments: Column) -> Column:
 
 
 def filter_noise(text: Column) -> Column:
+    """T18 of a text, which is cleaned first: in Python; what that leaves, by columns."""
+    return F.coalesce(prose.filtered(text.cast("binary")), tx.let(tx.clean(text), filter_noise_by_columns))
+
+
+def filter_noise_by_columns(text: Column) -> Column:
     """T18 on clean text: sentences that are prose and new; the whole text when too little would be left."""
     chunks = F.flatten(F.transform(F.split(text, rf"{tx.SPACE}+\|{tx.SPACE}+"), lambda b: tx.sentences(tx.clean(b))))
     note = lambda s: (F.length(s) <= 140) & (tx.metadata_sentence(s, "en") | tx.metadata_sentence(s, "tr"))
-    prose = F.filter(chunks, lambda s: (F.length(s) >= 18) & ~tx.code_noise(s) & ~tx.boilerplate(s) & ~note(s))
+    said = F.filter(chunks, lambda s: (F.length(s) >= 18) & ~tx.code_noise(s) & ~tx.boilerplate(s) & ~note(s))
 
     def choose(kept: Column) -> Column:
         little = F.length(kept) < F.greatest(F.lit(80), F.floor(F.length(text) * 0.35))
         return F.when(~little | (text == ""), kept).otherwise(F.when(tx.boilerplate(text), kept).otherwise(text))
 
-    return tx.let(F.array_join(unlike_recent(prose, 6, 0.92), " "), choose)
+    return tx.let(F.array_join(unlike_recent(said, 6, 0.92), " "), choose)
 
 
 def score(text: Column) -> Column:
@@ -103,7 +109,7 @@ def score(text: Column) -> Column:
 
 def pick_best(candidates: Column) -> Column:
     """The best cleaned candidate by score, then length, then place; cut to the limit."""
-    graded = F.transform(F.transform(candidates, lambda c: filter_noise(tx.clean(c))), lambda t, i: F.struct(score(t).alias("score"), F.length(t).alias("n"), (-i).alias("place"), t.alias("text")))
+    graded = F.transform(F.transform(candidates, lambda c: filter_noise_by_columns(tx.clean(c))), lambda t, i: F.struct(score(t).alias("score"), F.length(t).alias("n"), (-i).alias("place"), t.alias("text")))
     best = F.array_max(F.filter(graded, lambda g: g["text"] != ""))
     return F.coalesce(F.left(best["text"], F.lit(MAX_ARTICLE_CHARS)), F.lit(""))
 

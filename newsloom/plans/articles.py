@@ -34,7 +34,7 @@ def t17_source_cleanup(spark, sf_dir):
 
 
 def t18_filter_noise(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", ar.filter_noise(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", ar.filter_noise(F.col("text")).alias("text"))
 
 
 def t19_score(spark, sf_dir):
