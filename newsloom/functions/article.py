@@ -108,7 +108,11 @@ def score(text: Column) -> Column:
 
 
 def pick_best(candidates: Column) -> Column:
-    """The best cleaned candidate by score, then length, then place; cut to the limit."""
+    """The best cleaned candidate by score, then length, then place; cut to the limit. In Python; what that leaves by columns."""
+    return F.coalesce(prose.picked(candidates.cast("array<binary>")), pick_best_by_columns(candidates))
+
+
+def pick_best_by_columns(candidates: Column) -> Column:
     graded = F.transform(F.transform(candidates, lambda c: filter_noise_by_columns(tx.clean(c))), lambda t, i: F.struct(score(t).alias("score"), F.length(t).alias("n"), (-i).alias("place"), t.alias("text")))
     best = F.array_max(F.filter(graded, lambda g: g["text"] != ""))
     return F.coalesce(F.left(best["text"], F.lit(MAX_ARTICLE_CHARS)), F.lit(""))

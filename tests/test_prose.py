@@ -71,3 +71,27 @@ def test_t18_needs_no_columns_for_the_tables(spark, monkeypatch):
 
     monkeypatch.setattr(ar, "filter_noise_by_columns", lambda t: F.raise_error(F.lit("left to columns")).cast("string"))
     assert articles.t18_filter_noise(spark, SF).where("text is not null").count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_best_equals_its_columns(spark):
+    texts = _texts(900)
+    rng = random.Random(6)
+    rows = [[*rng.choices(texts, k=rng.choice((1, 2, 3)))] for _ in range(500)] + [[], None, [None, ""], ["x", None]]
+    assert _same(spark, rows, "array<string>", lambda t: prose.picked(t.cast("array<binary>")), ar.pick_best_by_columns) > 150
+
+
+def test_scores_equal_their_columns_and_count_dotless_letters(spark):
+    """A phrase with a dotless i was never counted, as its beginning was looked for in a text without such letters."""
+    said = "Work starts next spring if money arrives. " * 6
+    texts = [said + x for x in ("", "gizlilik politikası.", "Kullanım Koşulları.", "GRAM ALTIN.", "Gizlilik Politikasi.")] + [t for t in map(prose.clean, _texts(600)) if prose.readable(t)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", ar.score(F.col("t")).alias("s")).collect()
+    assert [r.t for r in rows if abs(r.s - prose.score(r.t)) > 1e-9] == []
+    counted = spark.createDataFrame([(t,) for t in texts[:5]], "t string").select(tx.hits(F.col("t"), [f"{tx.LEFT}(?:{p}){tx.RIGHT}" for p in tx.BOILERPLATE]).alias("n")).collect()
+    assert [r.n for r in counted] == [0, 1, 1, 1, 1]
+
+
+def test_t20_needs_no_columns_for_the_tables(spark, monkeypatch):
+    from newsloom.plans import articles
+
+    monkeypatch.setattr(ar, "pick_best_by_columns", lambda c: F.raise_error(F.lit("left to columns")).cast("string"))
+    assert articles.t20_pick_best(spark, SF).where("text is not null").count() == spark.read.parquet(f"{SF}/documents.parquet").count()
