@@ -18,6 +18,9 @@ from pyspark.sql import types as T
 from newsloom.functions import text as tx
 
 MAX_ARTICLE_CHARS = 12_000
+# Fixed values of article candidates: shortest line that stands in for a paragraph; mostly links: their share of a paragraph, and the length from which on
+# that doesn't count; shortest segment, JSON-LD body and page text.
+IN_LINE, LINK_SHARE, LINK_CHARS, SEGMENT, BODY, PAGE = 55, 0.72, 420, 35, 100, 180
 
 
 def _python(pattern: str) -> str:
@@ -220,7 +223,37 @@ def pick_best(candidates: list[str | None]) -> str:
     return best[:MAX_ARTICLE_CHARS]
 
 
-def _text(data: bytes | None) -> str | None:
+def mostly_links(text: str, links: str) -> bool:
+    """E5 on clean texts."""
+    return links != "" and len(text) < LINK_CHARS and len(links) / max(1, len(text)) > LINK_SHARE
+
+
+def segments(block: dict) -> list[str]:
+    """E6, as ``html.segments``."""
+    least = block["least"]
+    said = []
+    for p in block["paragraphs"]:
+        text = clean(p["text"])
+        if len(text) >= least and not mostly_links(text, clean(p["links"])) and not boilerplate(text.lower(), _fold(text)):
+            said.append(text)
+    if not said:
+        said = [t for t in map(clean, block["lines"]) if len(t) >= max(IN_LINE, least) and not boilerplate(t.lower(), _fold(t))]
+    return dedupe_segments(said)
+
+
+def candidate(found: list[str]) -> str:
+    """Of segments, which are clean and no boilerplate."""
+    return clean(" ".join([s for s in found if len(s) >= SEGMENT and not note(s, s.lower(), _fold(s))]))
+
+
+def candidates(read: dict) -> list[str]:
+    """E8's candidates, as ``html.candidates``."""
+    bodies = dedupe_segments([t for t in map(clean, read["bodies"]) if len(t) >= BODY])
+    text = clean(read["body"])
+    return [c for c in (*bodies, *[candidate(segments(b)) for b in (*read["blocks"], read["page"])], text if len(text) >= PAGE else "") if c]
+
+
+def text_of(data: bytes | None) -> str | None:
     """The text if it is for Python to read."""
     try:
         text = bytes(data or b"").decode()
@@ -232,7 +265,7 @@ def _text(data: bytes | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def filtered(col: pd.Series) -> pd.Series:
     """T18 of texts, given as bytes."""
-    return pd.Series([None if t is None else filter_noise(clean(t)) for t in map(_text, col)], dtype=object)
+    return pd.Series([None if t is None else filter_noise(clean(t)) for t in map(text_of, col)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -240,7 +273,7 @@ def picked(col: pd.Series) -> pd.Series:
     """T20 of arrays of candidates, given as bytes."""
 
     def one(row) -> str | None:
-        texts = [_text(c) for c in (row if row is not None else ())]
+        texts = [text_of(c) for c in (row if row is not None else ())]
         return None if None in texts else pick_best(texts)
 
     return pd.Series([one(r) for r in col], dtype=object)

@@ -47,9 +47,7 @@ def t20_pick_best(spark, sf_dir):
 
 
 def e8_article_text(spark, sf_dir):
-    """The page is normalised before tags are read: references are decoded and white space collapsed."""
-    pages = table(spark, sf_dir, "pages").select("page_id", html.parts(tx.collapse(tx.unescape(F.col("html"), 4))).alias("parts"))
-    return pages.select("page_id", html.article_text(F.col("parts")).alias("text"))
+    return html.with_article(table(spark, sf_dir, "pages").select("page_id", "html"), "html", "text").select("page_id", "text")
 
 
 def t4_repaired(spark, sf_dir):

@@ -77,9 +77,9 @@ def articles(entries: DataFrame, responses: DataFrame, redirects: DataFrame) ->
     named = links.resolved(entries, "link", redirects)
     wanted = named.select(F.col("resolved_url").alias("url"), "language").distinct()
     pages = wanted.join(answered(responses).where(is_page(F.col("content_type"))).select("url", "content_type", "body"), "url")
-    head = lambda n: tx.collapse(tx.unescape(tx.decode_html(F.substring("body", 1, n), F.col("content_type"), F.col("language")), 4))
-    heads = pages.select("url", "language", html.parts(head(TEXT_BYTES)).alias("parts"), head(IMAGE_BYTES).alias("start"))
-    read = heads.select("url", "language", html.article_text(F.col("parts")).alias("text"), image_of(F.col("start")).alias("page_image"))
+    head = lambda n: tx.decode_html(F.substring("body", 1, n), F.col("content_type"), F.col("language"))
+    heads = pages.select("url", "language", head(TEXT_BYTES).alias("page"), tx.collapse(tx.unescape(head(IMAGE_BYTES), 4)).alias("start"))
+    read = html.with_article(heads, "page", "text").select("url", "language", "text", image_of(F.col("start")).alias("page_image"))
     joined = named.join(read, (F.col("resolved_url") == F.col("url")) & named["language"].eqNullSafe(read["language"]), "left").drop(read["language"]).drop("url")
     text = F.when(F.coalesce("text", F.lit("")) == "", "").otherwise(ar.source_cleanup(F.col("text"), F.col("source_key"), F.col("resolved_url")))
     image = F.coalesce(F.nullif("image_url", F.lit("")), "page_image", F.lit(""))

@@ -95,3 +95,39 @@ def test_t20_needs_no_columns_for_the_tables(spark, monkeypatch):
 
     monkeypatch.setattr(ar, "pick_best_by_columns", lambda c: F.raise_error(F.lit("left to columns")).cast("string"))
     assert articles.t20_pick_best(spark, SF).where("text is not null").count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def _page(rng, pick: bool) -> str:
+    pool = [p for p in PIECES if prose.readable(p) or pick]
+    pool = [f"{x}." for x in pool] + [f"{x} and number {i} of the things that were said at length about it all." for i, x in enumerate(pool)]
+    said = lambda: " ".join(rng.choices(pool, k=rng.choice((1, 2, 4))))
+    linked = lambda: "".join(f'<a href="/{i}">{rng.choice(pool)}</a> ' for i in range(3))
+    kinds = (
+        lambda: f"<p>{said()}</p>", lambda: f"<p>{linked()}</p>", lambda: f"{said()}<br>{said()}<br/>", lambda: f"<article>{said()}<p>{said()}</p><p>{said()}</p></article>",
+        lambda: f'<div class="story-body"><p>{said()}</p>{linked()}</div>', lambda: f"<nav>{linked()}</nav>", lambda: "<body>", lambda: "</body>", lambda: "&amp;amp; &eacute; &#x391; ",
+        lambda: '<script type="application/ld+json">{"articleBody": "' + said().replace('"', "") * 2 + rng.choice(("\\u00e9", "\\u03a3", "\\ud800", "")) + '"}</script>',
+    )
+    return "".join(rng.choice(kinds)() for _ in range(rng.randrange(12)))
+
+
+def test_articles_equal_their_columns(spark, tmp_path):
+    """With pages that hold half a character as an escape, which failed the query."""
+    from newsloom.functions import html
+    from newsloom.plans import articles
+
+    rng = random.Random(7)
+    pages = [_page(rng, i % 4 == 0) for i in range(400)] + [None, ""]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    df = spark.read.parquet(f"{tmp_path}/pages.parquet").withColumn("parts", html.parts(tx.collapse(tx.unescape(F.col("html"), 4))))
+    slow = {r.page_id: r.text for r in df.select("page_id", html.article_text(F.col("parts")).alias("text")).collect()}
+    got = {r.page_id: r.text for r in articles.e8_article_text(spark, str(tmp_path)).collect()}
+    assert got == slow and len(got) == 402 and sum(map(bool, got.values())) > 200
+    assert sum(html._article((p or "").encode()) is not None for p in pages) > 150
+
+
+def test_e8_needs_no_columns_for_the_tables(spark, monkeypatch):
+    from newsloom.functions import html
+    from newsloom.plans import articles
+
+    monkeypatch.setattr(html, "article_text", lambda read: F.raise_error(F.lit("left to columns")).cast("string"))
+    assert articles.e8_article_text(spark, SF).where("text is not null").count() == spark.read.parquet(f"{SF}/pages.parquet").count()
