@@ -156,12 +156,22 @@ def note(text: str, low: str, fold: str, stems: Stems = ALL) -> bool:
     return DATED.search(low) is not None and (marked or (size <= 64 and len(TOKEN.findall(low)) <= 7) or NAMED.search(low) is not None)
 
 
-def unlike_recent(segments: list[str], last: int, threshold: float) -> list[str]:
+class Memo:
+    """What is known of the sentences of a text and of the candidates beside it: lower case and words, and whether they are noise."""
+
+    def __init__(self):
+        self.words: dict[str, tuple[str, set[str]]] = {}
+        self.noise: dict[str, bool] = {}
+
+
+def unlike_recent(segments: list[str], last: int, threshold: float, memo: Memo) -> list[str]:
     """T13, J8, as ``article.unlike_recent``."""
-    kept, seen = [], []
+    kept, seen, known = [], [], memo.words
     for s in segments:
-        low = s.lower()
-        words = {w for w in TOKEN.findall(low) if len(w) > 2}
+        if (pair := known.get(s)) is None:
+            low = s.lower()
+            pair = known[s] = low, {w for w in TOKEN.findall(low) if len(w) > 2}
+        low, words = pair
         n = len(words)
         for other, others in seen[-last:]:
             least = min(n, len(others))
@@ -169,27 +179,30 @@ def unlike_recent(segments: list[str], last: int, threshold: float) -> list[str]
                 break
         else:
             kept.append(s)
-            seen.append((low, words))
+            seen.append(pair)
     return kept
 
 
-def dedupe_segments(segments: list[str]) -> list[str]:
-    return unlike_recent([s for s in map(clean, segments) if s], 8, 0.9)
+def dedupe_segments(segments: list[str], memo: Memo) -> list[str]:
+    """T13 on clean segments that aren't empty."""
+    return unlike_recent(segments, 8, 0.9, memo)
 
 
-def filter_noise(text: str) -> str:
+def filter_noise(text: str, memo: Memo) -> str:
     """T18 on clean text."""
     whole = _fold(text)
     stems = ALL.within(whole)
-    said = []
+    said, known = [], memo.noise
     for part in text.split(" | "):
         for s in sentences(part.strip(" ")):
             if len(s) >= 18:
-                low = s.lower()
-                fold = low if s.isascii() else _fold(s)
-                if not (code_noise(s, fold, stems) or boilerplate(low, fold, stems) or note(s, low, fold, stems)):
+                if (noise := known.get(s)) is None:
+                    low = s.lower()
+                    fold = low if s.isascii() else _fold(s)
+                    noise = known[s] = bool(code_noise(s, fold, stems) or boilerplate(low, fold, stems) or note(s, low, fold, stems))
+                if not noise:
                     said.append(s)
-    kept = " ".join(unlike_recent(said, 6, 0.92))
+    kept = " ".join(unlike_recent(said, 6, 0.92, memo))
     if not text or len(kept) >= max(80, math.floor(len(text) * 0.35)) or boilerplate(text.lower(), whole, stems):
         return kept
     return text
@@ -202,24 +215,24 @@ def mojibake_count(text: str) -> int:
     return sum(text.count(m) for m in (*tx.MOJIBAKE_SINGLE, *tx.MOJIBAKE_SEQUENCES)) + sum(len(p.findall(text)) for p in MOJIBAKE_PATTERNS)
 
 
-def score(text: str) -> float:
+def score(text: str, memo: Memo) -> float:
     """T19 on clean text, as ``article.score``."""
     if not text:
         return -10000.0
     size, fold, sents = len(text), _fold(text), sentences(text)
     phrases, code = (sum(len(p.findall(text)) for s, p in group if s in fold) for group in COUNTED)
-    repeated = max(0, len(sents) - len(dedupe_segments(sents)))
+    repeated = max(0, len(sents) - len(dedupe_segments(sents, memo)))
     plus = min(size, MAX_ARTICLE_CHARS) * 0.12 + len(sents) * 32 + len(NO_LETTERS.sub("", text)) / max(1, size) * 170
     minus = phrases * 180 + code * 260 + mojibake_count(text) * 85 + repeated * 130
     few = sum(1 for _ in islice(TOKEN.finditer(text), 40)) < 40 and len(SIGN.findall(text)) // 2 < 40
     return plus - minus - ((320 if size < 160 else 0) + (120 if few else 0) + (140 if len(sents) < 2 else 0))
 
 
-def pick_best(candidates: list[str | None]) -> str:
+def pick_best(candidates: list[str | None], memo: Memo) -> str:
     """T20, O14."""
-    texts = dict.fromkeys(t for t in (filter_noise(c) for c in dict.fromkeys(map(clean, candidates))) if t)
+    texts = dict.fromkeys(t for t in (filter_noise(c, memo) for c in dict.fromkeys(map(clean, candidates))) if t)
     # of equal texts the first counts, and only a choice needs scores
-    best = max(texts, key=lambda t: (score(t), len(t))) if len(texts) > 1 else next(iter(texts), "")
+    best = max(texts, key=lambda t: (score(t, memo), len(t))) if len(texts) > 1 else next(iter(texts), "")
     return best[:MAX_ARTICLE_CHARS]
 
 
@@ -228,7 +241,7 @@ def mostly_links(text: str, links: str) -> bool:
     return links != "" and len(text) < LINK_CHARS and len(links) / max(1, len(text)) > LINK_SHARE
 
 
-def segments(block: dict) -> list[str]:
+def segments(block: dict, memo: Memo) -> list[str]:
     """E6, as ``html.segments``."""
     least = block["least"]
     said = []
@@ -238,7 +251,7 @@ def segments(block: dict) -> list[str]:
             said.append(text)
     if not said:
         said = [t for t in map(clean, block["lines"]) if len(t) >= max(IN_LINE, least) and not boilerplate(t.lower(), _fold(t))]
-    return dedupe_segments(said)
+    return dedupe_segments(said, memo)
 
 
 def candidate(found: list[str]) -> str:
@@ -246,11 +259,11 @@ def candidate(found: list[str]) -> str:
     return clean(" ".join([s for s in found if len(s) >= SEGMENT and not note(s, s.lower(), _fold(s))]))
 
 
-def candidates(read: dict) -> list[str]:
+def candidates(read: dict, memo: Memo) -> list[str]:
     """E8's candidates, as ``html.candidates``."""
-    bodies = dedupe_segments([t for t in map(clean, read["bodies"]) if len(t) >= BODY])
+    bodies = dedupe_segments([t for t in map(clean, read["bodies"]) if len(t) >= BODY], memo)
     text = clean(read["body"])
-    return [c for c in (*bodies, *[candidate(segments(b)) for b in (*read["blocks"], read["page"])], text if len(text) >= PAGE else "") if c]
+    return [c for c in (*bodies, *[candidate(segments(b, memo)) for b in (*read["blocks"], read["page"])], text if len(text) >= PAGE else "") if c]
 
 
 def text_of(data: bytes | None) -> str | None:
@@ -265,7 +278,7 @@ def text_of(data: bytes | None) -> str | None:
 @F.pandas_udf(T.StringType())
 def filtered(col: pd.Series) -> pd.Series:
     """T18 of texts, given as bytes."""
-    return pd.Series([None if t is None else filter_noise(clean(t)) for t in map(text_of, col)], dtype=object)
+    return pd.Series([None if t is None else filter_noise(clean(t), Memo()) for t in map(text_of, col)], dtype=object)
 
 
 @F.pandas_udf(T.StringType())
@@ -274,6 +287,6 @@ def picked(col: pd.Series) -> pd.Series:
 
     def one(row) -> str | None:
         texts = [text_of(c) for c in (row if row is not None else ())]
-        return None if None in texts else pick_best(texts)
+        return None if None in texts else pick_best(texts, Memo())
 
     return pd.Series([one(r) for r in col], dtype=object)
