@@ -10,6 +10,7 @@ from newsloom.functions import metrics as m
 from newsloom.functions import text as tx
 from newsloom.operators import ranks
 from newsloom.plans import similarity
+from newsloom.storage import Stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,3 +128,31 @@ def test_only_similar_pairs_leave_a_cell(spark, monkeypatch):
     want = {(x, y, len(set(sets[x]) & set(sets[y]))) for x in sets for y in sets if key(x) < key(y) and alike(set(sets[x]), set(sets[y]))}
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert (1000, 1001) not in {(x, y) for x, y, _ in want}
+
+
+def _shuffled(spark) -> int:
+    """Records that all stages so far have written to shuffles."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    none = context._jvm.java.util.ArrayList
+    stages = context._jsc.sc().statusStore().stageList(none(), False, False, context._gateway.new_array(context._jvm.double, 0), none())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_no_set_is_shuffled_for_a_block(spark, monkeypatch):
+    """Each set was written once for every block of the other side, so disk grew with the square of the input."""
+    monkeypatch.setattr(similarity, "BLOCK", (300, 700))
+    rows = [(i, [f"word{(i * 7 + k) % 500}" for k in range(3 + i % 9)]) for i in range(600)]
+    ranked = Stored(similarity.rare_first(spark.createDataFrame(rows, "rep long, w array<string>"))).df
+    before = _shuffled(spark)
+    found = {tuple(r) for r in similarity.candidates(ranked, 0.82).collect()}
+    assert _shuffled(spark) - before < 100
+    sets = {i: set(w) for i, w in rows}
+    assert found == {(x, y, len(sets[x] & sets[y])) for x in sets for y in sets if (len(sets[x]), x) < (len(sets[y]), y) and alike(sets[x], sets[y])}
+
+
+def test_blocks_cut_sizes_evenly():
+    sizes = [(1, 10), (2, 1000), (50, 1), (60, 20)]
+    starts = similarity.bounds(sizes, 500)
+    assert starts[0] == (1, 0) and len(starts) == 7 and starts == sorted(starts) and sum(n == 2 for n, _ in starts) == 4
+    assert similarity.bounds([(3, 1)], 500) == [(3, 0)] and similarity.bounds([], 500) == []
