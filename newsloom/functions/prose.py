@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 import re
-from itertools import islice
+from collections import deque
+from itertools import count, islice
 from typing import NamedTuple
 
 import pandas as pd
@@ -157,29 +158,50 @@ def note(text: str, low: str, fold: str, stems: Stems = ALL) -> bool:
 
 
 class Memo:
-    """What is known of the sentences of a text and of the candidates beside it: lower case and words, and whether they are noise."""
+    """What is known of the sentences of a text and of the candidates beside it: a number, lower case and words; the share of words of two; whether they are noise.
+
+    Each part is emptied when it is full, so a text's length doesn't matter.
+    """
+
+    FULL = 50_000
 
     def __init__(self):
-        self.words: dict[str, tuple[str, set[str]]] = {}
+        self.words: dict[str, tuple[int, str, set[str]]] = {}
+        self.shares: dict[tuple[int, int], float] = {}
         self.noise: dict[str, bool] = {}
+        self.numbers = count()
+
+    def read(self, s: str) -> tuple[int, str, set[str]]:
+        if (found := self.words.get(s)) is None:
+            if len(self.words) >= self.FULL:
+                self.words.clear()
+            low = s.lower()
+            found = self.words[s] = next(self.numbers), low, {w for w in TOKEN.findall(low) if len(w) > 2}
+        return found
+
+    def share(self, a: tuple[int, str, set[str]], b: tuple[int, str, set[str]]) -> float:
+        """The shared part of the smaller of two sets of words; 1 for equal texts."""
+        if len(self.shares) >= self.FULL:
+            self.shares.clear()
+        least = min(len(a[2]), len(b[2]))
+        found = self.shares[a[0], b[0]] = 1.0 if a[1] == b[1] else len(a[2] & b[2]) / least if least else 0.0
+        return found
 
 
 def unlike_recent(segments: list[str], last: int, threshold: float, memo: Memo) -> list[str]:
     """T13, J8, as ``article.unlike_recent``."""
-    kept, seen, known = [], [], memo.words
+    kept, seen, shares = [], deque(maxlen=last), memo.shares
     for s in segments:
-        if (pair := known.get(s)) is None:
-            low = s.lower()
-            pair = known[s] = low, {w for w in TOKEN.findall(low) if len(w) > 2}
-        low, words = pair
-        n = len(words)
-        for other, others in seen[-last:]:
-            least = min(n, len(others))
-            if low == other or (least and len(words & others) / least >= threshold):
+        one = memo.read(s)
+        i = one[0]
+        for other in seen:
+            if (share := shares.get((i, other[0]))) is None:
+                share = memo.share(one, other)
+            if share >= threshold:
                 break
         else:
             kept.append(s)
-            seen.append(pair)
+            seen.append(one)
     return kept
 
 
@@ -199,6 +221,8 @@ def filter_noise(text: str, memo: Memo) -> str:
                 if (noise := known.get(s)) is None:
                     low = s.lower()
                     fold = low if s.isascii() else _fold(s)
+                    if len(known) >= memo.FULL:
+                        known.clear()
                     noise = known[s] = bool(code_noise(s, fold, stems) or boilerplate(low, fold, stems) or note(s, low, fold, stems))
                 if not noise:
                     said.append(s)

@@ -131,3 +131,10 @@ def test_e8_needs_no_columns_for_the_tables(spark, monkeypatch):
 
     monkeypatch.setattr(html, "article_text", lambda read: F.raise_error(F.lit("left to columns")).cast("string"))
     assert articles.e8_article_text(spark, SF).where("text is not null").count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_memo_that_fills_up_changes_nothing(monkeypatch):
+    texts = [[prose.clean(t) for t in _texts(60)[i::7]] for i in range(7)]
+    want = [prose.pick_best(t, prose.Memo()) for t in texts]
+    monkeypatch.setattr(prose.Memo, "FULL", 3)
+    assert [prose.pick_best(t, prose.Memo()) for t in texts] == want and any(want)
